@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import bagminhash, common, packing, pfair, toxicity
+from gridframe.llm import bagminhash, common, embedding_dups, fingerprints, packing, pfair, pseudo_likelihood, sharding, token_counts, toxicity, warc
+
+SHARD_BYTES = 32 << 20
+
+
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(common.table(spark, sf_dir, "pages"))
+
+
+def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.scored(common.table(spark, sf_dir, "documents"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +29,23 @@ def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(common.table(spark, sf_dir, "documents"))
+
+
+def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("size"))
+    return sharding.sharded(docs, ["doc_id"], F.col("size"), SHARD_BYTES).select("doc_id", "bytes", "shard", "depth", "shard_bytes", "shard_rows")
+
+
+def op7_embedding_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.classes(common.table(spark, sf_dir, "embeddings"))
+
+
+def op8_invertible_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(common.table(spark, sf_dir, "documents"))
+
+
 def op9_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(common.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
@@ -29,10 +56,41 @@ def op10_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_revisits": op1_warc_revisits,
+    "op2_pseudo_likelihood": op2_pseudo_likelihood,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity_grammar": op4_toxicity_grammar,
+    "op5_separator_scan": op5_separator_scan,
+    "op6_extendible_shards": op6_extendible_shards,
+    "op7_embedding_codes": op7_embedding_codes,
+    "op8_invertible_fingerprints": op8_invertible_fingerprints,
     "op9_bagminhash_classes": op9_bagminhash_classes,
     "op10_pfair_mixture": op10_pfair_mixture,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_extendible_shards": f"""
+        WITH b AS (
+            SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
+                   lpad(bin(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)), 60, '0') AS bits
+            FROM documents),
+        lv AS (SELECT unnest(range(0, 30)) AS depth),
+        s AS (
+            SELECT depth, left(bits, depth) AS shard, sum(bytes) AS shard_bytes, count(*) AS shard_rows
+            FROM b, lv GROUP BY 1, 2 HAVING sum(bytes) <= {SHARD_BYTES} OR count(*) = 1),
+        p AS (
+            SELECT b.doc_id, b.bytes, s.*, row_number() OVER (PARTITION BY b.doc_id ORDER BY s.depth) AS k
+            FROM b, lv JOIN s ON s.depth = lv.depth AND s.shard = left(b.bits, lv.depth))
+        SELECT doc_id, CAST(bytes AS BIGINT) AS bytes, shard, CAST(depth AS INTEGER) AS depth,
+               CAST(shard_bytes AS BIGINT) AS shard_bytes, CAST(shard_rows AS BIGINT) AS shard_rows
+        FROM p WHERE k = 1""",
+    "op1_warc_revisits": """
+        WITH p AS (
+            SELECT page_id, url, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+                   sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT p.page_id, p.payload_bytes, p.payload_digest,
+               CASE WHEN p.page_id <> f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN p.page_id <> f.first_id THEN f.first_id END AS refers_to, p.url
+        FROM p LEFT JOIN f ON p.payload_bytes >= 100 AND p.payload_digest = f.payload_digest""",
+}
