@@ -1,0 +1 @@
+"""Grids are batch tables; there is nothing to stream."""
