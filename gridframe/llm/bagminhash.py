@@ -21,10 +21,16 @@ from gridframe.llm import common, textkit
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 SIMILARITY = 0.8
-#: Pairs whose signatures agree on less than this can't reach SIMILARITY (five standard deviations).
-LEAST_ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
+#: Registers of the longer signatures that rule out pairs of large buckets before their texts are compared.
+LONGER = 1024
 #: Members that a pivot is compared with in one group, and rows of a block of a bucket.
-GROUP, BLOCK = 64, 256
+GROUP, BLOCK = 64, 1024
+
+
+def least_estimate(m: int) -> float:
+    """Signatures of m registers of a pair with SIMILARITY agree on this share at least (five standard deviations)."""
+    return SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / m) ** 0.5
+
 
 _U = np.uint64
 
@@ -65,21 +71,27 @@ def _points(keys: np.ndarray, counts: np.ndarray, low: int, rate: int, limit: fl
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, digest of the words, band keys and one byte a register (both null without words)."""
+    """doc_id, text -> doc_id, digest of the words and band keys (both null without words)."""
     odd = textkit.mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | _U(1)
     band = textkit.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * textkit._GOLD)
     for batch in batches:
-        ids, digests, keys, bytes_ = batch.column(0), [], [], []
+        ids, digests, keys = batch.column(0), [], []
         for text in batch.column(1):
             words = textkit.word_hashes(text.as_py())
             if not len(words):
-                digests.append(None), keys.append(None), bytes_.append(None)
+                digests.append(None), keys.append(None)
                 continue
             digests.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
             drawn = textkit.mix(signature(*np.unique(textkit.shingle_hashes(words), return_counts=True)).view(np.uint64))
             keys.append(textkit.mix((drawn.reshape(BANDS, ROWS) * odd).sum(axis=1, dtype=np.uint64) + band).view(np.int64))
-            bytes_.append((drawn & _U(255)).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())], ["doc_id", "digest", "bands", "bytes"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
+
+
+def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """uid, text -> uid and one byte a register of the longer signature."""
+    for batch in batches:
+        drawn = [textkit.mix(signature(*textkit.bag(t.as_py()), LONGER).view(np.uint64)) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(d & _U(255)).astype(np.uint8).tobytes() for d in drawn], pa.binary())], ["uid", "bytes"])
 
 
 def _verify(frames):
@@ -117,10 +129,11 @@ def _cross_pairs(frames):
     import pandas as pd
 
     for frame in _whole_groups(frames, ["band", "key", "i", "j"]):
-        code = np.frombuffer(b"".join(frame["bytes"]), np.uint8).reshape(len(frame), REGISTERS)
-        group, uid, root, block, pivot = (frame[c].to_numpy() for c in ("group", "uid", "root", "b", "p"))
+        code = np.frombuffer(b"".join(frame["bytes"]), np.uint8).reshape(len(frame), LONGER)
+        short = np.ascontiguousarray(code[:, :REGISTERS])
+        group, uid, root, block, pivot, band = (frame[c].to_numpy() for c in ("group", "uid", "root", "b", "p", "band"))
+        keys, earlier = np.stack(frame["bands"].to_numpy()), np.arange(BANDS)[None, :] < band[:, None]
         straddles = (frame["i"] != frame["j"]).to_numpy()
-        least = LEAST_ESTIMATE * REGISTERS
         for k in range(1, len(frame)):
             a = np.flatnonzero(group[:-k] == group[k:])
             if not len(a):
@@ -130,7 +143,11 @@ def _cross_pairs(frames):
             a, b = a[ok], b[ok]
             for at in range(0, len(a), 65536):
                 x, y = a[at : at + 65536], b[at : at + 65536]
-                near = (code[x] == code[y]).sum(axis=1) >= least
+                first = ~((keys[x] == keys[y]) & earlier[x]).any(axis=1)  # a pair counts in the first bucket that it shares
+                x, y = x[first], y[first]
+                near = (short[x] == short[y]).sum(axis=1) >= least_estimate(REGISTERS) * REGISTERS
+                x, y = x[near], y[near]
+                near = (code[x] == code[y]).sum(axis=1) >= least_estimate(LONGER) * LONGER
                 if near.any():
                     u, v = uid[x[near]], uid[y[near]]
                     yield pd.DataFrame({"p": np.minimum(u, v), "x": np.maximum(u, v)})
@@ -164,18 +181,22 @@ def classes(docs: DataFrame) -> DataFrame:
     A class is a connected component of texts whose five-word shingle multisets overlap by SIMILARITY or more;
     class_id is its smallest doc_id, and the first row with it is kept.  Texts without words (null, empty, punctuation)
     form classes of their own; a null doc_id sorts last.  Equal word sequences are joined by digest.  A bucket's
-    members meet its smallest member first; where that leaves several components, the pairs between components that
+    members meet its most connected member first; where that leaves several components, the pairs between components that
     the signatures don't rule out are compared too, in blocks, so that no link is lost to a bucket's size.
     """
     spark = docs.sparkSession
-    drawn = docs.select("doc_id", "text").mapInArrow(_sketches, "doc_id long, digest binary, bands array<long>, bytes binary")
+    drawn = docs.select("doc_id", "text").mapInArrow(_sketches, "doc_id long, digest binary, bands array<long>")
     base = common.stored(common.with_row_id(drawn, "uid"), "sketches")
     wordy = base.filter("digest is not null")
     reps = wordy.groupBy("digest").agg(F.min("uid").alias("uid"))
-    heads = common.stored(wordy.join(reps, ["digest", "uid"], "left_semi").select("uid", "doc_id", "bands", "bytes"), "heads")
+    heads = common.stored(wordy.join(reps, ["digest", "uid"], "left_semi").select("uid", "bands"), "heads")
     banded = heads.select("uid", F.posexplode("bands").alias("band", "key"))
-    shared = banded.groupBy("band", "key").agg(F.min("uid").alias("p"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = common.stored(banded.join(shared, ["band", "key"]), "members")
+    shared = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = common.stored(banded.join(shared, ["band", "key"]), "met")
+    # the text that others were copied from shares the most buckets with them
+    fame = met.groupBy("uid").agg(F.sum("n").alias("fame"))
+    pivots = met.join(fame, "uid").groupBy("band", "key").agg(F.max(F.struct("fame", (-F.col("uid")).alias("back"))).alias("f")).select("band", "key", (-F.col("f.back")).alias("p"))
+    members = common.stored(met.join(pivots, ["band", "key"]), "members")
     stars = common.stored(members.filter("uid <> p").select("p", F.col("uid").alias("x")).distinct(), "stars")
     wanted = members.select("uid").distinct()
     numbered = docs.select("text").withColumn("uid", F.monotonically_increasing_id())
@@ -185,13 +206,15 @@ def classes(docs: DataFrame) -> DataFrame:
 
     rooted = members.filter("n > 2").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     split = rooted.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a < z").select("band", "key")
+    unsettled = common.stored(rooted.join(split, ["band", "key"]), "unsettled")
+    longer = common.stored(texts.join(unsettled.select("uid").distinct(), "uid", "left_semi").select("uid", "text").mapInArrow(_longer, "uid long, bytes binary"), "longer")
     blocks = F.ceil(F.col("n") / BLOCK)
     open_ = (
-        rooted.join(split, ["band", "key"])
-        .withColumn("b", F.pmod(F.xxhash64("uid"), blocks))
+        unsettled.withColumn("b", F.pmod(F.xxhash64("uid"), blocks))
         .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        .join(heads.select("uid", "bytes"), "uid")
-        .select("band", "key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "uid", "root", "b", "p", "bytes")
+        .join(longer, "uid")
+        .join(heads, "uid")
+        .select("band", "key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "uid", "root", "b", "p", "bytes", "bands")
     )
     cross = open_.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j").mapInPandas(_cross_pairs, "p long, x long").distinct()
     more = verified(common.stored(cross, "cross"), texts)
