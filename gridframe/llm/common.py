@@ -52,6 +52,11 @@ def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that are done; it does so when the driver's heap is collected."""
+    spark._jvm.System.gc()
+
+
 def field_name(df: DataFrame, wanted: str) -> str:
     """A column name based on `wanted` that df doesn't have yet."""
     taken = {c.lower() for c in df.columns}

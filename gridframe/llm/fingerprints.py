@@ -17,8 +17,10 @@ from gridframe.llm import common
 PIECE = 120
 #: Cells of a sub-table of a fingerprint, and peeling rounds.
 CELLS, ROUNDS = 64, 6
-#: Kinds of sketches: the text, the edited text, their difference, the difference to the next text, and both again larger.
-TEXT, EDITED, BY_EDIT, BY_NEXT, BY_EDIT_2, BY_NEXT_2 = range(6)
+#: Kinds of sketches: the text, the edited text, their difference, the difference to the next text.
+TEXT, EDITED, BY_EDIT, BY_NEXT = range(4)
+#: Digests of texts that a task takes, about; their cells take some 200 MB of aggregation memory.
+TASK_DIGESTS = 100_000
 _CHECK = 0xFFFFFFFF
 
 
@@ -36,8 +38,8 @@ def _cell(key: Column, j: int, m: Column) -> Column:
     return j * m + F.pmod(F.xxhash64(key, F.lit(j)), m)
 
 
-def _three(kind: int, sign: int, m: Column) -> list[Column]:
-    return [F.struct(F.lit(kind).alias("kind"), F.lit(sign).alias("sign"), m.alias("m"), _cell(F.col("key"), j, m).alias("cell")) for j in range(3)]
+def _three(kind: int, sign: int) -> list[Column]:
+    return [F.struct(F.lit(kind).alias("kind"), F.lit(sign).alias("sign"), _cell(F.col("key"), j, F.col("m")).alias("cell")) for j in range(3)]
 
 
 def _power(n: Column) -> Column:
@@ -45,23 +47,36 @@ def _power(n: Column) -> Column:
     return F.pow(F.lit(2.0), F.ceil(F.log2(n))).cast("long")
 
 
-def sketches(sets: DataFrame, larger: int) -> DataFrame:
-    """Cells uid, kind, m, cell, cnt, key, chk of sets(uid, own, edited, next); empty cells are left out.
+def _exploded(digest: Column, pairs: Column, sets: DataFrame, m: Column) -> DataFrame:
+    rows = sets.select("uid", m.alias("m"), F.explode(digest).alias("e")).select("uid", "m", F.col("e.key").alias("key"), F.col("e.side").alias("side"))
+    rows = rows.select("uid", "m", "key", F.explode(pairs).alias("t"))
+    return _summed(rows.select("uid", "t.kind", "m", "t.cell", F.col("t.sign").cast("long").alias("cnt"), "key", _check(F.col("key")).alias("chk")))
 
-    The second tries have at least `larger` cells a sub-table for each digest.
-    """
+
+def _sides(*columns: str) -> Column:
     side = lambda c, n: F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(n).alias("side")))
-    size = lambda a, b: _power(F.greatest(F.lit(2 * CELLS), larger * F.greatest(F.size(a), F.size(b)))).alias("m")
-    one = sets.select("uid", size("own", "edited").alias("me"), size("own", "next").alias("mn"), F.explode(F.concat(side("own", 0), side("edited", 1), side("next", 2))).alias("e"))
-    one = one.select("uid", "me", "mn", "e.key", "e.side")
-    small, me, mn = F.lit(CELLS).cast("long"), F.col("me"), F.col("mn")
+    return F.concat(*[side(c, n) for n, c in enumerate(columns)])
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """Cells uid, kind, m, cell, cnt, key, chk of the texts of sets(uid, own, edited), with CELLS cells a sub-table; empty cells are left out."""
+    into = F.when(F.col("side") == 0, F.array(*_three(TEXT, 1))).otherwise(F.array(*_three(EDITED, 1)))
+    return _exploded(_sides("own", "edited"), into, sets, F.lit(CELLS).cast("long"))
+
+
+def subtracted(sets: DataFrame, larger: int) -> DataFrame:
+    """Cells of the differences of sets(uid, own, edited, next): from the own sketch those of the edited and of the next text.
+
+    larger: 0 for sketches of CELLS cells a sub-table, else at least so many cells for each digest of the larger text.
+    """
+    most = F.greatest(F.size("own"), F.size("edited"), F.size("next"))
+    m = _power(F.greatest(F.lit(2 * CELLS), larger * most)) if larger else F.lit(CELLS).cast("long")
     into = (
-        F.when(F.col("side") == 0, F.array(*_three(TEXT, 1, small), *_three(BY_EDIT, 1, small), *_three(BY_NEXT, 1, small), *_three(BY_EDIT_2, 1, me), *_three(BY_NEXT_2, 1, mn)))
-        .when(F.col("side") == 1, F.array(*_three(EDITED, 1, small), *_three(BY_EDIT, -1, small), *_three(BY_EDIT_2, -1, me)))
-        .otherwise(F.array(*_three(BY_NEXT, -1, small), *_three(BY_NEXT_2, -1, mn)))
+        F.when(F.col("side") == 0, F.array(*_three(BY_EDIT, 1), *_three(BY_NEXT, 1)))
+        .when(F.col("side") == 1, F.array(*_three(BY_EDIT, -1)))
+        .otherwise(F.array(*_three(BY_NEXT, -1)))
     )
-    rows = one.select("uid", "key", F.explode(into).alias("t")).select("uid", "t.kind", "t.m", "t.cell", F.col("t.sign").cast("long").alias("cnt"), "key", _check(F.col("key")).alias("chk"))
-    return _summed(rows)
+    return _exploded(_sides("own", "edited", "next"), into, sets, m)
 
 
 def _summed(rows: DataFrame) -> DataFrame:
@@ -88,21 +103,20 @@ def peeled(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return cells
 
 
-def differences(sets: DataFrame, larger: int = 8) -> DataFrame:
-    """uid, by_edit and by_next: how many digests differ; null if no try came empty."""
-    cells = peeled(sketches(sets, larger).filter(F.col("kind") >= BY_EDIT))
+def differences(sets: DataFrame, larger: int = 0) -> DataFrame:
+    """uid, by_edit and by_next: how many digests differ; null where the sketch didn't come empty."""
+    cells = peeled(subtracted(sets, larger))
     aggs = []
-    for kind in (BY_EDIT, BY_NEXT, BY_EDIT_2, BY_NEXT_2):
+    for kind in (BY_EDIT, BY_NEXT):
         mine = F.col("kind") == kind
         aggs += [F.coalesce(F.sum(F.when(mine & (F.col("cell") == -1), F.col("cnt"))), F.lit(0)).alias(f"d{kind}"), F.count(F.when(mine & (F.col("cell") >= 0), 1)).alias(f"left{kind}")]
-    found = cells.groupBy("uid").agg(*aggs)
-    pick = lambda a, b: F.when(F.col(f"left{a}") == 0, F.col(f"d{a}")).when(F.col(f"left{b}") == 0, F.col(f"d{b}"))
-    return found.select("uid", pick(BY_EDIT, BY_EDIT_2).alias("by_edit"), pick(BY_NEXT, BY_NEXT_2).alias("by_next"), F.lit(True).alias("some"))
+    pick = lambda k: F.when(F.col(f"left{k}") == 0, F.col(f"d{k}"))
+    return cells.groupBy("uid").agg(*aggs).select("uid", pick(BY_EDIT).alias("by_edit"), pick(BY_NEXT).alias("by_next"))
 
 
 def written(sets: DataFrame) -> DataFrame:
     """uid, fingerprint, edited_fingerprint and the digests of each: the cells as text, in cell order."""
-    cells = sketches(sets, 1).filter(F.col("kind") < BY_EDIT)
+    cells = sketches(sets.select("uid", "own", "edited"))
     part = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("cell", "cnt", "key", "chk"))))
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(".", x["cell"].cast("string"), x["cnt"].cast("string"), F.lower(F.hex(x["key"])), F.lower(F.hex(x["chk"])))), " ")
     count = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("cnt"))), F.lit(0)) / 3
@@ -125,6 +139,12 @@ def successors(ids: DataFrame) -> DataFrame:
     return inner.join(heads, "range").withColumn("next_uid", F.coalesce("next_uid", "after")).drop("range", "after")
 
 
+def _dealt(sets: DataFrame) -> DataFrame:
+    """sets by uid, in so many tasks that none gets many more than TASK_DIGESTS digests of texts."""
+    total = sets.agg(F.sum(F.size("own"))).first()[0] or 0
+    return sets.repartition(max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_DIGESTS)), "uid")
+
+
 def compared(docs: DataFrame) -> DataFrame:
     """Fingerprints of docs(doc_id, text) and of their edited texts, with likenesses; a row for each row.
 
@@ -132,22 +152,27 @@ def compared(docs: DataFrame) -> DataFrame:
     replaced.  A likeness is the share of digests that two texts have in common (Dice); two texts without digests are
     alike (1).  A null text is an empty one; repeated rows follow one another.
     """
-    text = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = text.select("uid", "doc_id", F.char_length("text").cast("long").alias("n"))
-    wanted = common.stored(successors(ids).select(F.col("next_uid").alias("uid"), F.col("uid").alias("before"), F.floor(F.col("n") / 3).cast("int").alias("k")), "successors")
+    text = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    ids = common.stored(successors(ids), "successors")
+    wanted = ids.select(F.col("next_uid").alias("uid"), F.col("uid").alias("before"), F.floor(F.col("n_chars") / 3).cast("int").alias("k"))
+    # both sides of the next join read one shuffle of the texts
     lent = text.join(wanted.hint("shuffle_hash"), "uid").select(F.col("before").alias("uid"), F.substr("text", F.lit(1), F.col("k")).alias("head"), digests(F.col("text")).alias("next"))
-    met = text.join(lent.hint("shuffle_hash"), "uid")
     n = F.char_length("text")
     edited = F.concat(F.substr("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head"))
-    sets = met.select("uid", digests(F.col("text")).alias("own"), digests(edited).alias("edited"), "next")
-    told = met.select("uid", "doc_id", n.cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), F.size("next").alias("next_n"))
-    rows = common.stored(told.join(written(sets), "uid", "left").join(differences(sets), "uid", "left"), "fingerprints")
-    larger = 8
-    open_ = F.col("some") & (F.col("by_edit").isNull() | F.col("by_next").isNull())
-    while rows.filter(open_).limit(1).count():
-        larger *= 4
-        again = differences(sets.join(rows.filter(open_).select("uid"), "uid", "left_semi"), larger).withColumnsRenamed({"by_edit": "e", "by_next": "x"}).drop("some")
-        rows = common.stored(rows.join(again, "uid", "left").withColumn("by_edit", F.coalesce("by_edit", "e")).withColumn("by_next", F.coalesce("by_next", "x")).drop("e", "x"), "fingerprints")
+    met = text.join(lent.hint("shuffle_hash"), "uid")
+    sets = common.stored(met.select("uid", F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(edited).alias("edited"), "next"), "digests")
+    common.released(docs.sparkSession)
+    larger, open_ = 2, F.col("by_edit").isNull() | F.col("by_next").isNull()
+    dealt = _dealt(sets)
+    found = common.stored(differences(dealt.select("uid", "own", "edited", "next")), "differences")
+    while (rest := common.stored(sets.join(found.filter(open_).select("uid").hint("shuffle_hash"), "uid", "left_semi").select("uid", "own", "edited", "next"), "undecided")).limit(1).count():
+        larger *= 2
+        again = differences(_dealt(rest), larger).withColumnsRenamed({"by_edit": "e", "by_next": "x"})
+        found = common.stored(found.join(again, "uid", "left").select("uid", F.coalesce("by_edit", "e").alias("by_edit"), F.coalesce("by_next", "x").alias("by_next")), "differences")
+    common.released(docs.sparkSession)
+    told = ids.select("uid", "doc_id", "n_chars").join(sets.select("uid", "edited_sha256", F.size("next").alias("next_n")), "uid")
+    rows = told.join(written(dealt), "uid", "left").join(found, "uid", "left")
     own, other = F.coalesce("own_n", F.lit(0)), F.coalesce("edited_n", F.lit(0))
     like = lambda d, n: F.when(n == 0, F.lit(1.0)).otherwise((n - F.coalesce(d, F.lit(0))) / n)
     return rows.select(
