@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm import textkit
+from gridframe.llm import common, textkit
 
 WINDOW, GROUPS, WIDTH, HIDDEN = 2, 32, 8, 16
 CLASSES, RARE = GROUPS * GROUPS, 64
@@ -36,6 +36,7 @@ def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent words of all texts as sorted hashes, and the class of each with the counts of all classes."""
     counts = docs.select("text").mapInArrow(_unique, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = common.stored(counts, "words")
     top = counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY).toPandas()
     rare = counts.groupBy(F.pmod("word", F.lit(RARE)).alias("r")).agg(F.sum("n").alias("n")).toPandas()  # RARE rows
     size = np.ones(CLASSES)
@@ -47,8 +48,8 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([words[order], order.astype(np.uint64)]), np.maximum(size, 1)
 
 
-def classes(text: str | None, words: np.ndarray) -> np.ndarray:
-    h = textkit.word_hashes(text)
+def classes(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The classes of word hashes."""
     rare = VOCABULARY + h.view(np.int64) % RARE
     if not words.shape[1]:
         return rare
@@ -68,36 +69,43 @@ def initial(size: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     return p
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+_ONES = np.ones(GROUPS, np.float32)
+
+
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The exponentials of logits, in place, and their sums; logits are far from the bounds that keep them finite."""
+    np.exp(np.clip(z, -80, 80, out=z), out=z)
+    return z, z @ _ONES  # far faster than a sum over short rows
 
 
 def step(p: dict[str, np.ndarray], sides: np.ndarray, target: np.ndarray, rate: float = 0.0) -> np.ndarray:
     """Log-probabilities of the targets given their sides; with a rate, one gradient step as well."""
     n = len(target)
+    order = np.argsort(target, kind="stable")  # a group's targets side by side
+    sides, target = sides[order], target[order]
     x = p["embed"][sides].reshape(n, -1)
     h = np.tanh(x @ p["w1"] + p["b1"])
     group, own = target // GROUPS, target % GROUPS
-    pg = _softmax(h @ p["wg"] + p["bg"])
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    ends = [(g, order[edges[g] : edges[g + 1]]) for g in range(GROUPS) if edges[g] < edges[g + 1]]
+    pg, sums = _exp(h @ p["wg"] + p["bg"])
+    edges = np.searchsorted(group, np.arange(GROUPS + 1))
+    parts = [(g, slice(edges[g], edges[g + 1])) for g in range(GROUPS) if edges[g] < edges[g + 1]]
     rows, logp = np.arange(n), np.empty(n, np.float32)
     inner = {}
-    for g, at in ends:
-        inner[g] = _softmax(h[at] @ p["wc"][g] + p["bc"][g])
-        logp[at] = np.log(inner[g][np.arange(len(at)), own[at]] + 1e-12)
-    logp += np.log(pg[rows, group] + 1e-12)
+    for g, at in parts:
+        z, total = inner[g] = _exp(h[at] @ p["wc"][g] + p["bc"][g])
+        logp[at] = z[rows[: len(z)], own[at]] / total
+    logp = np.log(logp + 1e-12) + np.log(pg[rows, group] / sums + 1e-12)
     if rate:
+        pg /= sums[:, None]
         pg[rows, group] -= 1
         back = pg @ p["wg"].T
         scale = np.float32(rate / n ** 0.5)
         p["wg"] -= scale * (h.T @ pg)
         p["bg"] -= scale * pg.sum(axis=0)
-        for g, at in ends:
-            d = inner[g]
-            d[np.arange(len(at)), own[at]] -= 1
+        for g, at in parts:
+            d, total = inner[g]
+            d /= total[:, None]
+            d[rows[: len(d)], own[at]] -= 1
             back[at] += d @ p["wc"][g].T
             p["wc"][g] -= scale * (h[at].T @ d)
             p["bc"][g] -= scale * d.sum(axis=0)
@@ -111,17 +119,22 @@ def step(p: dict[str, np.ndarray], sides: np.ndarray, target: np.ndarray, rate:
         p["embed"][PAD] = 0
         for v in p.values():
             np.clip(v, -20, 20, out=v)
-    return logp
+    out = np.empty(n, np.float32)
+    out[order] = logp
+    return out
 
 
 def windows(batch: pa.Array, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sides and targets of all words of the texts, and the words of each text."""
-    each = [classes(t.as_py(), words) for t in batch]
-    pad = np.full(WINDOW, PAD)
-    line = np.concatenate([pad, *[y for x in each for y in (x, pad)]])
-    at = np.flatnonzero(line != PAD)
-    offsets = [k for k in range(-WINDOW, WINDOW + 1) if k]
-    return np.stack([line[at + k] for k in offsets], axis=1), line[at], np.array([len(x) for x in each], int)
+    hashes = [textkit.word_hashes(t.as_py()) for t in batch]
+    n = np.array([len(x) for x in hashes], int)
+    at = np.arange(n.sum()) + WINDOW * np.repeat(np.arange(1, len(n) + 1), n)
+    line = np.full(n.sum() + WINDOW * (len(n) + 1), PAD, np.int32)
+    line[at] = classes(np.concatenate([np.zeros(0, np.uint64), *hashes]), words)
+    sides = np.empty((len(at), 2 * WINDOW), np.int32)
+    for i, k in enumerate([k for k in range(-WINDOW, WINDOW + 1) if k]):
+        sides[:, i] = line[at + k]
+    return sides, line[at], n
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
