@@ -23,6 +23,10 @@ BLOCK_ROWS = 32
 MOST_SOURCES = 100_000
 
 
+#: The columns that a schedule adds; columns of these names in the rows give way to them.
+RESULTS = ("target", "block", "release", "deadline", "slot", "position")
+
+
 def quotas(weights: dict, period: int) -> dict:
     """Blocks a period for each source: at least 1, in proportion to its weight by largest remainders."""
     total = sum(weights.values())
@@ -101,23 +105,23 @@ def scheduled(rows: DataFrame, source: str, key: str, weights: dict | None = Non
         raise ValueError(f"no positive weight for {missing[:5]}")
     plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, weights)
     table = [(s, p["start"], p["length"], first, first + len(slots) * p["periods"], quota, slots) for p in plan for s, (first, quota, slots) in p["sources"].items()]
-    known = spark.createDataFrame(table, "s string, start long, length long, first long, past long, quota long, slots array<int>")
+    known = spark.createDataFrame(table, "_s string, _from long, _length long, _first long, _past long, _quota long, _slots array<int>")
     if len(plan) * PERIOD <= 2_000_000:  # entries of all slots arrays: at most 8 MB
         known = F.broadcast(known)
     h = F.xxhash64(key)
     chunk = F.shiftrightunsigned(h, 64 - (common.CHUNKS - 1).bit_length())
-    numbered = common.ranked(rows, [source], chunk, [h, F.col(key)], "_rank").withColumn("block", F.floor(F.col("_rank") / block_rows))
-    joined = numbered.join(known, F.col(source).eqNullSafe(F.col("s")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("past")))
-    i = F.col("block") - F.col("first")
-    many = F.size("slots")
-    base = F.col("start") + F.floor(i / many) * F.col("length")
+    numbered = common.ranked(rows, [source], chunk, [h, F.col(key)], "_rank").withColumn("_block", F.floor(F.col("_rank") / block_rows))
+    joined = numbered.join(known, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_past")))
+    i = F.col("_block") - F.col("_first")
+    many = F.size("_slots")
+    base = F.col("_from") + F.floor(i / many) * F.col("_length")
     k = F.pmod(i, many)
     # integer forms of k * length / quota rounded down and of (k + 1) * length / quota rounded up
-    release = base + F.floor(k * F.col("length") / F.col("quota"))
-    deadline = base + F.ceil((k + 1) * F.col("length") / F.col("quota"))
-    slot = (base + F.get("slots", k.cast("int"))).cast("long")
+    release = base + F.floor(k * F.col("_length") / F.col("_quota"))
+    deadline = base + F.ceil((k + 1) * F.col("_length") / F.col("_quota"))
+    slot = (base + F.get("_slots", k.cast("int"))).cast("long")
     return joined.select(
-        *rows.columns, (F.col("quota") / F.col("length")).alias("target"), "block", release.cast("long").alias("release"), deadline.cast("long").alias("deadline"),
+        *[c for c in rows.columns if c not in RESULTS], (F.col("_quota") / F.col("_length")).alias("target"), F.col("_block").alias("block"), release.cast("long").alias("release"), deadline.cast("long").alias("deadline"),
         slot.alias("slot"), (slot * block_rows + F.pmod("_rank", F.lit(block_rows))).cast("long").alias("position"),
     )
 

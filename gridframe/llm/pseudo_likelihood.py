@@ -29,7 +29,7 @@ _SHAPES = {"embed": (CLASSES + 1, WIDTH), "w1": (2 * WINDOW * WIDTH, HIDDEN), "b
 def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = [textkit.word_hashes(t.as_py()) for t in batch.column(0)]
-        word, n = np.unique(np.concatenate(words), return_counts=True)
+        word, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
 

@@ -31,7 +31,7 @@ def sharded(rows: DataFrame, keys: list[str], size: Column, limit: int) -> DataF
     go where their hashes send them; a null key is a key like any other; an empty table gives no rows.
     """
     spark = rows.sparkSession
-    columns = list(rows.columns)
+    columns = [c for c in rows.columns if c not in ("bytes", "shard", "depth", "shard_bytes", "shard_rows")]  # these give way to the results
     uid = F.monotonically_increasing_id()
     own = F.lpad(F.bin(F.xxhash64(uid)), 64, "0")
     base = common.stored(rows.select(*columns, F.coalesce(size, F.lit(0)).cast("long").alias("_bytes"), F.concat(key_bits(*keys), own).alias("_bits")), "shard-rows")

@@ -60,7 +60,7 @@ def scan(spark: SparkSession, path: str, end: int = END, block_bytes: int = BLOC
         for batch in batches:
             first = np.asarray(batch.column(1)) * (block_bytes // 2)
             found = [np.flatnonzero(np.frombuffer(c.as_buffer(), ">u2") == end) + f for c, f in zip(batch.column(2), first)]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found), pa.int64()))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found]), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["file", "block", "ends"])
 
     marked = cut.mapInArrow(search, "file string, block long, ends array<long>")
