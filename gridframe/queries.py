@@ -141,7 +141,7 @@ def _geometry(name: str, run: Callable[[GridFrame], GridFrame], oracle: str) ->
     query(name, oracle)(lambda spark, sf_dir: run(supply(spark, sf_dir)).cells.select("r", "c", F.col("n").alias("v")))
 
 
-_geometry("crop", lambda g: o.crop(g, (9.5, 40, 10, 30)), sql("SELECT r - (k - 30) AS r, c - 9 AS c, n AS v FROM cells, s WHERE c BETWEEN 9 AND 39 AND r BETWEEN k - 30 AND k - 11"))
+_geometry("crop", lambda g: o.crop(g, (9.5, 40, 2, 8)), sql("SELECT r - (k - 8) AS r, c - 9 AS c, n AS v FROM cells, s WHERE c BETWEEN 9 AND 39 AND r BETWEEN k - 8 AND k - 3"))
 _geometry("pad", lambda g: o.pad(g, 1, "left top", 9), sql(f"SELECT r + 1 AS r, c + 1 AS c, n AS v FROM cells UNION ALL SELECT 0, CAST(unnest(range(0, {NCOL} + 1)) AS INTEGER), 9.0 UNION ALL SELECT CAST(unnest(range(1, k + 1)) AS INTEGER), 0, 9.0 FROM s"))
 _geometry("rotate90", lambda g: o.rotate(g, 90), sql("SELECT c AS r, k - 1 - r AS c, n AS v FROM cells, s"))
 _geometry("rotate180", lambda g: o.rotate(g, 180), sql(f"SELECT k - 1 - r AS r, {NCOL} - 1 - c AS c, n AS v FROM cells, s"))
