@@ -148,11 +148,26 @@ def border_cells(g: GridFrame, layer: str) -> DataFrame:
     return v.join(near, ["r", "c", "v"], "left").filter(F.coalesce("n", F.lit(0)) < 4).select("r", "c", "v")
 
 
+def along_lines(g: GridFrame, layer: str, cost: str) -> DataFrame:
+    """a, b, d: costs summed along the straight line between the nearest cells of each two classes, rounded half to even."""
+    b = border_cells(g, layer).filter("v <> 0")
+    d2 = F.pow(F.col("p.r") - F.col("q.r"), 2) + F.pow(F.col("p.c") - F.col("q.c"), 2)
+    ends = F.struct(d2.alias("d2"), F.col("p.r").alias("r0"), F.col("p.c").alias("c0"), F.col("q.r").alias("r1"), F.col("q.c").alias("c1"))
+    met = b.alias("p").join(b.alias("q"), F.col("p.v") < F.col("q.v")).groupBy(F.col("p.v").alias("a"), F.col("q.v").alias("b")).agg(F.min(ends).alias("e")).select("a", "b", "e.*")
+    steps = met.withColumn("n", F.greatest(F.abs(F.col("r1") - F.col("r0")), F.abs(F.col("c1") - F.col("c0")))).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    at = lambda x, y: F.rint(F.col(x) + (F.col(y) - F.col(x)) * F.col("t") / F.col("n")).cast("int")
+    line = steps.select("a", "b", at("r0", "r1").alias("r"), at("c0", "c1").alias("c")).join(g.values(cost), ["r", "c"], "left")
+    found = line.groupBy("a", "b").agg(F.when(F.count("v") == F.count(F.lit(1)), F.sum("v")).alias("d"))
+    ids = g.values(layer).filter("v is not null and v <> 0").select(F.col("v").alias("a")).distinct()
+    return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).unionByName(ids.select("a", F.col("a").alias("b"), F.lit(float("inf")).alias("d")))
+
+
 @operator
 def class_distance(g: GridFrame, routing: str = "cheapest", cost: str | None = None, unit: str = "map", name: str = "distance", layer: str | None = None) -> GridFrame:
     """The smallest distance between the cells of each two classes; infinite on the diagonal, null where no path is.
 
-    straight: between centres.  cheapest: over eight neighbours, with a cost layer the cheapest path's cost (one
+    straight: between centres; with a cost layer the sum of the costs of the cells on the line between the nearest two,
+    both ends included, null if one is impassable.  cheapest: over eight neighbours, with a cost layer the cheapest path's cost (one
     relaxation a class).  unit "map" multiplies by the cell size, which has to be square.
     """
     layer = g.pick(layer)
@@ -160,7 +175,9 @@ def class_distance(g: GridFrame, routing: str = "cheapest", cost: str | None = N
     if unit == "map" and abs(rx - ry) > 1e-12:
         raise ValueError("map units need square cells")
     size = rx if unit == "map" else 1.0
-    if cost:
+    if cost and routing == "straight":
+        pairs = along_lines(g, layer, cost)
+    elif cost:
         parts = None
         ids = [x[0] for x in g.values(layer).filter("v is not null and v <> 0").select("v").distinct().orderBy("v").collect()]
         for i in ids:

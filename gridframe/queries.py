@@ -124,11 +124,25 @@ _layer(
 )
 for _m, _d in (("euclidean", "sqrt((x.r - y.r) * (x.r - y.r) + (x.c - y.c) * (x.c - y.c))"), ("manhattan", "(abs(x.r - y.r) + abs(x.c - y.c))"), ("chessboard", "greatest(abs(x.r - y.r), abs(x.c - y.c))")):
     _layer(f"distance_{_m}", lambda g, m=_m: o.distance(o.mask_filter(g, "qty >= 280", add="far"), "foreground", m, layer="far", add="out"), sql(f"SELECT x.r, x.c, round(min({_d})::DOUBLE, 6) AS v FROM cells x, (SELECT r, c FROM cells WHERE qty >= 280) y GROUP BY 1, 2"), 6)
-_layer("fill", lambda g: o.fill(g, 4, layer="mask", add="out"), None)
+_layer(
+    "fill", lambda g: o.fill(g, 4, layer="mask", add="out"),
+    sql(
+        f"SELECT cells.r, cells.c, CASE WHEN p.id IS NOT NULL AND NOT open.o THEN 1.0::DOUBLE ELSE cells.mask END AS v FROM cells LEFT JOIN p ON p.id = cells.r * {NCOL} + cells.c LEFT JOIN open USING (root)",
+        _FLOOD[4].replace("mask = 1", "mask = 0") + f", open AS (SELECT p.root, bool_or(on_.r IN (0, (SELECT k - 1 FROM s)) OR on_.c IN (0, {NCOL} - 1)) AS o FROM p JOIN on_ ON on_.id = p.id GROUP BY 1)", True,
+    ),
+)
 _layer("cost_distance", lambda g: o.distance(o.offset(o.mask_filter(g, "qty >= 280", add="far"), "+", 1, layer="n", add="k"), cost="k", layer="far", add="out"), None, 6)
 _layer("skeleton_zhang_suen", lambda g: o.skeletonise(g, 0, layer="mask", add="out"), None)
 _layer("skeleton_homotopic", lambda g: o.skeletonise(g, 0, method="homotopic", layer="mask", add="out"), None)
-_layer("recipe_replay", lambda g: replay(g, o.erode(o.dilate(Recipe(), layer="mask", add="out"), layer="out", add="out")), None)
+_layer(
+    "recipe_replay", lambda g: replay(g, o.erode(o.dilate(Recipe(), layer="mask", add="out"), layer="out", add="out")),
+    sql(
+        "SELECT d.r, d.c, CASE WHEN d.v = 1 THEN m.v ELSE d.v END AS v FROM d JOIN m ON d.r = m.r AND d.c = m.c",
+        kernel(_diamond) + ", w AS (SELECT x.r - k.i AS r, x.c - k.j AS c, max(x.mask) AS v FROM cells x, k GROUP BY 1, 2)"
+        ", d AS (SELECT cells.r, cells.c, CASE WHEN cells.mask = 0 THEN w.v ELSE cells.mask END AS v FROM cells JOIN w ON cells.r = w.r AND cells.c = w.c)"
+        ", m AS (SELECT x.r - k.i AS r, x.c - k.j AS c, min(x.v) AS v FROM d x, k GROUP BY 1, 2)",
+    ),
+)
 _layer("loop_until_stable", lambda g: loop(o.mask_filter(g, "qty >= 280", add="out"), o.dilate(layer="out", add="out"), 3, layer="out"), None)
 _layer("gradient_planar", lambda g: o.gradient(g, "planar", 30, name="out"), sql("SELECT r, c, round((z - lo) / (hi - lo), 6) + 0.0 AS v FROM z, (SELECT min(z) AS lo, max(z) AS hi FROM z)", ", z AS (SELECT r, c, c * cos(radians(30)) + ((SELECT k FROM s) - 1 - r) * sin(radians(30)) AS z FROM cells)"), 6)
 _layer("gradient_point", lambda g: o.gradient(g, "point", position=(10, 20), name="out"), sql("SELECT r, c, round((z - lo) / (hi - lo), 6) + 0.0 AS v FROM z, (SELECT min(z) AS lo, max(z) AS hi FROM z)", ", z AS (SELECT r, c, sqrt(pow(c - 10, 2) + pow((SELECT k FROM s) - 1 - r - 20, 2)) AS z FROM cells)"), 6)

@@ -45,6 +45,7 @@ def test_cheapest_path_over_a_barrier(spark):
     g = o.componentise(o.mask_filter(g, "values = 1", add="one"), layer="one", add="p")
     g = o.replace_values(g, [1, 2, 3, 9], [1, 1, 1, 10], layer="values", add="k")
     assert pairs(o.class_distance(g, cost="k", unit="cells", layer="p"), "p")[(1.0, 2.0)] == 11
+    assert pairs(o.class_distance(g, "straight", cost="k", unit="cells", layer="p"), "p")[(1.0, 2.0)] == 12
     h = o.replace_values(g, [10], [None], layer="k")
     assert pairs(o.class_distance(h, cost="k", unit="cells", layer="p"), "p")[(1.0, 2.0)] is None
 
