@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from gridframe.plans.graph import components
+from gridframe.plans.storage import drop_path, new_path, shared_dir, stored
+
+__all__ = ["CHUNKS", "components", "drop_path", "field_name", "new_path", "ranked", "released", "shared_dir", "stored", "table", "with_row_id"]
+
 #: Hash chunks that a group is dealt into when its rows are numbered.
 CHUNKS = 4096
 
@@ -18,40 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="gridframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder; Hadoop removes it when the application ends."""
-    path = f"{shared_dir(spark)}/gridframe/{tag}-{uuid.uuid4().hex}"
-    _file_system(spark, path)[0].deleteOnExit(_file_system(spark, path)[1])
-    return path
-
-
-def _file_system(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    fs, at = _file_system(spark, path)
-    fs.delete(at, True)
-
-
-def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
-    """The rows of df, written as Parquet in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = path or new_path(spark, tag)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def released(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that are done; it does so when the driver's heap is collected."""
     spark._jvm.System.gc()
@@ -84,35 +51,3 @@ def ranked(df: DataFrame, keys: list[str], chunk: Column, order: list[Column], o
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + [F.col("l._chunk") == F.col("r._chunk")]
     joined = cut.withColumn("_place", place).alias("l").join(starts.alias("r"), on)
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r._start") + F.col("l._place")).cast("long").alias(out))
-
-
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges(u, v): node, root, with root the smallest node of the component.
-
-    Alternates large-star and small-star steps until the edge set is a set of stars.  Each round is stored; only two
-    numbers reach the driver.  Nodes without edges don't appear.
-    """
-    spark = edges.sparkSession
-    now = new_path(spark, "edges")
-    e = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", now)
-    seen = _state(e)
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hops = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        path = new_path(spark, "edges")
-        e = stored(hops, "edges", path)
-        drop_path(spark, now)
-        now, was, seen = path, seen, _state(e)
-        if was == seen:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-LONG, STRING = T.LongType(), T.StringType()
