@@ -2,6 +2,7 @@
 
 import pytest
 
+from gridframe import queries_coverage  # noqa: F401
 from gridframe.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
