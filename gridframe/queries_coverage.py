@@ -111,6 +111,12 @@ SQL["hillshade"] = sql(
     + ", lit AS (SELECT r, c, atan(sqrt(dx * dx + dy * dy)) AS slope, CASE WHEN dx = 0 AND dy = 0 THEN 0.0 ELSE atan2(-dx, dy) END AS aspect FROM d)",
 )
 
+_least = ", ".join(f"m_{x}" for x in _RING)
+SQL["componentise_8"] = sql(
+    "SELECT r, c, CASE WHEN m IS NOT NULL THEN dense_rank() OVER (ORDER BY m) END::DOUBLE AS v FROM t WHERE i = 400",
+    f", t(i, r, c, m) AS (SELECT 0, r, c, CASE WHEN mask = 1 THEN r * {NCOL} + c END FROM cells UNION ALL SELECT i + 1, r, c, CASE WHEN m IS NOT NULL THEN least(m, {_least}) END FROM ({around('t', ['m'], 'i')}) WHERE i < 400)", True,
+)
+
 # zones and distances
 _zoned = lambda g: o.replace_values(g, [0], [None], layer="n", add="z")
 for _fun, _v in (
