@@ -49,12 +49,17 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def classes(h: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The classes of word hashes."""
-    rare = VOCABULARY + h.view(np.int64) % RARE
+    """The classes of word hashes: of the few known words with a hash's leading 12 bits each is compared with it."""
+    out = VOCABULARY + (h.view(np.int64) & (RARE - 1))  # RARE is a power of two
     if not words.shape[1]:
-        return rare
-    at = np.minimum(np.searchsorted(words[0], h), words.shape[1] - 1)
-    return np.where(words[0][at] == h, words[1][at].astype(np.int64), rare)
+        return out
+    first = np.searchsorted(words[0] >> np.uint64(52), np.arange(4097, dtype=np.uint64))
+    most = int(np.diff(first).max())
+    key, code = (np.append(x, np.repeat(x[-1:], most)) for x in (words[0], words[1].astype(np.int64)))
+    at = first[(h >> np.uint64(52)).astype(np.int32)]
+    for k in range(most):
+        out = np.where(key[at + k] == h, code[at + k], out)
+    return out
 
 
 def initial(size: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:

@@ -267,3 +267,16 @@ def test_pipeline(spark):
         if name == "mixing":
             assert kept.exceptAll(before).count() == 0 and kept.count() == before.count()
     assert kept.select("doc_id").distinct().count() == before.count() and corpus_pipeline.run(spark, DIR).count() == kept.count()
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 900])
+def test_classes_of_words_are_those_of_a_lookup(n):
+    from gridframe.llm import pseudo_likelihood as model
+
+    rng = np.random.default_rng(n)
+    known = np.unique(np.concatenate([rng.integers(0, 1 << 64, n, dtype=np.uint64), np.array([0, 1, (1 << 64) - 1][: 3 * (n > 4)], np.uint64)]))
+    words = np.stack([known, rng.permutation(len(known)).astype(np.uint64)])
+    asked = np.concatenate([known, rng.integers(0, 1 << 64, 3000, dtype=np.uint64), np.array([0, 1 << 52, (1 << 64) - 1], np.uint64)])
+    code = dict(zip(known.tolist(), words[1].tolist()))
+    assert model.classes(asked, words).tolist() == [code.get(h, model.VOCABULARY + h % model.RARE) for h in asked.tolist()]
+    assert model.classes(asked[:0], words).tolist() == []
