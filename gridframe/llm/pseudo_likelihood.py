@@ -2,12 +2,16 @@
 
 The network predicts a word from the WINDOW words on each side: their embeddings, a tanh layer, and a two-level softmax
 (group of classes, class in the group), which is normalised exactly.  A document's score is the sum of its words'
-log-probabilities, each given both sides.  Words are the VOCABULARY most frequent of the whole corpus; the others
-share hash classes.  Each round trains on every partition's whole data from the same parameters and averages them by tokens.
+log-probabilities, each given both sides.  The most frequent words of the whole corpus have a class of their own, and the
+classes grow with the corpus; the others share RARE hash classes, and one of them has its class's probability times its
+share of the class's occurrences.  Counts of all words are stored: those above a frequency that grows with the square
+root of the corpus are held in memory, the rest are joined.  Each round trains on every partition's whole data from the
+same parameters and averages them by tokens.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +25,19 @@ from gridframe.llm import common, textkit
 WINDOW, GROUPS, WIDTH, HIDDEN = 2, 32, 8, 16
 CLASSES, RARE = GROUPS * GROUPS, 64
 VOCABULARY = CLASSES - RARE
+#: Words of a corpus from which the classes grow, and the root of the corpus by which words are held in memory.
+GROWS, HELD = 1_000_000, 300
 ROUNDS, RATE, BATCH = 2, 0.08, 4096
-PAD = CLASSES
-_SHAPES = {"embed": (CLASSES + 1, WIDTH), "w1": (2 * WINDOW * WIDTH, HIDDEN), "b1": (HIDDEN,), "wg": (HIDDEN, GROUPS), "bg": (GROUPS,), "wc": (GROUPS, HIDDEN, GROUPS), "bc": (GROUPS, GROUPS)}
+
+
+def _groups(total: float) -> int:
+    """Groups of classes, and classes a group, for a corpus of so many words."""
+    return max(GROUPS, math.ceil(GROUPS * (total / GROWS) ** 0.125))
+
+
+def _shapes(groups: int) -> dict[str, tuple]:
+    """The last embedding is that of the padding."""
+    return {"embed": (groups * groups + 1, WIDTH), "w1": (2 * WINDOW * WIDTH, HIDDEN), "b1": (HIDDEN,), "wg": (HIDDEN, groups), "bg": (groups,), "wc": (groups, HIDDEN, groups), "bc": (groups, groups)}
 
 
 def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,19 +47,47 @@ def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent words of all texts as sorted hashes, and the class of each with the counts of all classes."""
+def counted(docs: DataFrame) -> DataFrame:
+    """word and n of all words of all texts, stored."""
     counts = docs.select("text").mapInArrow(_unique, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = common.stored(counts, "words")
-    top = counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY).toPandas()
-    rare = counts.groupBy(F.pmod("word", F.lit(RARE)).alias("r")).agg(F.sum("n").alias("n")).toPandas()  # RARE rows
-    size = np.ones(CLASSES)
-    size[: len(top)] += top["n"].to_numpy()
-    np.add.at(size, VOCABULARY + rare["r"].to_numpy(dtype=int), rare["n"].to_numpy())
-    np.add.at(size, VOCABULARY + top["word"].to_numpy(dtype=np.int64) % RARE, -top["n"].to_numpy())
-    words = top["word"].to_numpy(dtype=np.int64).view(np.uint64)
+    return common.stored(counts, "words")
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The words held in memory as sorted hashes with their codes, and the occurrences of each code.
+
+    The first groups**2 codes are classes: from VOCABULARY on the RARE shared ones, in which words without a code are
+    counted, the others the most frequent words.  Further codes are words of shared classes.
+    """
+    counts = counted(docs) if counts is None else counts
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = held_from(total)
+    held = counts.filter(F.col("n") >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    rare = counts.filter(F.col("n") < least).groupBy(F.pmod("word", F.lit(RARE)).alias("r")).agg(F.sum("n").alias("n")).toPandas()  # RARE rows
+    code = np.arange(len(held))
+    code[VOCABULARY:] += RARE
+    size = np.zeros(max(_groups(total) ** 2, len(held) + RARE))
+    size[code] = held["n"].to_numpy()
+    size[VOCABULARY + rare["r"].to_numpy(dtype=int)] = rare["n"].to_numpy()
+    words = held["word"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(words)
-    return np.stack([words[order], order.astype(np.uint64)]), np.maximum(size, 1)
+    return np.stack([words[order], code[order].astype(np.uint64)]), size
+
+
+def held_from(total: float) -> int:
+    """Occurrences from which a word is held in memory."""
+    return max(1, math.ceil(math.sqrt(total) / HELD))
+
+
+def shared(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words with a class of their own, the occurrences of the classes, and the held words of shared classes with their log shares."""
+    many = _groups(size.sum()) ** 2
+    own = words[1] < many
+    rest, n = words[0][~own], size[words[1][~own].astype(np.int64)]
+    at = VOCABULARY + (rest & np.uint64(RARE - 1)).astype(np.int64)
+    of_class = size[:many].copy()
+    np.add.at(of_class, at, n)
+    return words[:, own], of_class, rest, np.log(n / of_class[at])
 
 
 def classes(h: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -53,6 +95,9 @@ def classes(h: np.ndarray, words: np.ndarray) -> np.ndarray:
     out = VOCABULARY + (h.view(np.int64) & (RARE - 1))  # RARE is a power of two
     if not words.shape[1]:
         return out
+    if words.shape[1] > 4 * 4096:  # buckets of many words
+        at = np.minimum(np.searchsorted(words[0], h), words.shape[1] - 1)
+        return np.where(words[0][at] == h, words[1][at].astype(np.int64), out)
     first = np.searchsorted(words[0] >> np.uint64(52), np.arange(4097, dtype=np.uint64))
     most = int(np.diff(first).max())
     key, code = (np.append(x, np.repeat(x[-1:], most)) for x in (words[0], words[1].astype(np.int64)))
@@ -64,36 +109,35 @@ def classes(h: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def initial(size: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     """Small random weights; the biases are the classes' frequencies in the corpus."""
+    size = np.maximum(size, 1)
+    groups = math.isqrt(len(size))
     rng = np.random.default_rng(seed)
-    p = {k: (rng.standard_normal(s) * (0.5 if k == "embed" else 0.2 if k == "w1" else 0.01)).astype(np.float32) for k, s in _SHAPES.items()}
-    table = size.reshape(GROUPS, GROUPS)
+    p = {k: (rng.standard_normal(s) * (0.5 if k == "embed" else 0.2 if k == "w1" else 0.01)).astype(np.float32) for k, s in _shapes(groups).items()}
+    table = size.reshape(groups, groups)
     p["bg"] = np.log(table.sum(axis=1) / table.sum()).astype(np.float32)
     p["bc"] = np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
     p["b1"][:] = 0
-    p["embed"][PAD] = 0
+    p["embed"][-1] = 0
     return p
 
 
-_ONES = np.ones(GROUPS, np.float32)
-
-
 def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The exponentials of logits, in place, and their sums; logits are far from the bounds that keep them finite."""
     np.exp(np.clip(z, -80, 80, out=z), out=z)
-    return z, z @ _ONES  # far faster than a sum over short rows
+    return z, z @ np.ones(z.shape[1], np.float32)  # far faster than a sum over short rows
 
 
 def step(p: dict[str, np.ndarray], sides: np.ndarray, target: np.ndarray, rate: float = 0.0) -> np.ndarray:
     """Log-probabilities of the targets given their sides; with a rate, one gradient step as well."""
-    n = len(target)
+    n, groups = len(target), len(p["bg"])
     order = np.argsort(target, kind="stable")  # a group's targets side by side
     sides, target = sides[order], target[order]
     x = p["embed"][sides].reshape(n, -1)
     h = np.tanh(x @ p["w1"] + p["b1"])
-    group, own = target // GROUPS, target % GROUPS
+    group, own = target // groups, target % groups
     pg, sums = _exp(h @ p["wg"] + p["bg"])
-    edges = np.searchsorted(group, np.arange(GROUPS + 1))
-    parts = [(g, slice(edges[g], edges[g + 1])) for g in range(GROUPS) if edges[g] < edges[g + 1]]
+    edges = np.searchsorted(group, np.arange(groups + 1))
+    parts = [(g, slice(edges[g], edges[g + 1])) for g in range(groups) if edges[g] < edges[g + 1]]
     rows, logp = np.arange(n), np.empty(n, np.float32)
     inner = {}
     for g, at in parts:
@@ -120,8 +164,8 @@ def step(p: dict[str, np.ndarray], sides: np.ndarray, target: np.ndarray, rate:
         p["b1"] -= scale * back.sum(axis=0)
         flat = sides.ravel()
         for k in range(WIDTH):
-            p["embed"][:, k] -= scale * np.bincount(flat, into[:, k], CLASSES + 1).astype(np.float32)
-        p["embed"][PAD] = 0
+            p["embed"][:, k] -= scale * np.bincount(flat, into[:, k], len(p["embed"])).astype(np.float32)
+        p["embed"][-1] = 0
         for v in p.values():
             np.clip(v, -20, 20, out=v)
     out = np.empty(n, np.float32)
@@ -129,26 +173,27 @@ def step(p: dict[str, np.ndarray], sides: np.ndarray, target: np.ndarray, rate:
     return out
 
 
-def windows(batch: pa.Array, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sides and targets of all words of the texts, and the words of each text."""
+def windows(batch: pa.Array, words: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sides and targets of all words of the texts, the words of each text, and their hashes."""
     hashes = [textkit.word_hashes(t.as_py()) for t in batch]
     n = np.array([len(x) for x in hashes], int)
     at = np.arange(n.sum()) + WINDOW * np.repeat(np.arange(1, len(n) + 1), n)
-    line = np.full(n.sum() + WINDOW * (len(n) + 1), PAD, np.int32)
-    line[at] = classes(np.concatenate([np.zeros(0, np.uint64), *hashes]), words)
+    line = np.full(n.sum() + WINDOW * (len(n) + 1), pad, np.int32)
+    h = np.concatenate([np.zeros(0, np.uint64), *hashes])
+    line[at] = classes(h, words)
     sides = np.empty((len(at), 2 * WINDOW), np.int32)
     for i, k in enumerate([k for k in range(-WINDOW, WINDOW + 1) if k]):
         sides[:, i] = line[at + k]
-    return sides, line[at], n
+    return sides, line[at], n, h
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in _SHAPES])
+    return np.concatenate([v.ravel() for v in p.values()])
 
 
-def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
+def _shaped(flat: np.ndarray, shapes: dict[str, tuple]) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in _SHAPES.items():
+    for k, s in shapes.items():
         n = int(np.prod(s))
         out[k], at = flat[at : at + n].reshape(s).astype(np.float32), at + n
     return out
@@ -156,14 +201,14 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 def train(docs: DataFrame, words: np.ndarray, start: dict[str, np.ndarray], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Rounds of local training over all texts and averaging; the driver gets one row a parameter."""
-    flat = _flat(start)
+    flat, shapes, pad = _flat(start), _shapes(len(start["bg"])), len(start["embed"]) - 1
     for k in range(rounds):
         begin, rate = flat.copy(), RATE / (1 + k)
 
         def local(batches, begin=begin, rate=rate):
-            p, seen = _shaped(begin), 0
+            p, seen = _shaped(begin, shapes), 0
             for batch in batches:
-                sides, target, _ = windows(batch.column(0), words)
+                sides, target, *_ = windows(batch.column(0), words, pad)
                 for at in range(0, len(target), BATCH):
                     step(p, sides[at : at + BATCH], target[at : at + BATCH], rate)
                 seen += len(target)
@@ -173,7 +218,7 @@ def train(docs: DataFrame, words: np.ndarray, start: dict[str, np.ndarray], roun
 
         got = docs.select("text").mapInArrow(local, "k int, v double, n double").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
         flat[got["k"].to_numpy()] = got["v"].to_numpy()
-    return _shaped(flat)
+    return _shaped(flat, shapes)
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -181,17 +226,30 @@ def scored(docs: DataFrame) -> DataFrame:
 
     Null, empty and wordless texts have 0 words, likelihood 0 and a null per_word.  Training sees every row, copies too.
     """
-    words, size = vocabulary(docs)
-    p = train(docs, words, initial(size))
+    counts = counted(docs)
+    every, size = vocabulary(docs, counts)
+    words, of_class, rest, share = shared(every, size)
+    p = train(docs, words, initial(of_class))
+    pad = len(of_class)
 
     def run(batches):
         for batch in batches:
-            sides, target, n = windows(batch.column(1), words)
-            logp = np.concatenate([np.zeros(0, np.float32), *[step(p, sides[at : at + BATCH], target[at : at + BATCH]) for at in range(0, len(target), BATCH)]])
+            sides, target, n, h = windows(batch.column(2), words, pad)
+            logp = np.concatenate([np.zeros(0, np.float32), *[step(p, sides[at : at + BATCH], target[at : at + BATCH]) for at in range(0, len(target), BATCH)]]).astype(np.float64)
+            few = np.flatnonzero((target >= VOCABULARY) & (target < CLASSES))
+            at = np.minimum(np.searchsorted(rest, h[few]), len(rest) - 1) if len(rest) else np.zeros(len(few), int)
+            held = rest[at] == h[few] if len(rest) else np.zeros(len(few), bool)
+            logp[few[held]] += share[at[held]]
+            left = few[~held]  # words whose share is joined
             end = np.cumsum(n)
-            sums = np.concatenate([[0.0], np.cumsum(logp.astype(np.float64))])
-            total = sums[end] - sums[end - n]
-            mean = pd.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(total), pa.array(np.asarray(mean, float), mask=n == 0)], ["doc_id", "n_words", "log_likelihood", "per_word"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, per_word double")
+            sums = np.concatenate([[0.0], np.cumsum(logp)])
+            cuts = np.searchsorted(left, np.concatenate([[0], end])).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(h[left].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(sums[end] - sums[end - n]), lists], ["uid", "doc_id", "n_words", "ll", "few"])
+
+    known = common.stored(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(run, "uid long, doc_id long, n_words long, ll double, few array<long>"), "likelihood")
+    n = F.element_at(F.array(*[F.lit(float(x)) for x in of_class[VOCABULARY:CLASSES]]), F.pmod("word", F.lit(RARE)).cast("int") + 1)
+    met = known.select("uid", F.explode("few").alias("word")).join(counts.filter(F.col("n") < held_from(size.sum())), "word")
+    shares = met.groupBy("uid").agg(F.sum(F.ln(F.col("n") / n)).alias("share"))
+    total = F.col("ll") + F.coalesce("share", F.lit(0.0))
+    return known.join(shares, "uid", "left").select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("per_word"))

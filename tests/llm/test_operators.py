@@ -280,3 +280,27 @@ def test_classes_of_words_are_those_of_a_lookup(n):
     code = dict(zip(known.tolist(), words[1].tolist()))
     assert model.classes(asked, words).tolist() == [code.get(h, model.VOCABULARY + h % model.RARE) for h in asked.tolist()]
     assert model.classes(asked[:0], words).tolist() == []
+
+
+@pytest.mark.parametrize("held", [300, 2])
+def test_op2_scores_words_of_a_shared_class_apart(spark, monkeypatch, held):
+    model = pseudo_likelihood
+    monkeypatch.setattr(model, "HELD", held)  # 2: all words but one are joined
+    monkeypatch.setattr(model, "GROWS", 1200)  # classes grow
+    few = [f"w{i}" for i in range(1700)]
+    rows = [(i, w) for i, w in enumerate(few)] + [(5000, " ".join(few[:1200])), (5001, "w0 " * 50), (5002, None)]
+    table = common.stored(spark.createDataFrame(rows, SCHEMA), "shared")
+    every, size = model.vocabulary(table)
+    words, of_class, _, _ = model.shared(every, size)
+    assert size.sum() == of_class.sum() == 2950 and len(of_class) > model.CLASSES and every.shape[1] == (1700 if held == 300 else 1)
+    p = model.train(table, words, model.initial(of_class))
+    h = np.array([textkit.word_hashes(w)[0] for w in few])
+    code = model.classes(h, words)
+    n = np.array([51, *[2] * 1199, *[1] * 500])
+    own = (code < model.VOCABULARY) | (code >= model.CLASSES)
+    share = np.where(own, 1, n / of_class[code])
+    assert (~own).sum() > 400 and all(share[code == c].sum() == pytest.approx(1) for c in set(code.tolist()))
+    want = model.step(p, np.full((1700, 4), len(of_class)), code) + np.log(share)  # a word without sides
+    got = {r["doc_id"]: r["log_likelihood"] for r in model.scored(table).collect()}
+    assert [got[i] for i in range(1700)] == pytest.approx(want.tolist(), abs=0.02) and got[5002] == 0
+    assert np.exp([got[i] for i in range(1700)]).sum() <= 1.02
