@@ -26,13 +26,16 @@ def along_row(gap: np.ndarray, metric: str) -> np.ndarray:
     if metric == "manhattan":
         left = np.minimum.accumulate(gap - cols) + cols
         return np.minimum(left, (np.minimum.accumulate((gap + cols)[::-1])[::-1]) - cols)
-    if metric == "chessboard":
+    if metric in ("chessboard", "octile"):
         out = np.full(n, np.inf)
         for shift in range(n):  # a source at column offset `shift` can't give less than that
             if shift and (out <= shift).all():
                 break
-            out[shift:] = np.minimum(out[shift:], np.maximum(gap[: n - shift], shift))
-            out[: n - shift] = np.minimum(out[: n - shift], np.maximum(gap[shift:], shift))
+            d = np.maximum(gap, shift)
+            if metric == "octile":
+                d = d + (math.sqrt(2) - 1) * np.minimum(gap, shift)
+            out[shift:] = np.minimum(out[shift:], d[: n - shift])
+            out[: n - shift] = np.minimum(out[: n - shift], d[shift:])
         return out
     at = np.flatnonzero(np.isfinite(gap))
     if not len(at):
@@ -148,6 +151,44 @@ def border_cells(g: GridFrame, layer: str) -> DataFrame:
     return v.join(near, ["r", "c", "v"], "left").filter(F.coalesce("n", F.lit(0)) < 4).select("r", "c", "v")
 
 
+def between(g: GridFrame, layer: str, metric: str) -> DataFrame:
+    """a, b, d for each two classes a < b: a distance transform from the border cells of a, down the columns and along the rows."""
+    rows = g.meta.nrow
+
+    def column(f: pd.DataFrame) -> pd.DataFrame:
+        r, v = f["r"].to_numpy(), f["v"].to_numpy(float)
+        ids, at, gaps = np.unique(v), np.arange(rows), []
+        own = np.full(rows, np.nan)
+        own[r] = v
+        for a in ids:
+            s = np.sort(r[v == a])
+            k = np.searchsorted(s, at)
+            gaps.append(np.minimum(np.abs(at - s[np.maximum(k - 1, 0)]), np.abs(s[np.minimum(k, len(s) - 1)] - at)))
+        return pd.DataFrame({"a": np.repeat(ids, rows), "b": np.tile(own, len(ids)), "r": np.tile(at, len(ids)), "c": f["c"].iloc[0], "gap": np.concatenate(gaps).astype(float)})
+
+    def row(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("a")
+        a, c, gap = f["a"].to_numpy(), f["c"].to_numpy(), f["gap"].to_numpy()
+        c = c - c.min()
+        own = np.full(c.max() + 1, np.nan)
+        own[c] = f["b"].to_numpy(float)
+        to = np.argsort(own)[: np.isfinite(own).sum()]
+        ids, first = np.unique(own[to], return_index=True)
+        starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        out = []
+        for i, j in zip(starts, [*starts[1:], len(a)]):
+            k = np.searchsorted(ids, a[i], side="right")
+            if k < len(ids):
+                near = np.full(len(own), np.inf)
+                near[c[i:j]] = gap[i:j]
+                d = np.minimum.reduceat(along_row(near, metric)[to], first)
+                out.append(pd.DataFrame({"a": a[i], "b": ids[k:], "d": d[k:]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "d": []}, dtype=float)
+
+    gaps = border_cells(g, layer).filter("v <> 0").groupBy("c").applyInPandas(column, "a double, b double, r int, c int, gap double")
+    return gaps.groupBy("r").applyInPandas(row, "a double, b double, d double").groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
 def along_lines(g: GridFrame, layer: str, cost: str) -> DataFrame:
     """a, b, d: costs summed along the straight line between the nearest cells of each two classes, rounded half to even."""
     b = border_cells(g, layer).filter("v <> 0")
@@ -187,10 +228,7 @@ def class_distance(g: GridFrame, routing: str = "cheapest", cost: str | None = N
             parts = one if parts is None else parts.unionByName(one)
         pairs = parts
     else:
-        b = border_cells(g, layer).filter("v <> 0")
-        dx, dy = F.abs(F.col("p.c") - F.col("q.c")), F.abs(F.col("p.r") - F.col("q.r"))
-        d = F.sqrt(dx * dx + dy * dy) if routing == "straight" else F.greatest(dx, dy) + (math.sqrt(2) - 1) * F.least(dx, dy)
-        met = b.alias("p").join(b.alias("q"), F.col("p.v") < F.col("q.v")).groupBy(F.col("p.v").alias("a"), F.col("q.v").alias("b")).agg(F.min(d).alias("d"))
+        met = between(g, layer, "euclidean" if routing == "straight" else "octile")
         ids = g.values(layer).filter("v is not null and v <> 0").select(F.col("v").alias("a")).distinct()
         pairs = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).unionByName(ids.select("a", F.col("a").alias("b"), F.lit(float("inf")).alias("d")))
     from dataclasses import replace

@@ -265,6 +265,26 @@ def nearest_other_class(spark, sf_dir):
     return g.table("few").select("gid", F.round("enn", 6).alias("enn"))
 
 
+# the same over all classes of the layer
+_ALL = ", few AS (SELECT * FROM cells WHERE n <> 0)"
+
+
+@query("class_distance_straight_all", sql("SELECT x.n AS a, y.n AS b, round(CASE WHEN x.n = y.n THEN 'Infinity'::DOUBLE ELSE min(sqrt((x.r - y.r) * (x.r - y.r) + (x.c - y.c) * (x.c - y.c))) END, 6) AS value FROM few x, few y GROUP BY 1, 2", _ALL))
+def class_distance_straight_all(spark, sf_dir):
+    return o.class_distance(supply(spark, sf_dir), "straight", layer="n").pairs[("n", "distance")].select("a", "b", F.round("value", 6).alias("value"))
+
+
+@query("class_distance_cheapest_all", sql("SELECT x.n AS a, y.n AS b, round(CASE WHEN x.n = y.n THEN 'Infinity'::DOUBLE ELSE min(greatest(abs(x.r - y.r), abs(x.c - y.c)) + (sqrt(2) - 1) * least(abs(x.r - y.r), abs(x.c - y.c))) END, 6) AS value FROM few x, few y GROUP BY 1, 2", _ALL))
+def class_distance_cheapest_all(spark, sf_dir):
+    return o.class_distance(supply(spark, sf_dir), layer="n").pairs[("n", "distance")].select("a", "b", F.round("value", 6).alias("value"))
+
+
+@query("nearest_other_class_all", sql("SELECT CAST(x.n AS INTEGER) AS gid, round(min(sqrt((x.r - y.r) * (x.r - y.r) + (x.c - y.c) * (x.c - y.c))), 6) AS enn FROM few x LEFT JOIN few y ON x.n <> y.n GROUP BY 1", _ALL))
+def nearest_other_class_all(spark, sf_dir):
+    g = metric(o.class_distance(supply(spark, sf_dir), "straight", layer="n"), "min(distance.others)", "enn", layer="n")
+    return g.table("n").filter("gid <> 0").select("gid", F.round("enn", 6).alias("enn"))
+
+
 @query("gyrate", sql("SELECT CAST(n AS INTEGER) AS gid, round(avg(sqrt(pow(c - mx, 2) + pow(r - my, 2))), 6) AS gyrate FROM (SELECT n, r, c, avg(c) OVER (PARTITION BY n) AS mx, avg(r) OVER (PARTITION BY n) AS my FROM cells) GROUP BY n"))
 def gyrate(spark, sf_dir):
     g = metric(supply(spark, sf_dir), "mean(sqrt((x.self - mean(x.self))^2 + (y.self - mean(y.self))^2))", "gyrate", layer="n")

@@ -160,3 +160,32 @@ def test_round_trip(spark, tmp_path):
     sources.write(g, f"file://{tmp_path}/g")
     back = sources.read(spark, f"file://{tmp_path}/g")
     assert back.pull() == g.pull() and back.meta == g.meta and back.table().count() == 3
+
+
+@pytest.mark.parametrize("routing", ["straight", "cheapest"])
+def test_class_distances_of_all_classes_against_brute_force(spark, routing):
+    from gridframe import queries_coverage  # noqa: F401
+    from gridframe.queries import QUERIES, supply
+
+    cells = [(x["r"], x["c"], x["n"]) for x in supply(spark, "/root/testdata/sf0.001").cells.collect() if x["n"]]
+    want = {(n, n): math.inf for _, _, n in cells}
+    for r, c, n in cells:
+        for y, x, m in cells:
+            i, j = abs(r - y), abs(c - x)
+            d = math.hypot(i, j) if routing == "straight" else max(i, j) + (math.sqrt(2) - 1) * min(i, j)
+            if n != m and d < want.get((n, m), math.inf):
+                want[(n, m)] = d
+    got = {(x["a"], x["b"]): x["value"] for x in QUERIES[f"class_distance_{routing}_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(want) > 9 and got == pytest.approx(want, abs=1e-6)
+
+
+@pytest.mark.parametrize("routing", ["straight", "cheapest"])
+def test_class_distances_of_scattered_classes(spark, routing):
+    rnd = random.Random(4)
+    text = "/".join("".join(rnd.choice("00000000000000012345" if i > 9 else "0000000006") for _ in range(23)) for i in range(17))
+    cells = [(r, c, float(v)) for r, line in enumerate(text.split("/")) for c, v in enumerate(line) if v != "0"]
+    got = pairs(o.class_distance(drawn(spark, text), routing, unit="cells", layer="values"), "values")
+    far = lambda i, j: math.hypot(i, j) if routing == "straight" else max(i, j) + (math.sqrt(2) - 1) * min(i, j)
+    ids = sorted({v for _, _, v in cells})
+    want = {(a, b): math.inf if a == b else min(far(abs(r - y), abs(c - x)) for r, c, v in cells if v == a for y, x, w in cells if w == b) for a in ids for b in ids}
+    assert got == pytest.approx(want, abs=1e-6)
