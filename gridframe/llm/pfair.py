@@ -2,23 +2,28 @@
 
 A source of weight w gives its i-th block the release time floor(i / w) and the deadline ceil((i + 1) / w); in each slot the
 released block with the earliest deadline goes next.  One slot holds one block, the weights sum to 1, so every block meets
-its window and a source's share never differs by a block or more from its weight times the slots.  Weights are multiples
-of 1 / PERIOD, so the schedule repeats after PERIOD slots: the driver simulates one period and a block's slot follows by
-arithmetic.  When a source is used up, the others go on with their weights scaled up.
+its window and a source's share never differs by a block or more from its weight times the slots.  Windows
+are exact, in whole numbers, and the driver simulates every slot, a block of rows each.  When a source is used up, the
+others go on with their weights scaled up.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridframe.llm import common
 
-PERIOD = 4096
 BLOCK_ROWS = 32
+#: Blocks that the driver holds at once, and up to which their table is broadcast.
+HELD, BROADCAST = 500_000, 40_000
 #: Sources whose counts the driver takes in; weights are a dict, so this is far above any real mixture.
 MOST_SOURCES = 100_000
 
@@ -45,53 +50,63 @@ def windows(i: int, quota: int, period: int) -> tuple[int, int]:
     return i * period // quota, -(-(i + 1) * period // quota)
 
 
-def timetable(quota: dict, period: int) -> list:
-    """The source of each slot of a period, by earliest deadline among the released blocks."""
-    names = sorted(quota, key=str)
-    coming = [(0, k) for k in range(len(names))]
-    done, ready, out = [0] * len(names), [], []
-    heapq.heapify(coming)
-    for t in range(period):
+def earliest(quota: list[int], period: int) -> Iterator[tuple[int, int, int, int]]:
+    """Slot by slot the source, its block's number, release time and deadline, by earliest deadline among the released blocks."""
+    coming, ready, done, t = [(0, k) for k in range(len(quota))], [], [0] * len(quota), 0
+    while True:
         while coming and coming[0][0] <= t:
-            _, k = heapq.heappop(coming)
-            heapq.heappush(ready, (windows(done[k], quota[names[k]], period)[1], k))
-        _, k = heapq.heappop(ready)
-        out.append(names[k])
+            release, k = heapq.heappop(coming)
+            heapq.heappush(ready, (windows(done[k], quota[k], period)[1], k, release))
+        deadline, k, release = heapq.heappop(ready)
+        yield k, done[k], release, deadline
         done[k] += 1
-        if done[k] < quota[names[k]]:
-            heapq.heappush(coming, (windows(done[k], quota[names[k]], period)[0], k))
-    return out
+        heapq.heappush(coming, (windows(done[k], quota[k], period)[0], k))
+        t += 1
 
 
-def phases(blocks: dict, weights: dict, period: int = PERIOD) -> list[dict]:
-    """Runs of whole or cut periods that use up every block: start slot, periods and, by source, its first block, quota and slots."""
-    left, used, start, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        length = max(period, 1 << (2 * len(left) - 1).bit_length())
-        quota = quotas({s: weights[s] for s in left}, length)
-        order = timetable(quota, length)
-        whole = min(left[s] // quota[s] for s in left)
-        if not whole:
-            seen = dict.fromkeys(left, 0)
-            for t, s in enumerate(order):
-                if seen[s] == left[s]:
-                    order = order[:t]
-                    break
-                seen[s] += 1
-        slots: dict = {s: [] for s in left}
-        for t, s in enumerate(order):
-            slots[s].append(t)
-        out.append({"start": start, "length": length, "sources": {s: (used[s], quota[s], slots[s]) for s in left if slots[s]}, "periods": max(whole, 1)})
-        for s in left:
-            used[s] += len(slots[s]) * max(whole, 1)
-        start += len(order) * max(whole, 1)
-        left = {s: blocks[s] - used[s] for s in left if blocks[s] > used[s]}
-    return out
+def timetable(quota: dict, period: int) -> list:
+    """The source of each slot of a period."""
+    names = sorted(quota, key=str)
+    return [names[k] for k, *_ in islice(earliest([quota[s] for s in names], period), period)]
+
+
+def placed(blocks: dict, weights: dict) -> Iterator[tuple]:
+    """Source, block, target, release, deadline and slot of every block.  A phase ends when the next source is used up."""
+    used, start = dict.fromkeys(blocks, 0), 0
+    while left := sorted((s for s, n in blocks.items() if used[s] < n), key=str):
+        total = sum(weights[s] for s in left)
+        exact = [Fraction(weights[s]) for s in left]
+        common_part = math.lcm(*(x.denominator for x in exact))
+        quota = [int(x * common_part) for x in exact]
+        first, slot = dict(used), start
+        for k, i, release, deadline in earliest(quota, sum(quota)):
+            s = left[k]
+            if used[s] == blocks[s]:
+                break
+            yield s, first[s] + i, weights[s] / total, start + release, min(start + deadline, (1 << 63) - 1), slot
+            used[s] += 1
+            slot += 1
+        start = slot
+
+
+def timetables(spark: SparkSession, blocks: dict, weights: dict) -> DataFrame:
+    """placed() as a table; of many blocks the driver holds a part at a time."""
+    kinds = [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["_s", "_block", "target", "release", "deadline", "slot"]
+    rows, out = placed(blocks, weights), None
+    while (part := list(islice(rows, HELD))) or out is None:
+        columns = list(zip(*part)) or [[]] * len(names)
+        table = spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names))
+        if out is not None or len(part) == HELD:
+            table = common.stored(table, "timetable")
+        out = table if out is None else out.unionByName(table)
+    return F.broadcast(out) if sum(blocks.values()) <= BROADCAST else out
 
 
 def scheduled(rows: DataFrame, source: str, key: str, weights: dict | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """rows and where each goes: target, block, release, deadline, slot and position (unique; the order of the mixture).
 
+    target is the weight asked for, over the sum of the weights of the sources not yet used up.
     rows has to be stored.  `key` is a unique column; its hash orders the rows of a source.  A null source is a source
     like any other.  Without weights a source's target is the square root of its rows.  Every row is kept.
     """
@@ -103,27 +118,13 @@ def scheduled(rows: DataFrame, source: str, key: str, weights: dict | None = Non
         weights = {s: math.sqrt(n) for s, n in counts.items()}
     if missing := [s for s in counts if not weights.get(s, 0) > 0]:
         raise ValueError(f"no positive weight for {missing[:5]}")
-    plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, weights)
-    table = [(s, p["start"], p["length"], first, first + len(slots) * p["periods"], quota, slots) for p in plan for s, (first, quota, slots) in p["sources"].items()]
-    known = spark.createDataFrame(table, "_s string, _from long, _length long, _first long, _past long, _quota long, _slots array<int>")
-    if len(plan) * PERIOD <= 2_000_000:  # entries of all slots arrays: at most 8 MB
-        known = F.broadcast(known)
+    known = timetables(spark, {s: -(-n // block_rows) for s, n in counts.items()}, weights)
     h = F.xxhash64(key)
     chunk = F.shiftrightunsigned(h, 64 - (common.CHUNKS - 1).bit_length())
     numbered = common.ranked(rows, [source], chunk, [h, F.col(key)], "_rank").withColumn("_block", F.floor(F.col("_rank") / block_rows))
-    joined = numbered.join(known, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_past")))
-    i = F.col("_block") - F.col("_first")
-    many = F.size("_slots")
-    base = F.col("_from") + F.floor(i / many) * F.col("_length")
-    k = F.pmod(i, many)
-    # integer forms of k * length / quota rounded down and of (k + 1) * length / quota rounded up
-    release = base + F.floor(k * F.col("_length") / F.col("_quota"))
-    deadline = base + F.ceil((k + 1) * F.col("_length") / F.col("_quota"))
-    slot = (base + F.get("_slots", k.cast("int"))).cast("long")
-    return joined.select(
-        *[c for c in rows.columns if c not in RESULTS], (F.col("_quota") / F.col("_length")).alias("target"), F.col("_block").alias("block"), release.cast("long").alias("release"), deadline.cast("long").alias("deadline"),
-        slot.alias("slot"), (slot * block_rows + F.pmod("_rank", F.lit(block_rows))).cast("long").alias("position"),
-    )
+    joined = numbered.drop(*[c for c in rows.columns if c in RESULTS]).alias("l").join(known.alias("k"), F.col(f"l.{source}").eqNullSafe(F.col("k._s")) & (F.col("l._block") == F.col("k._block")))
+    position = (F.col("slot") * block_rows + F.pmod("_rank", F.lit(block_rows))).cast("long").alias("position")
+    return joined.select(*[f"l.{c}" for c in rows.columns if c not in RESULTS], "target", F.col("k._block").alias("block"), "release", "deadline", "slot", position)
 
 
 def mixed(docs: DataFrame, source: str = "source", weights: dict | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:

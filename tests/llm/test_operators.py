@@ -304,3 +304,30 @@ def test_op2_scores_words_of_a_shared_class_apart(spark, monkeypatch, held):
     got = {r["doc_id"]: r["log_likelihood"] for r in model.scored(table).collect()}
     assert [got[i] for i in range(1700)] == pytest.approx(want.tolist(), abs=0.02) and got[5002] == 0
     assert np.exp([got[i] for i in range(1700)]).sum() <= 1.02
+
+
+def test_op10_stays_within_a_block_of_the_weights_on_long_runs(spark, monkeypatch):
+    from fractions import Fraction
+
+    weights = {"a": 0.5 + 1e-4, "b": 0.3, "c": 0.2 - 1.3e-4, "d": 3e-5}
+    total = sum(map(Fraction, weights.values()))
+    blocks = {"a": 20_000, "b": 30_000, "c": 30_000, "d": 30_000}
+    seen, first_phase, slots = dict.fromkeys(weights, 0), True, []
+    for s, block, target, release, deadline, slot in pfair.placed(blocks, weights):
+        slots.append(slot)
+        assert block == seen[s] and release <= slot < deadline
+        seen[s] += 1
+        first_phase = first_phase and target == pytest.approx(weights[s] / float(total), abs=1e-12)
+        if first_phase:
+            assert abs(seen[s] - Fraction(weights[s]) / total * (slot + 1)) < 1
+    assert seen == blocks and slots == list(range(sum(blocks.values())))
+    # the same rows come out when the driver holds few blocks and joins them
+    rows = common.stored(spark.createDataFrame([(i, "ab"[i % 2] if i % 5 else None) for i in range(900)], "uid long, source string"), "rows")
+    want = sorted(map(repr, pfair.scheduled(rows, "source", "uid", None, 4).collect()))
+    monkeypatch.setattr(pfair, "HELD", 50)
+    monkeypatch.setattr(pfair, "BROADCAST", 0)
+    got = pfair.scheduled(rows, "source", "uid", None, 4)
+    assert sorted(map(repr, got.collect())) == want and len(want) == 900
+    n = {r["source"]: r["target"] for r in got.filter("slot = 0 or slot < 5").collect()}
+    root = {"a": 360**0.5, "b": 360**0.5, None: 180**0.5}
+    assert all(v == pytest.approx(root[s] / sum(root.values())) for s, v in n.items())
