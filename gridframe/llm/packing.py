@@ -3,7 +3,8 @@
 The pieces' length histogram (a row for each length up to the sequence length) goes to the driver; a configuration linear
 program over it is solved by multiplicative weights, whose pricing step is a knapsack by dynamic programming.  The
 fractional solution is rounded down and the lengths that are left are filled best-fit, on counts alone.  The pieces
-then find their places from their number within their length.
+then find their places from their number within their length, in the order of the input: the patterns take turns along
+it, and sequences are numbered by their first piece's position.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,32 +23,40 @@ from gridframe.llm import common, tokens
 CAPACITY, END = 1024, 2
 #: Pricing rounds of the linear program and their step.
 ROUNDS, EPSILON = 600, 0.2
+#: Turns that each pattern takes along the input.
+TURNS = 64
 
-PIECES = "doc_id long, uid long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, part string, at long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """The pieces of docs(doc_id, text): each document's ids and then `end`, cut if longer than a sequence.
 
     The first piece of a cut document takes what the others, all of full length, leave.  A null or empty text is one
-    piece, the end id alone.
+    piece, the end id alone.  part and at say where the row is: file and row of a stored table, else partition and row.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path)
         for batch in batches:
-            out = [[] for _ in range(6)]
-            for doc, uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            out = [[] for _ in range(7)]
+            for doc, part, row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
                 ids = np.append(encode.ids(text.as_py()), np.uint32(end)).astype("<u4")
                 at, k = 0, 0
                 length = len(ids) % capacity or capacity
                 while at < len(ids):
-                    for to, v in zip(out, (doc, uid, k, at, length, zlib.crc32(ids[at : at + length].tobytes()))):
+                    for to, v in zip(out, (doc, part, row, k, at, length, zlib.crc32(ids[at : at + length].tobytes()))):
                         to.append(v)
                     at, k, length = at + length, k + 1, capacity
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if i == 2 else pa.int64()) for i, v in enumerate(out)], ["doc_id", "uid", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(i, pa.int64())) for i, v in enumerate(out)], ["doc_id", "part", "at", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text").mapInArrow(cut, PIECES)
+    kinds = {1: pa.string(), 3: pa.int32()}
+    try:
+        placed = docs.select("doc_id", F.col("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("at"), "text")
+    except AnalysisException:
+        n = F.monotonically_increasing_id()
+        placed = docs.select("doc_id", F.shiftright(n, 33).cast("string").alias("part"), n.bitwiseAND((1 << 33) - 1).alias("at"), "text")
+    return placed.mapInArrow(cut, PIECES)
 
 
 def _best_config(lengths: np.ndarray, value: np.ndarray, capacity: int) -> dict[int, int]:
@@ -137,6 +147,12 @@ def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     return out
 
 
+def in_turns(patterns: list[tuple[dict[int, int], int]], turns: int = TURNS) -> list[tuple[dict[int, int], int]]:
+    """The same patterns as often, each spread evenly over so many turns."""
+    spread = [(pattern, many * (t + 1) // turns - many * t // turns) for t in range(turns) for pattern, many in patterns]
+    return [(pattern, many) for pattern, many in spread if many]
+
+
 def places(patterns: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
     """By length and rank: where a run of ranks starts, its copies a sequence, its first sequence and offset."""
     rows, sequence, taken = [], 0, {}
@@ -156,11 +172,16 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     """Where each piece of docs(doc_id, text) goes: a row for each piece of each row.
 
     doc_id, piece, start, length, ids_crc32, sequence_id and offset.  Repeated rows are packed once each; a null
-    doc_id stays null; an empty table gives no rows.
+    doc_id stays null; an empty table gives no rows.  Sequences follow the order of docs, by files and rows if it is stored.
     """
+    spark = docs.sparkSession
     cut = common.stored(pieces(docs, path or tokens.default_path(), capacity), "pieces")
     histogram = {r[0]: r[1] for r in cut.groupBy("length").agg(F.count(F.lit(1))).collect()}  # at most `capacity` rows
-    found = places(plan(histogram, capacity))
+    found = places(in_turns(plan(histogram, capacity)))
+    starts, rows = [], 0
+    for part, n in sorted(cut.groupBy("part").agg(F.max("at") + 1).collect(), key=lambda r: (len(r[0]), r[0])):  # a row a file
+        starts.append((part, rows))
+        rows += n
 
     def place(frames):
         for f in frames:
@@ -168,11 +189,16 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
             # (length, rank) as one ascending number: ranks stay below `span`
             at = np.searchsorted(found["length"] * span + found["rank"], length * span + rank, side="right") - 1
             past = rank - found["rank"][at]
-            f["sequence_id"] = found["sequence"][at] + past // found["copies"][at]
+            f["slot"] = found["sequence"][at] + past // found["copies"][at]
             f["offset"] = found["offset"][at] + past % found["copies"][at] * length
-            yield f[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+            yield f[["doc_id", "piece", "start", "length", "ids_crc32", "position", "slot", "offset"]]
 
     span = max([1, *histogram.values()]) + 1
-    chunk = F.pmod(F.xxhash64("uid", "piece"), F.lit(common.CHUNKS))
-    numbered = common.ranked(cut, ["length"], chunk, [F.col("uid"), F.col("piece")], "rank")
-    return numbered.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    known = F.broadcast(spark.createDataFrame(starts, "part string, _first long"))
+    lined = cut.join(known, "part").select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("at")).alias("position"))
+    chunk = F.floor(F.col("position") * common.CHUNKS / max(rows, 1))
+    numbered = common.ranked(lined, ["length"], chunk, [F.col("position"), F.col("piece")], "rank")
+    placed = common.stored(numbered.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, position long, slot long, offset long"), "placed")
+    first = common.stored(placed.groupBy("slot").agg(F.min("position").alias("position")), "slots")
+    order = common.ranked(first, [], chunk, [F.col("position"), F.col("slot")], "sequence_id").select("slot", "sequence_id")
+    return placed.join(order, "slot").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

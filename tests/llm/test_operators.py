@@ -331,3 +331,29 @@ def test_op10_stays_within_a_block_of_the_weights_on_long_runs(spark, monkeypatc
     n = {r["source"]: r["target"] for r in got.filter("slot = 0 or slot < 5").collect()}
     root = {"a": 360**0.5, "b": 360**0.5, None: 180**0.5}
     assert all(v == pytest.approx(root[s] / sum(root.values())) for s, v in n.items())
+
+
+def test_op3_sequences_follow_the_order_of_the_input(spark):
+    rnd = random.Random(2)
+    rows = [(i, "lorem ipsum dolor " * rnd.choice([3, 20, 47, 90, 130, 333, 700])) for i in rnd.sample(range(10_000), 4000)]
+    at = {doc: k for k, (doc, _) in enumerate(rows)}
+    table = spark.createDataFrame(rows, SCHEMA).repartition(1).limit(0).unionByName(spark.createDataFrame(rows, SCHEMA))
+    for docs in (table, common.stored(table, "lined")):
+        got = packing.packed(docs).toPandas()
+        got["at"] = got["doc_id"].map(at)
+        first = got.groupby("sequence_id")["at"].min().sort_index()
+        assert (first.diff().dropna() >= 0).all() and sorted(first.index) == list(range(len(first)))
+        spread = got.groupby("sequence_id")["at"].agg(lambda v: v.max() - v.min())
+        assert spread.mean() < 0.1 * len(rows)  # a sequence's pieces are near one another
+
+
+def test_pipeline_packs_in_the_order_of_the_mixture(spark):
+    import corpus_pipeline
+
+    docs = common.stored(common.table(spark, DIR, "documents"), "docs")
+    keys = common.stored(docs.selectExpr("doc_id", "monotonically_increasing_id() as uid", "cast(source as string) as source"), "keys")
+    at = {r["doc_id"]: r["position"] for r in pfair.scheduled(keys, "source", "uid").collect()}
+    mixed = common.stored(corpus_pipeline.mix_sources(spark, docs, DIR), "mixed")
+    got = corpus_pipeline.pack(spark, mixed, DIR).toPandas()
+    first = got.assign(at=got["doc_id"].map(at)).groupby("sequence_id")["at"].min().sort_index()
+    assert (first.diff().dropna() >= 0).all() and len(first) > 20
