@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary.
 
 The vocabulary is a `tokenizers` JSON file.  Where its ids are in merge order (each id is then its own rank), tiktoken
-computes the same ids several times faster; any other file is run by `tokenizers` itself.  Special tokens in a text
-are ordinary text.
+computes the same ids several times faster; any other file, and a text that holds an added token, is run by `tokenizers`
+itself.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def _bytes_of() -> dict[str, int]:
 
 class Encoder:
     def __init__(self, path: str):
-        self.path, self.slow, self.fast = path, None, None
+        self.path, self.slow, self.fast, self.added = path, None, None, ()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -41,8 +41,8 @@ class Encoder:
             import tiktoken
 
             byte = _bytes_of()
-            special = {t["content"] for t in spec.get("added_tokens", [])}
-            ranks = {bytes(byte[c] for c in word): i for word, i in vocab.items() if word not in special}
+            self.added = tuple(t["content"] for t in spec.get("added_tokens", []))
+            ranks = {bytes(byte[c] for c in word): i for word, i in vocab.items() if word not in self.added}
             self.fast = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def exact(self, text: str) -> list[int]:
@@ -51,13 +51,12 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.path)
-            self.slow.encode_special_tokens = True
         return self.slow.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if self.fast is None:
+        if self.fast is None or any(t in text for t in self.added):
             return np.array(self.exact(text), np.uint32)
         return np.asarray(self.fast.encode_ordinary(text), np.uint32)
 

@@ -357,3 +357,12 @@ def test_pipeline_packs_in_the_order_of_the_mixture(spark):
     got = corpus_pipeline.pack(spark, mixed, DIR).toPandas()
     first = got.assign(at=got["doc_id"].map(at)).groupby("sequence_id")["at"].min().sort_index()
     assert (first.diff().dropna() >= 0).all() and len(first) > 20
+
+
+def test_op3_added_tokens_are_those_of_tokenizers():
+    from tokenizers import Tokenizer
+
+    encoder, plain = tokens.encoder(tokens.default_path()), Tokenizer.from_file(tokens.default_path())
+    assert encoder.ids("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    for text in ("<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext", "a |endoftext|> b"):
+        assert encoder.ids(text).tolist() == encoder.exact(text) == plain.encode(text, add_special_tokens=False).ids
