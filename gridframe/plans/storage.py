@@ -4,16 +4,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: With it the shuffle files of a query go when the query ends, not when the driver's heap is next collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for as long as the block runs."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """spark.checkpoint.dir; where it is unset, a folder of our own if driver and executors are one process, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -38,10 +57,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
-    """The rows of df, written as Parquet in the shared folder: cuts lineage and survives lost executors."""
+    """The rows of df, written as Parquet in the shared folder: cuts lineage, survives lost executors and frees its shuffle files."""
     spark = df.sparkSession
     path = path or new_path(spark, tag)
-    df.write.mode("overwrite").parquet(path)
+    with setting(spark, _CLEANUP, "true"):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
