@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -192,10 +193,14 @@ def test_op7_estimates_are_unbiased():
 def test_op8_against_sets(spark, docs, empty):
     import re
 
-    rows = [(i, t) for i, t in enumerate([t for _, t in TEXTS] + ["abc\ndef\n\nabc", "é" * 400, "\n".join(str(k) for k in range(700))])]
+    rows = [(i, t) for i, t in enumerate([t for _, t in TEXTS] + ["abc\ndef\n\nabc", "é" * 400, "\n".join(str(k) for k in range(700)), "abc\ndef\nabc\nabc", "a\n" * 3000, "a\n" * 4000])]
     table = common.stored(spark.createDataFrame(rows, SCHEMA), "texts")
     got = {r["doc_id"]: r for r in fingerprints.compared(table).collect()}
-    units = lambda t: set(re.findall(r"[^\n]{1,%d}" % fingerprints.PIECE, t))
+
+    def units(t):
+        cut = re.findall(r"[^\n]{1,%d}" % fingerprints.SHORT, t[: fingerprints.OPENING]) + re.findall(r"[^\n]{1,%d}" % fingerprints.PIECE, t[fingerprints.OPENING :])
+        return {(x, k) for x, n in Counter(cut).items() for k in range(n)}
+
     dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
     order = sorted(rows, reverse=True)
     for k, (i, t) in enumerate(order):
@@ -208,6 +213,26 @@ def test_op8_against_sets(spark, docs, empty):
     assert fingerprints.compared(docs).count() == len(TEXTS) and fingerprints.compared(empty).count() == 0
 
 
+def test_rows_keep_their_ids_however_a_scan_is_cut(spark):
+    table = common.table(spark, "/root/testdata/sf0.1", "documents").select("doc_id")
+    assert common.steady(table) is table
+    before = {r["doc_id"]: r["uid"] for r in common.with_row_id(table, "uid").collect()}
+    with common.setting(spark, "spark.sql.leafNodeDefaultParallelism", "2"):
+        after = {r["doc_id"]: r["uid"] for r in common.with_row_id(table, "uid").collect()}
+    assert before == after and len(set(before.values())) == len(before) == 10_000
+    made = common.steady(spark.createDataFrame([(1, 2), (1, 2)], "_file int, uid long"))
+    assert common.with_row_id(made, "row").columns == ["_file", "uid", "row"] and common.with_row_id(made, "row").select("row").distinct().count() == 2
+
+
+def test_hot_keys_are_joined_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 20)
+    rows = common.stored(spark.createDataFrame([(i % 7 if i % 2 else 100, i) for i in range(300)], "k long, v long"), "rows")
+    table = common.stored(rows.groupBy("k").count().filter("k <> 3"), "counts")
+    want = sorted(map(tuple, rows.join(table, "k").collect()))
+    assert sorted(map(tuple, common.spread(rows, table, ["k"], "count").collect())) == want and len(want) > 200
+    assert common.spread(rows, table, ["k"], "count", "left").count() == 300
+
+
 def test_op9_signatures_are_unbiased():
     rng, off = np.random.default_rng(1), []
     for _ in range(100):
