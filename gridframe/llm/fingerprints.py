@@ -17,12 +17,12 @@ from gridframe.llm import common
 
 #: Characters of a piece of a line, and of one in a text's first OPENING characters, so that short texts have several.
 PIECE, SHORT, OPENING = 120, 24, 240
-#: Cells of a sub-table of a fingerprint, and peeling rounds.
-CELLS, ROUNDS = 64, 6
+#: Cells of a sub-table of a fingerprint, and peeling rounds, three of which go once through all cells.
+CELLS, ROUNDS = 64, 9
 #: Kinds of differences: to the edited text, to the next text.
 BY_EDIT, BY_NEXT = range(2)
 #: Digests of texts that a task takes, about: each fills some nine cells, of some 200 bytes of aggregation memory.
-TASK_DIGESTS = 30_000
+TASK_DIGESTS = 100_000
 _CHECK = 0xFFFFFFFF
 #: Steps back to the first of equal digests: a run of up to 2**31 is halved.
 _STEPS = [1 << k for k in range(30, -1, -1)]
@@ -93,19 +93,19 @@ def _summed(rows: DataFrame) -> DataFrame:
 def peeled(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """The cells after so many rounds; cell -1 counts the digests that were taken out.
 
-    A cell with count 1 or -1 whose check fits its digest gives that digest up; the digest leaves its three cells.
-    A digest that several cells give up in one round leaves once.
+    A cell with count 1 or -1 whose check fits its digest gives that digest up; the digest leaves its three cells.  The
+    sub-tables take turns, so that no digest is given up twice in a round.
     """
-    for _ in range(rounds):
-        key, m = F.col("key"), F.col("m")
-        pure = (F.abs("cnt") == 1) & (F.col("cell") >= 0) & (F.col("chk") == _check(key))
-        row = lambda cell, given, cnt, key, chk: F.struct(cell.alias("cell"), given.alias("given"), cnt.alias("cnt"), key.alias("key"), chk.alias("chk"))
-        zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
-        own = row(F.col("cell"), none, F.col("cnt"), key, F.col("chk"))
-        taken = [row(_cell(key, j, m), key, -F.col("cnt"), key, F.col("chk")) for j in range(3)] + [row(F.lit(-1).cast("long"), key, F.lit(1).cast("long"), zero, zero)]
-        moved = cells.select("uid", "kind", "m", F.explode(F.when(pure, F.array(own, *taken)).otherwise(F.array(own))).alias("t")).select("uid", "kind", "m", "t.*")
-        once = moved.groupBy("uid", "kind", "m", "cell", "given").agg(F.max("cnt").alias("cnt"), F.max("key").alias("key"), F.max("chk").alias("chk"))
-        cells = _summed(once)
+    for k in range(rounds):
+        key, m, j = F.col("key"), F.col("m"), k % 3
+        pure = (F.abs("cnt") == 1) & (F.col("cell") >= j * m) & (F.col("cell") < (j + 1) * m) & (F.col("chk") == _check(key))
+        row = lambda cell, cnt, key, chk: F.struct(cell.alias("cell"), cnt.alias("cnt"), key.alias("key"), chk.alias("chk"))
+        one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+        rest = row(F.col("cell"), F.col("cnt"), key, F.col("chk"))
+        # the cell itself comes empty; the other two lose the digest
+        others = [row(_cell(key, i, m), -F.col("cnt"), key, F.col("chk")) for i in range(3) if i != j]
+        moved = cells.select("uid", "kind", "m", F.explode(F.when(pure, F.array(*others, row(F.lit(-1).cast("long"), one, zero, zero))).otherwise(F.array(rest))).alias("t"))
+        cells = _summed(moved.select("uid", "kind", "m", "t.*"))
     return cells
 
 
