@@ -1,159 +1,253 @@
 """WARC archives with revisit records, through Spark's own readers and writers.
 
-Archives are written by the text sink with the record separator CR LF CR LF, so any file system that Spark reaches will do
-and a lost task's files are never committed.  A record is one row: its header, a blank line, an HTTP head, a blank line
-and the payload.  They are read back as whole files (each holds at most FILE_ROWS records) and cut by Content-Length.
+A record is a gzip member of its own, and the blank lines after it are another, so that readers can start at any record.
+Tasks gather members into chunks, which Spark's text sink writes: a chunk is a row and the blank lines' member the line
+separator.  So any file system that Spark reaches will do, a lost task's files are never committed, and a file is bounded
+by its bytes, however long or short its records are.  Revisits are resolved on headers alone, shuffled by payload digest;
+payloads are only read file by file, to be written anew.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
+import time
+import uuid
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridframe.llm import common
 
+#: Shorter payloads aren't replaced by revisits.
 LEAST_BYTES = 100
-FILE_ROWS = 4000
-DATE = "2024-01-01T00:00:00Z"
+#: Compressed bytes of a chunk (a longer record is one of its own), chunks of a file, and the compression level.
+CHUNK_BYTES, FILE_CHUNKS, LEVEL = 1 << 20, 16, 4
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_CRLF = "\r\n"
-_HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+_END, _PIECE = b"\r\n\r\n", 1 << 16
+_HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _FIELD = re.compile(rb"^([^:\r\n]+):[ \t]*(.*?)\r?$", re.M)
+_BREAKS = re.compile(r"[\r\n]+")
+_SEPARATOR = gzip.compress(_END, mtime=0)
 
-HEADERS = "file string, at long, record_id string, type string, refers_to_id string, uri string, digest string, said_digest string, payload_bytes long, said_bytes long"
+HEADERS = "file string, at long, record_id string, type string, refers_to_id string, uri string, key string, digest string, said_digest string, payload_bytes long, said_bytes long"
+_NAMES = [c.split()[0] for c in HEADERS.split(", ")]
 
 
-def _record_id(number: Column) -> Column:
-    """A record's identifier from its number."""
-    return F.concat(F.lit("<urn:gridframe:record:"), F.coalesce(number.cast("string"), F.lit("none")), F.lit(">"))
+def member(fields: list[tuple[str, object]], body: bytes) -> bytes:
+    """A record as a gzip member.  Fields without a value are left out; line breaks in a value become spaces."""
+    head = "".join(f"{k}: {_BREAKS.sub(' ', str(v))}\r\n" for k, v in fields if v is not None)
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return packer.compress(f"WARC/1.1\r\n{head}Content-Length: {len(body)}\r\n\r\n".encode("utf-8", "surrogatepass")) + packer.compress(body) + packer.flush()
 
 
-def _line(name: str, value: Column) -> Column:
-    """A header line, left out if the value is null; line breaks in a value become spaces."""
-    return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value, "[\\r\\n]+", " "), F.lit(_CRLF)), F.lit(""))
+def response(record_id: str, date: str, uri: str | None, key: str | None, payload: bytes) -> bytes:
+    digest = "sha256:" + hashlib.sha256(payload).hexdigest()
+    fields = [("WARC-Type", "response"), ("WARC-Record-ID", record_id), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest), ("X-Row-Key", key), ("Content-Type", "application/http; msgtype=response")]
+    return member(fields, _HTTP + payload)
 
 
-def records(rows: DataFrame, date: str = DATE) -> DataFrame:
-    """value: the text of a record for each of rows(number, uri, payload, digest, bytes, first); first: null for a response, else the number of the response that it revisits."""
-    revisit = F.col("first").isNotNull()
-    body = F.concat(F.lit(_HTTP), F.when(revisit, F.lit("")).otherwise(F.coalesce("payload", F.lit(""))))
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"), F.when(revisit, F.lit("WARC-Type: revisit\r\n")).otherwise(F.lit("WARC-Type: response\r\n")),
-        _line("WARC-Record-ID", _record_id(F.col("number"))), _line("WARC-Date", F.lit(date)), _line("WARC-Target-URI", F.col("uri")),
-        _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), _line("X-Payload-Length", F.col("bytes").cast("string")),
-        F.when(revisit, F.concat(_line("WARC-Refers-To", _record_id(F.col("first"))), _line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
-        F.lit("Content-Type: application/http; msgtype=response\r\n"),
-    )
-    return rows.select(F.concat(head, F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit(_CRLF * 2), body).alias("value"))
+def revisit(record_id: str, date: str, uri: str | None, key: str | None, digest: str | None, size: int, original: str | None, original_uri: str | None) -> bytes:
+    """A revisit says the digest and the length of the payload that it leaves out."""
+    fields = [
+        ("WARC-Type", "revisit"), ("WARC-Record-ID", record_id), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest and (digest if ":" in digest else "sha256:" + digest)), ("X-Payload-Length", size),
+        ("WARC-Refers-To", original), ("WARC-Refers-To-Target-URI", original_uri), ("WARC-Profile", PROFILE), ("X-Row-Key", key), ("Content-Type", "application/http; msgtype=response"),
+    ]
+    return member(fields, _HTTP)
 
 
-def write(rows: DataFrame, path: str, date: str = DATE) -> None:
-    """Writes records(rows) as gzip-compressed archives."""
-    records(rows, date).write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
+def _chunks(members: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([_SEPARATOR.join(rows)], pa.binary())], ["value"])
+    for m in members:
+        if rows and size + len(m) > CHUNK_BYTES:
+            yield row()
+            rows, size = [], 0
+        rows.append(m)
+        size += len(m) + len(_SEPARATOR)
+    if rows:
+        yield row()
 
 
-def parsed(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, header and payload of each record of an archive."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        head = {k.decode().lower(): v.decode() for k, v in _FIELD.findall(data, at, end)}
-        size = int(head["content-length"])
-        body = data[end + 4 : end + 4 + size]
-        yield at, head, body.partition(b"\r\n\r\n")[2]
-        at = end + 8 + size
-
-
-def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """The headers of all records in archives below path, with the digest and length of the payload as read."""
-    import gzip
-
-    def cut(frames):
-        for frame in frames:
-            for name, data in zip(frame["path"], frame["content"]):
-                rows = []
-                for at, head, body in parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else bytes(data)):
-                    row = (name, at, head["warc-record-id"], head["warc-type"], head.get("warc-refers-to"), head.get("warc-target-uri"), hashlib.sha256(body).hexdigest(), head.get("warc-payload-digest", "").removeprefix("sha256:") or None, len(body), int(head.get("x-payload-length", len(body))))
-                    rows.append((*row, body.decode("utf-8", "replace")) if payloads else row)
-                yield pd.DataFrame(rows, columns=names)
+def _written(rows: DataFrame, make, path: str) -> None:
+    """Writes the members that make(batches of rows) yields."""
+    flat = rows.mapInArrow(lambda batches: _chunks(make(batches)), "value binary").select(F.col("value").cast("string").alias("value"))
+    flat.write.option("encoding", "ISO-8859-1").option("lineSep", _SEPARATOR.decode("latin-1")).option("maxRecordsPerFile", FILE_CHUNKS).text(path)
 
-    schema = HEADERS + (", payload string" if payloads else "")
-    names = [c.split()[0] for c in schema.split(", ")]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInPandas(cut, schema)
 
+def now() -> str:
+    return time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
 
-def number(record_id: Column) -> Column:
-    """The number in a record's identifier, null if it has none."""
-    return F.regexp_extract(record_id, r":record:(-?\d+)>", 1).try_cast("long")
 
+def write(rows: DataFrame, path: str, date: str | None = None) -> None:
+    """Writes rows(uri, key, payload) as archives below path, a full response for each row; a null payload is empty."""
+    run, date = uuid.uuid4().hex, date or now()
 
-def resolved(headers: DataFrame) -> DataFrame:
-    """headers with refers_to: the record id of the response that holds the payload; type, digest and payload_bytes for it.
+    def make(batches):
+        from pyspark import TaskContext
 
-    Headers of revisits are shuffled by the digest that they state and joined to the responses with that payload.
-    A revisit whose response isn't there keeps a null refers_to.
-    """
-    long = F.col("payload_bytes") >= LEAST_BYTES
-    originals = headers.filter((F.col("type") == "response") & long).groupBy("digest").agg(F.min("record_id").alias("original"), F.max("payload_bytes").alias("original_bytes"))
-    responses = headers.filter("type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("string"))
-    revisits = headers.filter("type = 'revisit'").drop("digest").withColumnRenamed("said_digest", "digest")
-    met = revisits.join(originals, "digest", "left").withColumn("refers_to", F.col("original")).withColumn("payload_bytes", F.coalesce("original_bytes", "said_bytes")).withColumn("said_digest", F.col("digest"))
-    return responses.unionByName(met.select(responses.columns))
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for uri, key, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                own = uuid.UUID(bytes=hashlib.md5(f"{run}|{part}|{n}".encode()).digest(), version=4)
+                yield response(f"<{own.urn}>", date, uri, key, payload.as_buffer().to_pybytes() if payload.is_valid else b"")
+                n += 1
 
+    _written(rows.select("uri", F.col("key").cast("string"), F.col("payload").cast("binary")), make, path)
 
-def marked(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows(number, payload, ..) with digest, bytes and first (see records): of equal payloads of LEAST_BYTES or more, the first by `order` is the response.
 
-    Only payloads that occur more than once go into the joined side; nulls sort last in `order`.
-    """
-    known = rows.withColumn("digest", F.sha2(F.coalesce("payload", F.lit("")).cast("binary"), 256)).withColumn("bytes", F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long"))
-    rank = F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))], F.col("number").alias("own"))
-    heads = known.filter(F.col("bytes") >= LEAST_BYTES)
-    shared = heads.groupBy("digest").agg(F.min(rank).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", F.col("f.own").alias("f"))
-    met = known.join(shared, "digest", "left")
-    return met.withColumn("first", F.when((F.col("bytes") >= LEAST_BYTES) & (F.col("f") != F.col("number")), F.col("f"))).drop("f")
+def _inflated(data: memoryview) -> Iterator[bytes]:
+    """The bytes of gzip members one after the other, piece by piece."""
+    at = 0
+    while at < len(data):
+        unpack = zlib.decompressobj(31)
+        while not unpack.eof:
+            if at >= len(data):
+                raise ValueError("the archive ends within a record")
+            piece = data[at : at + _PIECE]
+            yield unpack.decompress(piece)
+            at += len(piece) - len(unpack.unused_data)
+
+
+def _blank(buffer: bytearray) -> int:
+    """The bytes of blank lines at the start."""
+    return next((i for i, x in enumerate(buffer) if x not in b"\r\n"), len(buffer))
+
+
+def parsed(data: bytes | memoryview) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """Offset (once unzipped), header and payload of each record of an archive, which may be gzip members, one gzip stream or plain."""
+    view = memoryview(data)
+    stream, buffer, base = _inflated(view) if bytes(view[:2]) == b"\x1f\x8b" else iter([view]), bytearray(), 0
+    while True:
+        while (end := buffer.find(_END, blank := _blank(buffer))) < 0:
+            if (more := next(stream, None)) is None:
+                if buffer.strip():
+                    raise ValueError(f"no whole record at byte {base}")
+                return
+            buffer += more
+        del buffer[:blank]
+        base, end = base + blank, end - blank
+        if buffer[:5] != b"WARC/":
+            raise ValueError(f"no record at byte {base}")
+        head = {k.decode("utf-8", "replace").lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(bytes(buffer[: end + 2]))}
+        last = end + 4 + int(head["content-length"])
+        while len(buffer) < last:
+            if (more := next(stream, None)) is None:
+                raise ValueError(f"the record at byte {base} is cut off")
+            buffer += more
+        body = bytes(buffer[end + 4 : last])
+        yield base, head, body.partition(_END)[2] if head.get("content-type", "").startswith("application/http") else body
+        del buffer[:last]
+        base += last
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0").select(F.col("path").alias("file"), "content")
+
+
+def _said(digest: str | None) -> str | None:
+    """A stated digest: bare for SHA-256, else as it is."""
+    return digest.removeprefix("sha256:") if digest else None
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The headers of all records in archives below path, with the SHA-256 and the length of the payload as read."""
+
+    def cut(batches):
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = []
+                for at, head, body in parsed(memoryview(data.as_buffer())):
+                    said = head.get("x-payload-length")
+                    rows.append((name, at, head.get("warc-record-id"), head.get("warc-type"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("x-row-key"), hashlib.sha256(body).hexdigest(), _said(head.get("warc-payload-digest")), len(body), int(said) if said else None))
+                kinds = [pa.int64() if n in ("at", "payload_bytes", "said_bytes") else pa.string() for n in _NAMES]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(_NAMES), kinds)], _NAMES)
+
+    return _files(spark, path).mapInArrow(cut, HEADERS)
 
 
-def deduplicate(spark: SparkSession, source: str, target: str, date: str = DATE) -> None:
+def resolved(headers: DataFrame, order: list[Column] | None = None, least: int = LEAST_BYTES) -> DataFrame:
+    """headers (stored) with kind, revisit or response, and `first`: the response that a revisit's payload is in.
+
+    Headers are shuffled by payload digest (a revisit's as it states it) and joined to the first response with that
+    payload, by `order`, then file and place (nulls last).  A response with `least` bytes or more that isn't the first
+    becomes a revisit of it.  Revisits match responses of any length; one whose digest matches none goes by
+    WARC-Refers-To; failing that it stays a revisit with a null `first`.
+    """
+    by = [x for i, c in enumerate(order or []) for x in (c.isNull().alias(f"no{i}"), c.alias(f"by{i}"))]
+    rank = F.struct(*by, F.col("file").alias("file"), F.col("at").alias("at"), F.col("record_id").alias("record_id"), F.col("uri").alias("uri"), F.col("key").alias("key"), F.col("digest").alias("digest"), F.col("payload_bytes").alias("payload_bytes"))
+    own = F.struct(*[F.col("first")[k].alias(k) for k in ("file", "at", "record_id", "uri", "key", "digest", "payload_bytes")])
+    asked = F.when(F.col("type") == "revisit", F.col("said_digest")).otherwise(F.col("digest"))
+    known = common.stored(headers.filter("type in ('response', 'revisit')").withColumn("asked", asked), "headers")
+    groups = known.groupBy("asked").agg(F.min(F.when(F.col("type") == "response", rank)).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and asked is not null and first is not null")
+    groups = common.stored(groups.select("asked", own.alias("first"), "n"), "originals")
+    met = common.spread(known.filter("asked is not null"), groups, ["asked"], "n", "left").drop("n")
+    met = common.stored(met.unionByName(known.filter("asked is null").withColumn("first", F.lit(None).cast(groups.schema["first"].dataType))), "met")
+    same = (F.col("first.file") == F.col("file")) & (F.col("first.at") == F.col("at"))
+    again = (F.col("type") == "revisit") | (F.col("first").isNotNull() & ~same & (F.col("payload_bytes") >= least))
+    # revisits whose digest is unknown, say of another kind, by the record that they name
+    lost = met.filter("type = 'revisit' and first is null and refers_to_id is not null").drop("first")
+    counts = lost.groupBy("refers_to_id").agg(F.count(F.lit(1)).alias("n"))
+    self_ = F.struct(*[F.col(k).alias(k) for k in ("file", "at", "record_id", "uri", "key", "digest", "payload_bytes")])
+    named = met.filter("type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.when(again, F.col("first")).otherwise(self_).alias("first")).join(counts, "refers_to_id")
+    found = common.spread(lost, common.stored(named.dropDuplicates(["refers_to_id"]), "named"), ["refers_to_id"], "n", "left").drop("n")
+    rest = met.filter("not (type = 'revisit' and first is null and refers_to_id is not null)").unionByName(found)
+    return rest.select(*headers.columns, F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("first"))
+
+
+def deduplicate(spark: SparkSession, source: str, target: str, order: list[Column] | None = None, date: str | None = None) -> None:
     """Archives below `source`, which may hold revisits, written anew below `target`: each long payload once, fresh headers.
 
-    Records keep their URI and get the number of their place in digest order as identifier; a revisit without a
-    response is kept as a revisit of its own digest's text, an empty response.
+    See resolved.  A file's decisions meet its bytes, so that payloads aren't shuffled; records keep URI and key and get
+    new identifiers.  Records of other kinds than response and revisit are left out.
     """
-    got = common.stored(common.with_row_id(resolved(read(spark, source)), "number"), "headers")
-    body = read(spark, source, payloads=True).filter("type <> 'revisit'").select("file", "at", "payload")
-    rows = got.join(body, ["file", "at"], "left").select("number", "uri", "payload", F.col("said_digest"), "type")
-    own = marked(rows.filter("type <> 'revisit'").drop("said_digest", "type"), ["number"])
-    firsts = own.filter((F.col("bytes") >= LEAST_BYTES) & F.col("first").isNull()).groupBy("digest").agg(F.min("number").alias("first"), F.max("bytes").alias("bytes"))
-    back = rows.filter("type = 'revisit'").select("number", "uri", F.lit(None).cast("string").alias("payload"), F.col("said_digest").alias("digest")).join(firsts, "digest", "left")
-    write(own.select("number", "uri", "payload", "digest", "bytes", "first").unionByName(back.select("number", "uri", "payload", "digest", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), "first")), target, date)
+    run, date = uuid.uuid4().hex, date or now()
+    told = common.stored(resolved(common.stored(read(spark, source), "raw-headers"), order), "decisions")
+    name = lambda file, at: F.md5(F.concat_ws("|", F.lit(run), file, at.cast("string")))
+    digest = F.when(F.col("first").isNotNull(), F.col("first.digest")).otherwise(F.when(F.col("type") == "revisit", F.col("said_digest")).otherwise(F.col("digest")))
+    each = F.struct(
+        "at", "kind", name(F.col("file"), F.col("at")).alias("id"), F.when(F.col("first").isNotNull(), name(F.col("first.file"), F.col("first.at"))).alias("first"), F.col("first.uri").alias("first_uri"), digest.alias("digest"),
+        F.coalesce("first.payload_bytes", "said_bytes", "payload_bytes").alias("size"),
+    )
+    decisions = told.groupBy("file").agg(F.collect_list(each).alias("decisions"))  # the records of a file, which is bounded
+    urn = lambda x: x and f"<{uuid.UUID(hex=x, version=4).urn}>"
+
+    def make(batches):
+        for batch in batches:
+            for data, told in zip(batch.column(0), batch.column(1)):
+                by = {d["at"]: d for d in told.as_py()}
+                for at, head, body in parsed(memoryview(data.as_buffer())):
+                    if (d := by.get(at)) is None:
+                        continue
+                    uri, key = head.get("warc-target-uri"), head.get("x-row-key")
+                    if d["kind"] == "response":
+                        yield response(urn(d["id"]), date, uri, key, body)
+                    else:
+                        yield revisit(urn(d["id"]), date, uri, key, d["digest"], d["size"], urn(d["first"]), d["first_uri"])
+
+    _written(_files(spark, source).join(decisions.hint("shuffle_hash"), "file").select("content", "decisions"), make, target)
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
-    """Writes pages(page_id, url, html) as deduplicated archives and reads them back.
+    """Writes a record for each of pages(page_id, url, html), deduplicates the archives and reads them back.
 
     page_id, payload_bytes, payload_digest, record_type, refers_to (the response's page_id), url.  A null html is an empty
-    payload; a null page_id comes back as null and is response only if no other page has its payload; of rows with
-    one page_id and payload the first is the response.
+    payload; a null page_id comes back as null and is response only if no other page has its payload; of rows with one
+    page_id and payload the first by file and place is the response; an empty table gives no rows.
     """
     spark = pages.sparkSession
-    rows = common.with_row_id(pages.select("page_id", F.col("url").alias("uri"), F.col("html").alias("payload")), "number")
-    names = common.stored(rows.select("number", "page_id"), "page-numbers")
-    path = common.new_path(spark, "warc")
-    write(marked(rows, ["page_id"]), path)
-    heads = common.stored(read(spark, path).withColumn("number", number(F.col("record_id"))).withColumn("first", number(F.col("refers_to_id"))), "warc-headers")
-    texts = heads.filter("type = 'response'").select(F.col("number").alias("first"), F.col("digest").alias("d"), F.col("payload_bytes").alias("b"))
-    revisits = heads.filter("type = 'revisit'").select("number", "type", "first", "uri").join(texts.join(heads.filter("type = 'revisit'").select("first").distinct(), "first", "left_semi"), "first")
-    both = heads.filter("type = 'response'").select("number", "type", "first", "uri", F.col("digest").alias("d"), F.col("payload_bytes").alias("b")).unionByName(revisits.select("number", "type", "first", "uri", "d", "b"))
-    named = both.join(names, "number")
-    back = names.select(F.col("number").alias("first"), F.col("page_id").alias("refers_to"))
-    pointed = named.filter("first is not null").join(back, "first").select(*named.columns, "refers_to").unionByName(named.filter("first is null").withColumn("refers_to", F.lit(None).cast("long")))
-    return pointed.select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", F.col("uri").alias("url"))
+    order = [F.col("key").cast("long")]
+    raw, path = common.new_path(spark, "warc-raw"), common.new_path(spark, "warc")
+    write(pages.select(F.col("url").alias("uri"), F.col("page_id").alias("key"), F.col("html").alias("payload")), raw)
+    deduplicate(spark, raw, path, order)
+    common.drop_path(spark, raw)
+    told = resolved(common.stored(read(spark, path), "warc-headers"), order)
+    again = F.col("kind") == "revisit"
+    return told.select(
+        F.col("key").cast("long").alias("page_id"), F.when(again, F.col("first.payload_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), F.when(again, F.col("first.digest")).otherwise(F.col("digest")).alias("payload_digest"),
+        F.col("kind").alias("record_type"), F.col("first.key").cast("long").alias("refers_to"), F.col("uri").alias("url"),
+    )

@@ -41,13 +41,53 @@ def test_op1_revisits(spark):
     assert {r["payload_digest"] for r in got if r["page_id"] in (3, 5)} == {hashlib.sha256(body.encode()).hexdigest()}
     assert {r["payload_bytes"] for r in got if r["page_id"] in (3, 5)} == {len(body.encode())}
     assert warc.archived_pages(pages.limit(0)).count() == 0
-    # archives that hold revisits can be written anew
-    raw, new = common.new_path(spark, "raw"), common.new_path(spark, "new")
-    named = common.with_row_id(pages.selectExpr("url as uri", "html as payload"), "number")
-    warc.write(warc.marked(named, ["number"]), raw)
-    warc.deduplicate(spark, raw, new)
-    kinds = [r["type"] for r in warc.resolved(warc.read(spark, new)).collect()]
-    assert sorted(kinds) == ["response"] * 4 + ["revisit"] * 3
+
+
+def test_op1_archives_with_revisits_are_written_anew(spark, monkeypatch):
+    import gzip
+    import os
+
+    monkeypatch.setattr(warc, "FILE_CHUNKS", 1)
+    raw, new, last = (common.new_path(spark, x) for x in ("raw", "new", "last"))
+    texts = {"a": "y" * 150, "b": "y" * 150, "c": "short", "d": "short", "e": None, "f": "z" * 3_000_000 + "\r\n\r\nWARC/1.1", "g": "y" * 150}
+    rows = spark.createDataFrame([(f"http://{k}", k, v) for k, v in texts.items()], "uri string, key string, payload string").repartition(1)
+    warc.write(rows, raw, "2020-01-01T00:00:00Z")
+    ids = {r["key"]: r["record_id"] for r in warc.read(spark, raw).collect()}
+    assert len(ids) == len(set(ids.values())) == len(texts) and all(x.startswith("<urn:uuid:") for x in ids.values())
+    # a foreign archive, one gzip stream, revisits these by digest, by name and not at all; a conversion is left out
+    sha = hashlib.sha256(b"short").hexdigest()
+    foreign = [("r1", f"sha256:{sha}", None, "revisit"), ("r2", "sha1:ABC", ids["b"], "revisit"), ("r3", "sha1:ABC", "<urn:uuid:none>", "revisit"), ("r4", "sha256:none", None, "revisit"), ("r5", None, None, "conversion")]
+    flat = b""
+    for key, digest, to, kind in foreign:
+        flat += gzip.decompress(warc.member([("WARC-Type", kind), ("WARC-Record-ID", f"<urn:{key}>"), ("X-Row-Key", key), ("WARC-Payload-Digest", digest), ("WARC-Refers-To", to), ("Content-Type", "application/http")], b"HTTP/1.1 200 OK\r\n\r\n")) + b"\r\n\r\n"
+    with open(raw.removeprefix("file://") + "/foreign.warc.gz", "wb") as f:
+        f.write(gzip.compress(flat))
+    warc.deduplicate(spark, raw, new, date="2021-01-01T00:00:00Z")
+    warc.deduplicate(spark, new, last)  # once more changes nothing
+    for path in (new, last):
+        got = {r["key"]: r for r in warc.resolved(common.stored(warc.read(spark, path), "heads")).collect()}
+        assert {k for k, r in got.items() if r["type"] == "response"} == set("acdef")
+        assert {k: r["first"] and r["first"]["key"] for k, r in got.items() if r["type"] == "revisit"} == {"b": "a", "g": "a", "r1": "c", "r2": "a", "r3": None, "r4": None}
+        assert all(r["type"] == r["kind"] for r in got.values()) and len({r["record_id"] for r in got.values()} | set(ids.values())) == len(got) + len(ids)
+        assert got["f"]["digest"] == hashlib.sha256(texts["f"].encode()).hexdigest() and got["b"]["refers_to_id"] == got["a"]["record_id"]
+        assert (got["r3"]["said_digest"], got["b"]["said_bytes"]) == ("sha1:ABC", 150)
+    by = {at: (h, body) for at, h, body in (x for name in sorted(os.listdir(new.removeprefix("file://"))) if name.startswith("part") for x in warc.parsed(open(new.removeprefix("file://") + "/" + name, "rb").read()))}
+    assert {h["warc-date"] for h, _ in by.values()} == {"2021-01-01T00:00:00Z"}
+
+
+def test_op1_parses_members_streams_and_plain_archives():
+    import gzip
+
+    bodies = [b"a" * n + b"\r\n\r\n" for n in (0, 5, 70_000, 300_000)]
+    members = [warc.response(f"<{i}>", "d", f"u\r\n{i}", None, b) for i, b in enumerate(bodies)]
+    plain = b"".join(gzip.decompress(m) + b"\r\n\r\n" for m in members)
+    for data in (warc._SEPARATOR.join(members), plain, gzip.compress(plain), b"\r\n" + plain):
+        got = list(warc.parsed(data))
+        assert [body for *_, body in got] == bodies and [h["warc-target-uri"] for _, h, _ in got] == [f"u {i}" for i in range(4)]
+        assert len({at for at, *_ in got}) == 4
+    for data in (plain[:-9], gzip.compress(plain)[:-9], plain + b"WARC", b"x" + plain):
+        with pytest.raises(ValueError):
+            list(warc.parsed(data))
 
 
 def test_op2_beats_word_frequencies(spark, docs, empty):
@@ -128,6 +168,38 @@ def test_op4_grammar_weighs_clauses():
     assert g.clause("i will kill you") < g.clause("you i will kill")
 
 
+def test_op4_features_are_those_of_every_clause():
+    import re
+
+    g = toxicity.Grammar({"=idiot": 2.0, "^mor": 1.5, "=scum": 3.0})
+    assert g.features("he said " + "word " * 900 + "you are an idiot")[0] == g.clause("he said " + "word " * 900 + "you are an idiot") == pytest.approx(1.2)
+    assert g.clause("you are an idiot he said") < g.clause("you are an idiot") and g.clause("idiot you") > g.clause("idiot")
+    rnd = random.Random(3)
+    words = [*toxicity.TARGETS, *toxicity.NEGATIONS, *toxicity.REPORTS, *toxicity.THREATS, *["word"] * 150, *["idiot", "MORONS", "scum", "xidiot", "idiots", "mor", "é"] * 4]
+    for _ in range(300):
+        text = "".join(rnd.choice(words) + rnd.choice([" "] * 30 + [".", "! ", "\n", ", ", "_", "?!"]) for _ in range(rnd.choice([3, 30, 900])))
+        scores = [s for c in re.split(r"[.;:!?\n]+", text.lower()) if (s := plain_clause(g, re.findall(r"[^\W_]+", c))) > 0]
+        want = (max(scores), np.log1p(sum(scores)), np.log1p(1000 * sum(scores) / (text.count(" ") + 1)), np.log1p(len(scores))) if scores else (0, 0, 0, 0)
+        assert g.features(text) == pytest.approx(want)
+
+
+def plain_clause(g, words):
+    """The rules of the grammar, word by word, without its machines."""
+    kind = ["insult" if g.weight(w) else "threat" if w in toxicity.THREATS else "target" if w in toxicity.TARGETS else "not" if w in toxicity.NEGATIONS else "report" if w in toxicity.REPORTS else "" for w in words]
+    total = run = 0.0
+    for i, k in enumerate(kind):
+        within = lambda what, n: any(x == what for x in kind[max(0, i - n) : i])  # noqa: B023, E731
+        if k == "insult":
+            f = (1.5 if within("target", 4) else 1) * (1.5 if "target" in kind[i + 1 : i + 3] else 1) * (1 + 0.25 * run)
+        elif k == "threat":
+            f = 1.0 if any(x == "target" and "threat" not in kind[j + 1 : i] for j, x in enumerate(kind[:i]) if j >= i - 3) else 0.1
+        if k in ("insult", "threat"):
+            f *= (0.4 if "report" in kind[:i] else 1) * (0.3 if within("not", 3) else 1) * (0.4 if "report" in kind[i + 1 : i + 5] else 1)
+            total += (g.weight(words[i]) or 2.0) * f
+        run = min(2, run + 1) if k == "insult" else run if k == "target" else max(0, run - 1)
+    return total
+
+
 def test_op5_counts(spark, docs, empty):
     encoder = tokens.encoder(tokens.default_path())
     want = sorted((repr(d), len(encoder.ids(t))) for d, t in TEXTS)
