@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Five small transducers are composed into one machine over word classes: reported speech lowers what follows it, a negation
-lowers what it governs, a target before or after an insult raises it, a threat counts fully with a target only.  An
-insult's own weight comes from a lexicon: given words and, learned from labelled rows, words and word beginnings that
-toxic texts use far more often.  A clause scores the sum over its words of weight times the machine's factor; a logistic
-curve fitted to the labelled rows maps a text's clause scores to a probability.
+lowers what it governs, a target before an insult raises it, a threat counts fully with a target only.  Two more read the
+clause from its end, for a target and a word of reporting that come after.  An insult's own weight comes from a lexicon:
+given words and, learned from labelled rows, words and word beginnings that toxic texts use far more often.  A clause, of
+any length, scores the sum over its words of weight times the machines' factors; a logistic curve fitted to the labelled
+rows maps a text's clause scores to a probability.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from gridframe.llm import common, textkit
 
 #: Labelled rows that the lexicon and the curve are fitted on, at most (about; drawn by a hash of doc_id).
-FIT_ROWS = 100_000
+FIT_ROWS = 30_000
 THRESHOLD = 0.3
 #: A stem is learned if so many toxic texts hold it and the likelihood ratio statistic is so large.
 LEAST_TEXTS, LEAST_G2 = 4, 16.0
@@ -37,7 +38,10 @@ REPORTS = "said says quoted quotes reported called calls wrote claimed according
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 _CLASSES = {w: c for c, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
-_WORD, _CLAUSE = re.compile(r"[^\W_]+"), re.compile(r"[.;:!?\n]+")
+_BREAKS = ".;:!?\n"
+_WORD, _CLAUSE = re.compile(r"[^\W_]+"), re.compile(f"[{_BREAKS}]+")
+#: Words whose class a task remembers.
+_REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -79,6 +83,16 @@ def _targeted(state: int, symbol: int):
     return (4 if symbol == TARGET else max(0, state - 1)), symbol, (1.5 if state and symbol == INSULT else 1.0)
 
 
+def _addressed(state: int, symbol: int):
+    """A target shortly after an insult raises it (read from the end)."""
+    return (2 if symbol == TARGET else max(0, state - 1)), symbol, (1.5 if state and symbol == INSULT else 1.0)
+
+
+def _attributed(state: int, symbol: int):
+    """A word of reporting among the next four words lowers what it comes after (read from the end)."""
+    return (4 if symbol == REPORT else max(0, state - 1)), symbol, (0.4 if state and symbol in (INSULT, THREAT) else 1.0)
+
+
 def composed(parts: list[Transducer]) -> tuple[np.ndarray, np.ndarray]:
     """The product machine as tables next[state, symbol] and factor[state, symbol]; state 0 starts."""
     index = {tuple(p.start for p in parts): 0}
@@ -101,13 +115,14 @@ def composed(parts: list[Transducer]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(nexts), np.array(factors)
 
 
-def machine() -> tuple[list, list]:
-    nexts, factors = composed([Transducer(0, f) for f in (_reported, _negated, _threatened, _targeted, _insulted)])
+def machine(forward: bool = True) -> tuple[list, list]:
+    steps = (_reported, _negated, _threatened, _targeted, _insulted) if forward else (_addressed, _attributed)
+    nexts, factors = composed([Transducer(0, f) for f in steps])
     return nexts.tolist(), factors.tolist()
 
 
 class Grammar:
-    """Scores clauses by the composed machine.  lexicon: "=word" or "^beginning" -> weight."""
+    """Scores clauses by the composed machines.  lexicon: "=word" or "^beginning" -> weight."""
 
     def __init__(self, lexicon: dict[str, float]):
         import ahocorasick
@@ -121,19 +136,35 @@ class Grammar:
             self.find.add_word(word, len(word))
         self.find.make_automaton()
         self.next, self.factor = machine()
+        self.back, self.gain = machine(forward=False)
+        self.known: dict[str, tuple[int, float]] = {}
 
     def weight(self, word: str) -> float:
         return max([self.whole.get(word, 0.0), *(self.begin.get(word[:n], 0.0) for n in self.sizes if len(word) >= n)])
 
+    def read(self, word: str) -> tuple[int, float]:
+        """A word's class and weight."""
+        if (out := self.known.get(word)) is None:
+            w = self.weight(word)
+            out = (INSULT, w) if w else (THREAT, 2.0) if word in self.threats else (_CLASSES.get(word, OTHER), 0.0)
+            if len(self.known) < _REMEMBERED:
+                self.known[word] = out
+        return out
+
     def clause(self, text: str) -> float:
         """The score of one lower-cased clause."""
-        state, total = 0, 0.0
-        for word in _WORD.findall(text):
-            w = self.weight(word)
-            symbol = INSULT if w else THREAT if word in self.threats else _CLASSES.get(word, OTHER)
-            if symbol in (INSULT, THREAT):
-                total += (w or 2.0) * self.factor[state][symbol]
+        symbols, gains, state, total = bytearray(), {}, 0, 0.0
+        for m in _WORD.finditer(text):
+            symbol, w = self.read(m[0])
+            if w:
+                gains[len(symbols)] = w * self.factor[state][symbol]
+            symbols.append(symbol)
             state = self.next[state][symbol]
+        state = 0
+        for at in range(len(symbols) - 1, min(gains, default=0) - 1, -1):
+            if at in gains:
+                total += gains[at] * self.gain[state][symbols[at]]
+            state = self.back[state][symbols[at]]
         return total
 
     def features(self, text: str | None) -> tuple[float, float, float, float]:
@@ -145,14 +176,10 @@ class Grammar:
             at = end - n + 1
             if at < done or (at and (low[at - 1].isalnum())):
                 continue
-            head = done
-            for m in _CLAUSE.finditer(low, max(done, at - 400), at):
-                head = m.end()
-            head = max(head, at - 400)
-            tail = m.start() if (m := _CLAUSE.search(low, end, end + 400)) else min(len(low), end + 400)
-            if (s := self.clause(low[head:tail])) > 0:
+            head = max(done, *(low.rfind(x, done, at) + 1 for x in _BREAKS))
+            done = m.start() if (m := _CLAUSE.search(low, end)) else len(low)
+            if (s := self.clause(low[head:done])) > 0:
                 scores.append(s)
-            done = tail
         if not scores:
             return 0.0, 0.0, 0.0, 0.0
         total = sum(scores)
@@ -169,29 +196,29 @@ def _stems(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         counts = {1: Counter(), 0: Counter()}
         for text, toxic in zip(f["text"], f["toxic"]):
-            words = {w for w in _WORD.findall((text or "").lower()) if 3 <= len(w) <= 40}
+            words = set(_WORD.findall((text or "").lower()))
             counts[int(toxic)].update({"=" + w for w in words} | {"^" + w[:n] for w in words for n in (4, 5, 6) if len(w) > n})
         keys = list(counts[1] | counts[0])
         yield pd.DataFrame({"stem": keys, "t": [counts[1][k] for k in keys], "c": [counts[0][k] for k in keys]})
 
 
-def _first_shingle(texts: pd.Series) -> pd.Series:
-    """The smallest shingle hash: near copies mostly share it."""
+def _least_shingles(texts: pd.Series) -> pd.Series:
+    """A hash of the three smallest shingle hashes: near copies mostly share it, other texts practically never."""
     out = []
     for x in texts:
-        h = textkit.shingle_hashes(textkit.word_hashes(x))
-        out.append(int(h.min().view(np.int64)) if len(h) else 0)
+        h = np.unique(textkit.shingle_hashes(textkit.word_hashes(x)))[:3]
+        out.append(int(textkit.mix(textkit.mix(h) + np.arange(len(h), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
     return pd.Series(out, dtype="int64")
 
 
 def fit(rows: DataFrame) -> Model:
-    """Learns from rows(text, toxic): one row of each set of near copies, so that a text copied often counts once.
+    """Learns from rows(text, toxic): one row of each set of near copies (the one whose text has the least hash), so that a text copied often counts once.
 
     rows has to be bounded (see FIT_ROWS).  Without rows of both classes the given words alone make the score.
     """
-    first = F.pandas_udf(_first_shingle, "long")
+    first = F.pandas_udf(_least_shingles, "long")
     ready = rows.filter("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"))
-    fitted = common.stored(ready.withColumn("first", first("text")).dropDuplicates(["first", "toxic"]), "toxic-fit")
+    fitted = common.stored(ready.withColumn("first", first("text")).groupBy("first", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "toxic-fit")
     n = {r[0]: r[1] for r in fitted.groupBy("toxic").count().collect()}
     nt, nc = n.get(1, 0), n.get(0, 0)
     lexicon = {"=" + w: 2.0 for w in INSULTS}
@@ -233,7 +260,10 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 
 def labelled(docs: DataFrame, labels: DataFrame, fold: int | None = None) -> DataFrame:
-    """text and toxic of at most about FIT_ROWS labelled documents; those of crc32(doc_id) mod 4 = fold are left out."""
+    """text and toxic of at most about FIT_ROWS labelled documents; those of crc32(doc_id) mod 4 = fold are left out.
+
+    The broadcast side is bounded by FIT_ROWS: of more labels a hash of doc_id draws so many.
+    """
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if fold is not None:
         known = known.filter(crc(F.col("doc_id")) % 4 != fold)
