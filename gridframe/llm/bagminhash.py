@@ -71,12 +71,12 @@ def _points(keys: np.ndarray, counts: np.ndarray, low: int, rate: int, limit: fl
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, digest of the words and band keys (both null without words)."""
+    """uid, doc_id, text -> uid, doc_id, digest of the words and band keys (both null without words)."""
     odd = textkit.mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | _U(1)
     band = textkit.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * textkit._GOLD)
     for batch in batches:
-        ids, digests, keys = batch.column(0), [], []
-        for text in batch.column(1):
+        digests, keys = [], []
+        for text in batch.column(2):
             words = textkit.word_hashes(text.as_py())
             if not len(words):
                 digests.append(None), keys.append(None)
@@ -84,7 +84,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
             drawn = textkit.mix(signature(*np.unique(textkit.shingle_hashes(words), return_counts=True)).view(np.uint64))
             keys.append(textkit.mix((drawn.reshape(BANDS, ROWS) * odd).sum(axis=1, dtype=np.uint64) + band).view(np.int64))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["uid", "doc_id", "digest", "bands"])
 
 
 def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,16 +110,20 @@ def _verify(frames):
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs(p, x) whose multisets overlap enough, as edges(u, v).
+    """Those of pairs(p, x) (stored) whose multisets overlap enough, as edges(u, v).
 
     A pivot's members are dealt out in groups of about GROUP; each group gets the pivot's text once, each member's
-    text once a pair.
+    text once a pair.  A pivot's text is copied to its groups in two steps, each of at most GROUP**2 copies a row.
     """
-    sizes = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    dealt = pairs.join(sizes, "p").select("p", "x", F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / GROUP)).alias("s"))
+    sizes = common.stored(pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")), "pivots")
+    groups = F.ceil(F.col("n") / GROUP)
+    dealt = common.spread(pairs, sizes, ["p"], "n").select("p", "x", F.pmod(F.xxhash64("x"), groups).alias("s"))
     one = texts.select(F.col("uid").alias("x"), "text")
     members = dealt.join(one, "x").select("p", "s", F.lit(1).alias("role"), "x", "text")
-    heads = dealt.select("p", "s").distinct().withColumn("x", F.col("p")).join(one, "x").select("p", "s", F.lit(0).alias("role"), "x", "text")
+    many = GROUP * GROUP
+    pivots = sizes.withColumn("x", F.col("p")).join(one, "x").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((groups - 1) / many))))
+    within = F.sequence(F.col("lot") * many, F.least(groups, (F.col("lot") + 1) * many) - 1)
+    heads = pivots.repartition("p", "lot").select("p", F.explode(within).alias("s"), F.lit(0).alias("role"), "x", "text")
     laid = members.unionByName(heads).repartition("p", "s").sortWithinPartitions("p", "s", "role", "x")
     return laid.mapInPandas(_verify, "u long, v long")
 
@@ -182,31 +186,34 @@ def classes(docs: DataFrame) -> DataFrame:
     class_id is its smallest doc_id, and the first row with it is kept.  Texts without words (null, empty, punctuation)
     form classes of their own; a null doc_id sorts last.  Equal word sequences are joined by digest.  A bucket's
     members meet its most connected member first; where that leaves several components, the pairs between components that
-    the signatures don't rule out are compared too, in blocks, so that no link is lost to a bucket's size.
+    the signatures don't rule out are compared too, in blocks, so that no link is lost to a bucket's size.  An empty
+    table gives no rows; further columns are passed over.
     """
-    spark = docs.sparkSession
-    drawn = docs.select("doc_id", "text").mapInArrow(_sketches, "doc_id long, digest binary, bands array<long>")
-    base = common.stored(common.with_row_id(drawn, "uid"), "sketches")
+    rows = common.with_row_id(common.steady(docs).select("doc_id", "text"), "uid")
+    drawn = rows.select("uid", F.col("doc_id").cast("long"), "text").mapInArrow(_sketches, "uid long, doc_id long, digest binary, bands array<long>")
+    base = common.stored(drawn, "sketches")
     wordy = base.filter("digest is not null")
-    reps = wordy.groupBy("digest").agg(F.min("uid").alias("uid"))
+    reps = common.stored(wordy.groupBy("digest").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("same")), "reps")
     heads = common.stored(wordy.join(reps, ["digest", "uid"], "left_semi").select("uid", "bands"), "heads")
     banded = heads.select("uid", F.posexplode("bands").alias("band", "key"))
-    shared = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = common.stored(banded.join(shared, ["band", "key"]), "met")
+    bucket = ["band", "key"]
+    shared = common.stored(banded.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    met = common.stored(common.spread(banded, shared, bucket, "n"), "met")
     # the text that others were copied from shares the most buckets with them
     fame = met.groupBy("uid").agg(F.sum("n").alias("fame"))
-    pivots = met.join(fame, "uid").groupBy("band", "key").agg(F.max(F.struct("fame", (-F.col("uid")).alias("back"))).alias("f")).select("band", "key", (-F.col("f.back")).alias("p"))
-    members = common.stored(met.join(pivots, ["band", "key"]), "members")
+    best = F.max(F.struct("fame", (-F.col("uid")).alias("back"))).alias("f")
+    pivots = common.stored(met.join(fame, "uid").groupBy(*bucket, "n").agg(best).select(*bucket, "n", (-F.col("f.back")).alias("p")), "bucket-pivots")
+    members = common.stored(common.spread(met.drop("n"), pivots, bucket, "n"), "members")
     stars = common.stored(members.filter("uid <> p").select("p", F.col("uid").alias("x")).distinct(), "stars")
     wanted = members.select("uid").distinct()
-    numbered = docs.select("text").withColumn("uid", F.monotonically_increasing_id())
-    texts = common.stored(numbered.join(wanted.hint("shuffle_hash"), "uid").select("uid", "text"), "texts")
+    texts = common.stored(rows.select("uid", "text").join(wanted.hint("shuffle_hash"), "uid"), "texts")
     links = common.stored(verified(stars, texts), "links")
     roots = common.stored(common.components(links), "roots")
 
     rooted = members.filter("n > 2").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    split = rooted.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a < z").select("band", "key")
-    unsettled = common.stored(rooted.join(split, ["band", "key"]), "unsettled")
+    rooted = common.stored(rooted, "rooted")
+    split = rooted.groupBy(*bucket, "n").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a < z").select(*bucket, "n")
+    unsettled = common.stored(common.spread(rooted.drop("n"), common.stored(split, "split"), bucket, "n"), "unsettled")
     longer = common.stored(texts.join(unsettled.select("uid").distinct(), "uid", "left_semi").select("uid", "text").mapInArrow(_longer, "uid long, bytes binary"), "longer")
     blocks = F.ceil(F.col("n") / BLOCK)
     open_ = (
@@ -221,15 +228,17 @@ def classes(docs: DataFrame) -> DataFrame:
     edges = common.stored(links.unionByName(more), "edges")
     roots = common.stored(common.components(edges), "roots")
 
-    of_digest = reps.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("digest", F.coalesce("root", "uid").alias("root"))
-    placed = common.stored(base.select("uid", "doc_id", "digest").join(of_digest, "digest", "left").select("uid", "doc_id", F.coalesce("root", "uid").alias("root")), "placed")
+    of_digest = reps.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("digest", F.coalesce("root", "uid").alias("root"), "same")
+    told = common.spread(wordy.select("uid", "doc_id", "digest"), common.stored(of_digest, "digest-roots"), ["digest"], "same").select("uid", "doc_id", "root")
+    placed = common.stored(told.unionByName(base.filter("digest is null").select("uid", "doc_id", F.col("uid").alias("root"))), "placed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("uid").alias("uid")))
-    named = placed.groupBy("root").agg(first.alias("f"), F.count(F.lit(1)).alias("class_size"))
-    return placed.join(named, "root").select("uid", "doc_id", F.col("f.id").alias("class_id"), "class_size", (F.col("uid") == F.col("f.uid")).alias("kept"))
+    named = common.stored(placed.groupBy("root").agg(first.alias("f"), F.count(F.lit(1)).alias("class_size")), "classes")
+    return common.spread(placed, named, ["root"], "class_size").select("uid", "doc_id", F.col("f.id").alias("class_id"), "class_size", (F.col("uid") == F.col("f.uid")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that their classes keep, with all columns."""
+    docs = common.steady(docs)
     uid = common.field_name(docs, "uid")
     kept = classes(docs).filter("kept").select(F.col("uid").alias(uid))
-    return docs.withColumn(uid, F.monotonically_increasing_id()).join(kept.hint("shuffle_hash"), uid, "left_semi").drop(uid)
+    return common.with_row_id(docs, uid).join(kept.hint("shuffle_hash"), uid, "left_semi").drop(uid)

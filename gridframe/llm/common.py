@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridframe.plans.graph import components
-from gridframe.plans.storage import drop_path, new_path, setting, shared_dir, stored
+from gridframe.plans.storage import CLEANUP, drop_path, new_path, setting, shared_dir, stored
 
-__all__ = ["CHUNKS", "components", "drop_path", "field_name", "new_path", "ranked", "setting", "shared_dir", "spread", "steady", "stored", "table", "with_row_id"]
+__all__ = ["CHUNKS", "CLEANUP", "components", "drop_path", "field_name", "new_path", "ranked", "setting", "shared_dir", "spread", "steady", "stored", "table", "with_row_id"]
 
 #: Hash chunks that a group is dealt into when its rows are numbered.
-CHUNKS = 4096
+CHUNKS = 1024
 #: Files of a table whose rows are numbered, at most: their paths are broadcast.
 MOST_FILES = 200_000
 #: Keys that a join broadcasts at most, and the rows from which a key counts as hot.
@@ -57,7 +57,7 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
     placed = df.select("*", at["file_path"].alias(file), at["row_index"].alias(name))
     numbers = df.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], f"`{file}` string, `{number}` long")
     known = F.coalesce(F.col(number), F.raise_error(F.concat(F.lit("unknown file "), F.col(file))).cast("long"))
-    return placed.join(F.broadcast(numbers), file, "left").select(*df.columns, (known + F.col(name)).alias(name))
+    return placed.join(F.broadcast(numbers), file, "left").withColumn(name, known + F.col(name)).drop(file, number)
 
 
 def spread(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
