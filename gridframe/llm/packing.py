@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +32,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     """The pieces of docs(doc_id, text): each document's ids and then `end`, cut if longer than a sequence.
 
     The first piece of a cut document takes what the others, all of full length, leave.  A null or empty text is one
-    piece, the end id alone.  part and at say where the row is: file and row of a stored table, else partition and row.
+    piece, the end id alone.  part and at say where the row is, its file and row.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,12 +50,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(i, pa.int64())) for i, v in enumerate(out)], ["doc_id", "part", "at", "piece", "start", "length", "ids_crc32"])
 
     kinds = {1: pa.string(), 3: pa.int32()}
-    try:
-        placed = docs.select("doc_id", F.col("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("at"), "text")
-    except AnalysisException:
-        n = F.monotonically_increasing_id()
-        placed = docs.select("doc_id", F.shiftright(n, 33).cast("string").alias("part"), n.bitwiseAND((1 << 33) - 1).alias("at"), "text")
-    return placed.mapInArrow(cut, PIECES)
+    docs = common.steady(docs)
+    row = docs.metadataColumn("_metadata")
+    return docs.select(F.col("doc_id").cast("long"), row["file_path"].alias("part"), row["row_index"].alias("at"), "text").mapInArrow(cut, PIECES)
 
 
 def _best_config(lengths: np.ndarray, value: np.ndarray, capacity: int) -> dict[int, int]:
@@ -81,11 +77,12 @@ def _best_config(lengths: np.ndarray, value: np.ndarray, capacity: int) -> dict[
     return config
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], float]], float]:
-    """A covering solution of the configuration LP and a lower bound of its optimum.
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], float]], np.ndarray, float]:
+    """Configurations and how often each is taken, how often that covers each row, and a lower bound of the LP's optimum.
 
     Each round prices a configuration under the rows' weights, takes it until it covers its scarcest row once, and
-    lowers the weights of the rows by what they gained.  lengths ascend.
+    lowers the weights of the rows by what they gained.  Divided by the least cover it is a solution of the covering
+    program; the bound comes from the weights by duality.  lengths ascend.
     """
     weight, covered = 1.0 / counts, np.zeros(len(lengths))
     taken: dict[tuple, float] = {}
@@ -102,30 +99,43 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
         covered[rows] += gain
         weight[rows] *= (1 - EPSILON) ** gain
         weight /= weight.max()
-    scale = max(float(covered[covered > 0].mean()), 1e-12)
-    return [(dict(k), x / scale) for k, x in taken.items()], bound
+    return [(dict(k), x) for k, x in taken.items()], covered, bound
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Patterns (length -> copies) and how many sequences each fills; together they hold every piece exactly once."""
+    """Patterns (length -> copies) and how many sequences each fills; together they hold every piece exactly once.
+
+    The solution of the linear program is rounded down at two scales, the least and the mean cover, what is left is
+    filled best-fit, and the plan with the fewest sequences is taken; it can't beat the dual bound.
+    """
     left = {length: n for length, n in histogram.items() if n > 0}
     out = []
     if n := left.pop(capacity, 0):
         out.append(({capacity: 1}, n))
-    if left:
-        lengths = np.array(sorted(left))
-        counts = np.array([left[x] for x in lengths.tolist()], float)
-        solution, _ = fractional(lengths, counts, capacity)
-        full = lambda c: sum(int(lengths[i]) * k for i, k in c.items())
-        for config, x in sorted(solution, key=lambda s: (-full(s[0]), -s[1])):
-            many = min([int(x), *(left[int(lengths[i])] // k for i, k in config.items())])
-            if many:
-                pattern = {int(lengths[i]): k for i, k in config.items()}
-                out.append((pattern, many))
-                for length, k in pattern.items():
-                    left[length] -= k * many
-    out += _best_fit({k: n for k, n in left.items() if n}, capacity)
-    return out
+    if not left:
+        return out
+    lengths = np.array(sorted(left))
+    counts = np.array([left[x] for x in lengths.tolist()], float)
+    solution, covered, bound = fractional(lengths, counts, capacity)
+    scales = [covered[covered > 0].mean(), *([covered.min()] if covered.min() > 0 else [])]
+    plans = [_rounded([(c, x / scale) for c, x in solution], lengths, left, capacity) for scale in scales]
+    best = min([*plans, _best_fit(dict(left), capacity)], key=lambda p: sum(many for _, many in p))
+    assert sum(many for _, many in best) >= bound - 1e-6 * bound, "fewer sequences than the dual bound allows"
+    return out + best
+
+
+def _rounded(solution: list[tuple[dict[int, int], float]], lengths: np.ndarray, histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """A fractional solution rounded down, the fullest configurations first, and the rest best-fit."""
+    left, out = dict(histogram), []
+    full = lambda c: sum(int(lengths[i]) * k for i, k in c.items())
+    for config, x in sorted(solution, key=lambda s: (-full(s[0]), -s[1])):
+        many = min([int(x), *(left[int(lengths[i])] // k for i, k in config.items())])
+        if many:
+            pattern = {int(lengths[i]): k for i, k in config.items()}
+            out.append((pattern, many))
+            for length, k in pattern.items():
+                left[length] -= k * many
+    return out + _best_fit({k: n for k, n in left.items() if n}, capacity)
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -172,7 +182,8 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     """Where each piece of docs(doc_id, text) goes: a row for each piece of each row.
 
     doc_id, piece, start, length, ids_crc32, sequence_id and offset.  Repeated rows are packed once each; a null
-    doc_id stays null; an empty table gives no rows.  Sequences follow the order of docs, by files and rows if it is stored.
+    doc_id stays null; an empty table gives no rows; further columns are passed over.  Sequences follow the order of
+    docs, by files and rows if it is stored.
     """
     spark = docs.sparkSession
     cut = common.stored(pieces(docs, path or tokens.default_path(), capacity), "pieces")
@@ -183,22 +194,23 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         starts.append((part, rows))
         rows += n
 
-    def place(frames):
-        for f in frames:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
             length, rank = f["length"].to_numpy(), f["rank"].to_numpy()
             # (length, rank) as one ascending number: ranks stay below `span`
             at = np.searchsorted(found["length"] * span + found["rank"], length * span + rank, side="right") - 1
             past = rank - found["rank"][at]
-            f["slot"] = found["sequence"][at] + past // found["copies"][at]
-            f["offset"] = found["offset"][at] + past % found["copies"][at] * length
-            yield f[["doc_id", "piece", "start", "length", "ids_crc32", "position", "slot", "offset"]]
+            slot = found["sequence"][at] + past // found["copies"][at]
+            offset = found["offset"][at] + past % found["copies"][at] * length
+            yield pa.RecordBatch.from_arrays([*(f[c] for c in kept), pa.array(slot, pa.int64()), pa.array(offset, pa.int64())], [*kept, "slot", "offset"])
 
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32", "position"]
     span = max([1, *histogram.values()]) + 1
     known = F.broadcast(spark.createDataFrame(starts, "part string, _first long"))
     lined = cut.join(known, "part").select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("at")).alias("position"))
     chunk = F.floor(F.col("position") * common.CHUNKS / max(rows, 1))
     numbered = common.ranked(lined, ["length"], chunk, [F.col("position"), F.col("piece")], "rank")
-    placed = common.stored(numbered.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, position long, slot long, offset long"), "placed")
+    placed = common.stored(numbered.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, position long, slot long, offset long"), "placed")
     first = common.stored(placed.groupBy("slot").agg(F.min("position").alias("position")), "slots")
     order = common.ranked(first, [], chunk, [F.col("position"), F.col("slot")], "sequence_id").select("slot", "sequence_id")
     return placed.join(order, "slot").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
