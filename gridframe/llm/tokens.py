@@ -36,6 +36,9 @@ class Encoder:
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
         vocab = model.get("vocab", {})
+        #: One more than the largest id.
+        known = vocab.values() if isinstance(vocab, dict) else range(len(vocab))
+        self.size = max([-1, *known, *(t["id"] for t in spec.get("added_tokens", []))]) + 1
         plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer") and not model.get("ignore_merges")
         if plain and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)):
             import tiktoken
