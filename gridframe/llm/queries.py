@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gridframe.llm import bagminhash, common, embedding_dups, fingerprints, packing, pfair, pseudo_likelihood, sharding, token_counts, toxicity, warc
 
-SHARD_BYTES = 32 << 20
+#: Bytes of a shard of documents: so many, or a SHARDS-th of the table if that is less.
+SHARD_BYTES, SHARDS = 512 << 20, 64
 
 
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +35,10 @@ def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("size"))
-    return sharding.sharded(docs, ["doc_id"], F.col("size"), SHARD_BYTES).select("doc_id", "bytes", "shard", "depth", "shard_bytes", "shard_rows")
+    docs = common.stored(common.table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("size")), "sizes")
+    total = docs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    limit = max(1, min(SHARD_BYTES, -(-total // SHARDS)))
+    return sharding.sharded(docs, ["doc_id"], F.col("size"), limit).select("doc_id", "bytes", "shard", "depth", "entry", "shard_bytes", "shard_rows")
 
 
 def op7_embedding_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,16 +77,19 @@ SQL: dict[str, str] = {
             SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
                    lpad(bin(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)), 60, '0') AS bits
             FROM documents),
-        lv AS (SELECT unnest(range(0, 30)) AS depth),
+        t AS (SELECT greatest(1, least({SHARD_BYTES}, ceil(sum(bytes) / {SHARDS}.0)))::BIGINT AS most, sum(bytes) AS total FROM b),
+        f AS (SELECT most, CAST(length(bin(CAST(ceil(total / most::DOUBLE) AS BIGINT) - 1)) + 4 AS INTEGER) AS first FROM t),
+        lv AS (SELECT unnest(range(0, 41)) AS depth),
         s AS (
             SELECT depth, left(bits, depth) AS shard, sum(bytes) AS shard_bytes, count(*) AS shard_rows
-            FROM b, lv GROUP BY 1, 2 HAVING sum(bytes) <= {SHARD_BYTES} OR count(*) = 1),
+            FROM b, lv GROUP BY 1, 2 HAVING sum(bytes) <= (SELECT most FROM t) OR count(*) = 1),
         p AS (
-            SELECT b.doc_id, b.bytes, s.*, row_number() OVER (PARTITION BY b.doc_id ORDER BY s.depth) AS k
+            SELECT b.doc_id, b.bytes, b.bits, s.*, row_number() OVER (PARTITION BY b.doc_id ORDER BY s.depth) AS k
             FROM b, lv JOIN s ON s.depth = lv.depth AND s.shard = left(b.bits, lv.depth))
         SELECT doc_id, CAST(bytes AS BIGINT) AS bytes, shard, CAST(depth AS INTEGER) AS depth,
+               left(bits, first + 12 * greatest(0, CAST(ceil((depth - first) / 12.0) AS INTEGER))) AS entry,
                CAST(shard_bytes AS BIGINT) AS shard_bytes, CAST(shard_rows AS BIGINT) AS shard_rows
-        FROM p WHERE k = 1""",
+        FROM p, f WHERE k = 1""",
     "op1_warc_revisits": """
         WITH p AS (
             SELECT page_id, url, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,

@@ -1,8 +1,9 @@
 """Sharding by extendible hashing, in DataFrame functions only.
 
 A shard is a prefix of hash bits.  A bucket over its byte limit is split on its next bit, the others stay, until every
-bucket fits.  The splits are worked out on the bytes of cells some levels below, of which there are a few for each
-shard, and only rows of cells that are still too large look at more bits.
+bucket fits.  The directory is indexed by the leading bits of the hash, some levels below the expected shards, and names
+for each index the shard that holds it; rows look their shard up there.  Indexes whose bytes alone exceed the limit lead
+to a further directory of more bits, which only their rows use.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from gridframe.llm import common
 
 #: Bits of the key's hash; bits of a row's own hash follow, so that rows of one key can be split too.
 KEY_BITS = 60
-#: Levels of cells below the expected shards, and more levels for each further pass.
+#: Bits of the first directory below the expected shards, and bits more of each further one.
 BELOW, DEEPER = 4, 12
+RESULTS = ("bytes", "shard", "depth", "entry", "shard_bytes", "shard_rows")
 
 
 def key_bits(*keys: str) -> Column:
@@ -24,41 +26,41 @@ def key_bits(*keys: str) -> Column:
     return F.lpad(F.conv(F.substring(F.md5(text.cast("binary")), 1, KEY_BITS // 4), 16, 2), KEY_BITS, "0")
 
 
+def directory(cells: DataFrame, low: int, depth: int, limit: int) -> DataFrame:
+    """entry, d, shard, shard_bytes and shard_rows of cells(entry, b, n): for each index of `depth` bits the first bucket, from `low` bits on, that fits.
+
+    A bucket that is too large is split on its next bit; an index without a bucket that fits gets no row.
+    """
+    up = cells.select("entry", "b", "n", F.explode(F.sequence(F.lit(low), F.lit(depth))).alias("d")).withColumn("shard", F.expr("substring(entry, 1, d)"))
+    buckets = up.groupBy("d", "shard").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows")).filter((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1))
+    first = F.min(F.struct("d", "shard", "shard_bytes", "shard_rows")).alias("f")
+    return up.select("entry", "d", "shard").join(buckets, ["d", "shard"]).groupBy("entry").agg(first).select("entry", "f.*")
+
+
 def sharded(rows: DataFrame, keys: list[str], size: Column, limit: int) -> DataFrame:
-    """rows(..) with bytes, shard (its bits), depth, shard_bytes and shard_rows.
+    """rows(..) with bytes, shard (its bits), depth, entry (the index of the directory that named it), shard_bytes and shard_rows.
 
     A row's bytes are `size` (null: 0).  Every shard holds at most `limit` bytes or one row.  Repeated rows count and
-    go where their hashes send them; a null key is a key like any other; an empty table gives no rows.
+    go where their hashes send them; a null key is a key like any other; an empty table gives no rows.  Columns of rows
+    that have the name of a result give way to it.
     """
-    spark = rows.sparkSession
-    columns = [c for c in rows.columns if c not in ("bytes", "shard", "depth", "shard_bytes", "shard_rows")]  # these give way to the results
-    uid = F.monotonically_increasing_id()
-    own = F.lpad(F.bin(F.xxhash64(uid)), 64, "0")
-    base = common.stored(rows.select(*columns, F.coalesce(size, F.lit(0)).cast("long").alias("_bytes"), F.concat(key_bits(*keys), own).alias("_bits")), "shard-rows")
-    total, most = base.agg(F.coalesce(F.sum("_bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    columns = [c for c in rows.columns if c.lower() not in RESULTS]
+    weight, bits = (common.field_name(rows, x) for x in ("_bytes", "_bits"))
+    own = F.lpad(F.bin(F.xxhash64(F.monotonically_increasing_id())), 64, "0")
+    base = common.stored(rows.select(*columns, F.coalesce(size, F.lit(0)).cast("long").alias(weight), F.concat(key_bits(*keys), own).alias(bits)), "shard-rows")
+    total = base.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     low, depth = 0, max(0, (max(1, -(-total // limit)) - 1).bit_length()) + BELOW
     active, done = base, None
     while True:
-        cells = active.groupBy(F.substring("_bits", 1, depth).alias("_cell")).agg(F.sum("_bytes").alias("b"), F.count(F.lit(1)).alias("n"))
+        cells = active.groupBy(F.substring(bits, 1, depth).alias("entry")).agg(F.sum(weight).alias("b"), F.count(F.lit(1)).alias("n"))
         cells = common.stored(cells, "shard-cells")
-        up = cells.select("_cell", "b", "n", F.explode(F.sequence(F.lit(low), F.lit(depth))).alias("d")).withColumn("shard", F.expr("substring(_cell, 1, d)"))
-        buckets = up.groupBy("d", "shard").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows")).filter((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1))
-        first = F.min(F.struct("d", "shard", "shard_bytes", "shard_rows")).alias("f")
-        fits = common.stored(up.select("_cell", "d", "shard").join(buckets, ["d", "shard"]).groupBy("_cell").agg(first).select("_cell", "f.*"), "shard-fits")
-        found = active.withColumn("_cell", F.substring("_bits", 1, depth)).join(fits, "_cell", "left")
+        names = common.stored(directory(cells, low, depth, limit), "shard-directory")
         last = depth >= KEY_BITS + 64
-        settled = found if last else found.filter("shard is not null")
-        settled = settled.select(*columns, F.col("_bytes").alias("bytes"), F.coalesce("shard", "_cell").alias("shard"), F.coalesce("d", F.lit(depth)).alias("depth"), "shard_bytes", "shard_rows")
+        found = active.withColumn("entry", F.substring(bits, 1, depth))
+        settled = found.join(names, "entry", "left" if last else "inner")
+        settled = settled.select(*columns, F.col(weight).alias("bytes"), F.coalesce("shard", "entry").alias("shard"), F.coalesce("d", F.lit(depth)).alias("depth"), "entry", "shard_bytes", "shard_rows")
         done = settled if done is None else done.unionByName(settled)
-        if last or not cells.join(fits, "_cell", "left_anti").limit(1).count():
+        if last or not cells.join(names, "entry", "left_anti").limit(1).count():
             return done
-        active = common.stored(found.filter("shard is null").select(*columns, "_bytes", "_bits"), "shard-rest")
+        active = common.stored(found.join(names, "entry", "left_anti").select(*columns, weight, bits), "shard-rest")
         low, depth = depth + 1, min(depth + DEEPER, KEY_BITS + 64)
-
-
-def directory(shards: DataFrame) -> DataFrame:
-    """entry and shard of shards(shard, depth): for each prefix of the largest depth the shard that holds it."""
-    known = shards.select("shard", "depth").distinct()
-    deepest = known.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
-    tails = F.transform(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), F.lit(deepest) - F.col("depth")).cast("long") - 1), lambda x: x)
-    return known.select("shard", "depth", F.explode(tails).alias("t")).select(F.when(F.col("depth") == deepest, F.col("shard")).otherwise(F.expr(f"concat(shard, lpad(bin(t), {deepest} - depth, '0'))")).alias("entry"), "shard")
