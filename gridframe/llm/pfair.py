@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from gridframe.llm import common
 
-BLOCK_ROWS = 32
+#: Rows of a block; of more rows than the driver can schedule so, blocks are larger, at most MOST_BLOCKS in all.
+BLOCK_ROWS, MOST_BLOCKS = 32, 1 << 24
 #: Blocks that the driver holds at once, and up to which their table is broadcast.
 HELD, BROADCAST = 500_000, 40_000
 #: Sources whose counts the driver takes in; weights are a dict, so this is far above any real mixture.
@@ -103,7 +104,7 @@ def timetables(spark: SparkSession, blocks: dict, weights: dict) -> DataFrame:
     return F.broadcast(out) if sum(blocks.values()) <= BROADCAST else out
 
 
-def scheduled(rows: DataFrame, source: str, key: str, weights: dict | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def scheduled(rows: DataFrame, source: str, key: str, weights: dict | None = None, block_rows: int | None = None) -> DataFrame:
     """rows and where each goes: target, block, release, deadline, slot and position (unique; the order of the mixture).
 
     target is the weight asked for, over the sum of the weights of the sources not yet used up.
@@ -114,6 +115,7 @@ def scheduled(rows: DataFrame, source: str, key: str, weights: dict | None = Non
     counts = {r[0]: r[1] for r in rows.groupBy(source).count().limit(MOST_SOURCES + 1).collect()}
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
+    block_rows = block_rows or max(BLOCK_ROWS, -(-sum(counts.values()) // MOST_BLOCKS))
     if weights is None:
         weights = {s: math.sqrt(n) for s, n in counts.items()}
     if missing := [s for s in counts if not weights.get(s, 0) > 0]:
@@ -127,12 +129,15 @@ def scheduled(rows: DataFrame, source: str, key: str, weights: dict | None = Non
     return joined.select(*[f"l.{c}" for c in rows.columns if c not in RESULTS], "target", F.col("k._block").alias("block"), "release", "deadline", "slot", position)
 
 
-def mixed(docs: DataFrame, source: str = "source", weights: dict | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All rows of docs in the order of the mixture, range-partitioned by it: written files hold it in file and row order."""
-    uid = common.field_name(docs, "uid")
-    name = source if source in docs.columns else None
-    keys = common.stored(docs.select(F.monotonically_increasing_id().alias("uid"), (F.col(name).cast("string") if name else F.lit(None).cast("string")).alias("source")), "mix")
-    at = common.field_name(docs, "position")
+def mixed(docs: DataFrame, source: str = "source", weights: dict | None = None, block_rows: int | None = None) -> DataFrame:
+    """All rows of docs in the order of the mixture, range-partitioned by it: written files hold it in file and row order.
+
+    A null source, or none in docs, is a source like any other; repeated rows keep their number; an empty table stays empty.
+    """
+    docs = common.steady(docs)
+    uid, at = common.field_name(docs, "uid"), common.field_name(docs, "position")
+    whole = common.with_row_id(docs, uid)
+    keys = common.stored(whole.select(F.col(uid).alias("uid"), (F.col(source).cast("string") if source in docs.columns else F.lit(None).cast("string")).alias("source")), "mix")
     placed = scheduled(keys, "source", "uid", weights, block_rows).select(F.col("uid").alias(uid), F.col("position").alias(at))
-    joined = docs.withColumn(uid, F.monotonically_increasing_id()).join(placed.hint("shuffle_hash"), uid)
+    joined = whole.join(placed.hint("shuffle_hash"), uid)
     return joined.repartitionByRange(at).sortWithinPartitions(at).drop(uid, at)
