@@ -1,21 +1,25 @@
 """Masked pseudo-likelihood of documents by a bidirectional window network, trained in numpy.
 
 The network predicts a word from the WINDOW words on each side: their embeddings, a tanh layer, and a two-level softmax
-(group of classes, class in the group), which is normalised exactly.  A document's score is the sum of its words'
-log-probabilities, each given both sides.  The most frequent words of the whole corpus have a class of their own, and the
-classes grow with the corpus; the others share RARE hash classes, and one of them has its class's probability times its
-share of the class's occurrences.  Counts of all words are stored: those above a frequency that grows with the square
-root of the corpus are held in memory, the rest are joined.  Each round trains on every partition's whole data from the
-same parameters and averages them by tokens.
+(group of classes, class in the group), which is normalised exactly.  The most frequent words of the whole corpus have a
+class of their own, and the classes grow with the corpus; the others share RARE hash classes, and one of them has its
+class's probability times its share of the class's occurrences.  Counts of all words are stored: those above a frequency
+that grows with the square root of the corpus are held in memory, the rest are joined.  Class ids are stored once; each
+round trains on the whole data of every partition, every ROUNDS-th word as target, and averages the parameters by words.
+
+What a window can't tell, that a passage was written elsewhere too, the corpus tells: texts are cut into spans where the
+words say so, and a span's probability given the words next to it on both sides mixes the network's (the product over
+its words) with the share of the other documents with these neighbours that have this very span, by Witten and Bell's
+weights.  Counts of spans are joined, over all documents.  A document's score is the sum of its spans' log-probabilities.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +31,10 @@ CLASSES, RARE = GROUPS * GROUPS, 64
 VOCABULARY = CLASSES - RARE
 #: Words of a corpus from which the classes grow, and the root of the corpus by which words are held in memory.
 GROWS, HELD = 1_000_000, 300
-ROUNDS, RATE, BATCH = 2, 0.08, 4096
+ROUNDS, RATE, BATCH = 4, 0.12, 8192
+#: Words of a span on average: a span ends where a hash of its last two words is a multiple.
+SPAN = 16
+_U = np.uint64
 
 
 def _groups(total: float) -> int:
@@ -173,18 +180,14 @@ def step(p: dict[str, np.ndarray], sides: np.ndarray, target: np.ndarray, rate:
     return out
 
 
-def windows(batch: pa.Array, words: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sides and targets of all words of the texts, the words of each text, and their hashes."""
-    hashes = [textkit.word_hashes(t.as_py()) for t in batch]
-    n = np.array([len(x) for x in hashes], int)
+def windows(texts: list[np.ndarray], pad: int, first: int = 0, every: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Sides and targets of the words of texts, given as class ids; of every so many words from the first on."""
+    n = np.array([len(x) for x in texts], int)
     at = np.arange(n.sum()) + WINDOW * np.repeat(np.arange(1, len(n) + 1), n)
     line = np.full(n.sum() + WINDOW * (len(n) + 1), pad, np.int32)
-    h = np.concatenate([np.zeros(0, np.uint64), *hashes])
-    line[at] = classes(h, words)
-    sides = np.empty((len(at), 2 * WINDOW), np.int32)
-    for i, k in enumerate([k for k in range(-WINDOW, WINDOW + 1) if k]):
-        sides[:, i] = line[at + k]
-    return sides, line[at], n, h
+    line[at] = np.concatenate([np.zeros(0, np.int32), *texts])
+    at = at[first::every]
+    return np.stack([line[at + k] for k in range(-WINDOW, WINDOW + 1) if k], axis=1) if len(at) else np.zeros((0, 2 * WINDOW), np.int32), line[at]
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -199,57 +202,170 @@ def _shaped(flat: np.ndarray, shapes: dict[str, tuple]) -> dict[str, np.ndarray]
     return out
 
 
-def train(docs: DataFrame, words: np.ndarray, start: dict[str, np.ndarray], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Rounds of local training over all texts and averaging; the driver gets one row a parameter."""
+def _ids(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u4").astype(np.int32) for x in column]
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of v and n over a task's rows."""
+    v, n = None, 0
+    for batch in batches:
+        for x in batch.column(0):
+            one = np.frombuffer(x.as_buffer(), np.float64)
+            v = one.copy() if v is None else v + one
+        n += sum(batch.column(1).to_pylist())
+    if v is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["v", "n"])
+
+
+def train(coded: DataFrame, start: dict[str, np.ndarray], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Rounds of local training over all texts of coded(ids) and averaging: a word is a target in one round, in all rounds a context.
+
+    A task sends its parameters as one row; about a root of so many tasks add them up, and the driver adds their sums.
+    """
     flat, shapes, pad = _flat(start), _shapes(len(start["bg"])), len(start["embed"]) - 1
+    adders = max(1, math.isqrt(len(coded.inputFiles())))
     for k in range(rounds):
-        begin, rate = flat.copy(), RATE / (1 + k)
+        begin, rate = flat.copy(), RATE / (1 + k) ** 0.5
 
-        def local(batches, begin=begin, rate=rate):
+        def local(batches, begin=begin, rate=rate, k=k):
             p, seen = _shaped(begin, shapes), 0
             for batch in batches:
-                sides, target, *_ = windows(batch.column(0), words, pad)
+                sides, target = windows(_ids(batch.column(0)), pad, k, rounds)
                 for at in range(0, len(target), BATCH):
                     step(p, sides[at : at + BATCH], target[at : at + BATCH], rate)
                 seen += len(target)
             if seen:
-                v = _flat(p).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v)), pa.int32()), pa.array(v * seen), pa.array(np.full(len(v), float(seen)))], ["k", "v", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([(_flat(p).astype(np.float64) * seen).tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["v", "n"])
 
-        got = docs.select("text").mapInArrow(local, "k int, v double, n double").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
-        flat[got["k"].to_numpy()] = got["v"].to_numpy()
+        sent = coded.select("ids").mapInArrow(local, "v binary, n long").repartition(adders)
+        got = sent.mapInArrow(_added, "v binary, n long").collect()  # a root of the tasks
+        if got:
+            flat = sum(np.frombuffer(r["v"], np.float64) for r in got) / sum(r["n"] for r in got)
     return _shaped(flat, shapes)
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, log_likelihood and per_word for each row of docs(doc_id, text).
+def spans(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the spans of a text's word hashes end, a hash of each one's neighbours, and of those and the span itself.
 
-    Null, empty and wordless texts have 0 words, likelihood 0 and a null per_word.  Training sees every row, copies too.
+    The neighbours are two words on each side, marks beyond the text's ends.
     """
+    n = len(h)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U)
+    wide = np.concatenate([np.array([1, 2], _U), h, np.array([3, 4], _U)])
+    pair = textkit.mix(wide[:-1] * textkit._GOLD + wide[1:])  # of the words i - 2 and i - 1 at place i
+    ends = np.append(np.flatnonzero(pair[2:n] % _U(SPAN) == 0) + 2, n)
+    begins = np.append(0, ends[:-1])
+    beside = textkit.mix(pair[begins] + textkit.mix(pair[ends + 2] ^ textkit._BASE))
+    place = (np.arange(n) - np.repeat(begins, ends - begins)).astype(_U)
+    inside = np.add.reduceat(textkit.mix(h + textkit.mix(place + _U(1))), begins)
+    return ends, beside, textkit.mix(beside ^ textkit.mix(inside + textkit._GOLD))
+
+
+@dataclass
+class Lexicon:
+    """Words of their own classes (hashes, codes), occurrences of the classes, held words of shared classes with their log shares, all counts."""
+
+    words: np.ndarray
+    of_class: np.ndarray
+    rest: np.ndarray
+    share: np.ndarray
+    counts: DataFrame
+
+    @property
+    def joined(self) -> DataFrame:
+        """word and share of the words that aren't held."""
+        few = self.counts.filter(F.col("n") < held_from(float(self.of_class.sum())))
+        n = F.element_at(F.array(*[F.lit(float(x)) for x in self.of_class[VOCABULARY:CLASSES]]), F.pmod("word", F.lit(RARE)).cast("int") + 1)
+        return few.select("word", "n", F.ln(F.col("n") / n).alias("share"))
+
+
+def lexicon(docs: DataFrame) -> Lexicon:
     counts = counted(docs)
-    every, size = vocabulary(docs, counts)
-    words, of_class, rest, share = shared(every, size)
-    p = train(docs, words, initial(of_class))
-    pad = len(of_class)
+    return Lexicon(*shared(*vocabulary(docs, counts)), counts)
+
+
+_CODED = "uid long, doc_id long, n_words long, ids binary, ends array<long>, beside array<long>, span array<long>, first array<boolean>, share array<double>, at array<int>, few array<long>"
+
+
+def coded(docs: DataFrame, known: Lexicon) -> DataFrame:
+    """Class ids and spans of docs(doc_id, text), stored: ends, neighbours, the span with them, whether it is its first time in the document, held log shares; at and few are the spans and hashes of words whose share is joined."""
+    words, rest, share = known.words, known.rest, known.share
+
+    def run(batches):
+        for batch in batches:
+            hashes = [textkit.word_hashes(t.as_py()) for t in batch.column(2)]
+            every = np.concatenate([np.zeros(0, _U), *hashes])
+            own = classes(every, words)
+            few = np.flatnonzero((own >= VOCABULARY) & (own < CLASSES))
+            at = np.minimum(np.searchsorted(rest, every[few]), max(len(rest) - 1, 0))
+            held = rest[at] == every[few] if len(rest) else np.zeros(len(few), bool)
+            gain = np.zeros(len(every))
+            gain[few[held]] = share[at[held]]
+            left, begin, out = few[~held], 0, [[] for _ in range(9)]
+            for h in hashes:
+                ends, beside, span = spans(h)
+                end = begin + len(h)
+                here = left[np.searchsorted(left, begin) : np.searchsorted(left, end)]
+                sums = np.add.reduceat(gain[begin:end], np.append(0, ends[:-1])) if len(h) else gain[:0]
+                first = np.zeros(len(ends), bool)
+                first[np.unique(span, return_index=True)[1]] = True
+                row = (len(h), own[begin:end].astype("<u4").tobytes(), ends, beside.view(np.int64), span.view(np.int64), first, sums, np.searchsorted(ends, here - begin, side="right").astype(np.int32), every[here].view(np.int64))
+                for to, v in zip(out, row):
+                    to.append(v)
+                begin = end
+            kinds = [pa.int64(), pa.binary(), *[pa.list_(x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.int32(), pa.int64())]]
+            names = ["uid", "doc_id", "n_words", "ids", "ends", "beside", "span", "first", "share", "at", "few"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, k) for v, k in zip(out, kinds)]], names)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
+    return common.stored(rows.mapInArrow(run, _CODED), "coded")
+
+
+def seen(texts: DataFrame) -> DataFrame:
+    """span, rows (occurrences), n (documents), total and kinds (documents and different spans with its neighbours) of spans whose neighbours several documents have, stored."""
+    each = texts.select(F.explode(F.arrays_zip("beside", "span", "first")).alias("s")).select("s.beside", "s.span", "s.first")
+    counts = common.stored(each.groupBy("beside", "span").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("first"), 1)).alias("n")), "spans")
+    beside = counts.groupBy("beside").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total > 1")
+    return common.stored(common.spread(counts, common.stored(beside, "neighbours"), ["beside"], "kinds").select("span", "rows", "n", "total", "kinds"), "seen")
+
+
+def scored(docs: DataFrame, known: Lexicon | None = None, p: dict[str, np.ndarray] | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, log_likelihood, per_word and network_log_likelihood (without the spans) for each row of docs(doc_id, text).
+
+    Null, empty and wordless texts have 0 words, likelihood 0 and a null per_word.  Training sees every row, copies too;
+    a span counts once for each document, and a document's own time doesn't.  An empty table gives no rows.
+    """
+    known = known or lexicon(docs)
+    texts = texts or coded(docs, known)
+    p = p or train(texts, initial(known.of_class))
+    pad = len(known.of_class)
 
     def run(batches):
         for batch in batches:
-            sides, target, n, h = windows(batch.column(2), words, pad)
+            lists = _ids(batch.column(3))
+            sides, target = windows(lists, pad)
             logp = np.concatenate([np.zeros(0, np.float32), *[step(p, sides[at : at + BATCH], target[at : at + BATCH]) for at in range(0, len(target), BATCH)]]).astype(np.float64)
-            few = np.flatnonzero((target >= VOCABULARY) & (target < CLASSES))
-            at = np.minimum(np.searchsorted(rest, h[few]), len(rest) - 1) if len(rest) else np.zeros(len(few), int)
-            held = rest[at] == h[few] if len(rest) else np.zeros(len(few), bool)
-            logp[few[held]] += share[at[held]]
-            left = few[~held]  # words whose share is joined
-            end = np.cumsum(n)
             sums = np.concatenate([[0.0], np.cumsum(logp)])
-            cuts = np.searchsorted(left, np.concatenate([[0], end])).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(h[left].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(sums[end] - sums[end - n]), lists], ["uid", "doc_id", "n_words", "ll", "few"])
-
-    known = common.stored(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(run, "uid long, doc_id long, n_words long, ll double, few array<long>"), "likelihood")
-    n = F.element_at(F.array(*[F.lit(float(x)) for x in of_class[VOCABULARY:CLASSES]]), F.pmod("word", F.lit(RARE)).cast("int") + 1)
-    met = known.select("uid", F.explode("few").alias("word")).join(counts.filter(F.col("n") < held_from(size.sum())), "word")
-    shares = met.groupBy("uid").agg(F.sum(F.ln(F.col("n") / n)).alias("share"))
-    total = F.col("ll") + F.coalesce("share", F.lit(0.0))
-    return known.join(shares, "uid", "left").select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("per_word"))
+            ends = [x.values.to_numpy() for x in batch.column(4)]
+            offset = np.cumsum([0, *map(len, lists)])
+            net = [np.diff(sums[np.append(o, o + e)]) for o, e in zip(offset, ends)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(net, pa.list_(pa.float64())), *(batch.column(i) for i in range(5, 9))], ["uid", "doc_id", "n_words", "net", "span", "share", "at", "few"])
+
+    schema = "uid long, doc_id long, n_words long, net array<double>, span array<long>, share array<double>, at array<int>, few array<long>"
+    rows = common.stored(texts.select("uid", "doc_id", "n_words", "ids", "ends", "span", "share", "at", "few").mapInArrow(run, schema), "likelihood")
+    met = rows.select("uid", F.explode(F.arrays_zip("at", "few")).alias("f")).select("uid", F.col("f.at").alias("pos"), F.col("f.few").alias("word")).join(known.joined.select("word", "share"), "word")
+    rare = met.groupBy("uid", "pos").agg(F.sum("share").alias("rare"))
+    each = rows.select("uid", F.posexplode(F.arrays_zip("net", "span", "share")).alias("pos", "s")).select("uid", "pos", (F.col("s.net") + F.col("s.share")).alias("net"), "s.span")
+    each = each.join(rare, ["uid", "pos"], "left").select("uid", "span", (F.col("net") + F.coalesce("rare", F.lit(0.0))).alias("net"))
+    each = common.spread(common.stored(each, "span-likelihood"), seen(texts), ["span"], "rows", "left")
+    others, kinds = F.col("total") - 1, F.col("kinds") - F.when(F.col("n") == 1, 1).otherwise(0)
+    weight = F.coalesce(others / (others + kinds), F.lit(0.0))
+    copied = weight * F.coalesce((F.col("n") - 1) / others, F.lit(0.0))
+    # log((1 - weight) * exp(net) + copied), safe where exp(net) is 0
+    mixed = F.when(copied > 0, F.ln(copied) + F.log1p((1 - weight) / copied * F.exp("net"))).otherwise(F.log1p(-weight) + F.col("net"))
+    sums = each.groupBy("uid").agg(F.sum(mixed).alias("ll"), F.sum("net").alias("net"))
+    total = F.coalesce("ll", F.lit(0.0))
+    told = rows.select("uid", "doc_id", "n_words").join(sums, "uid", "left")
+    return told.select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("per_word"), F.coalesce("net", F.lit(0.0)).alias("network_log_likelihood"))
