@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 
 #: With it the shuffle files of a query go when the query ends, not when the driver's heap is next collected.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
@@ -60,15 +60,32 @@ def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """The rows of df, written as Parquet in the shared folder: cuts lineage, survives lost executors and frees its shuffle files."""
     spark = df.sparkSession
     path = path or new_path(spark, tag)
-    with setting(spark, _CLEANUP, "true"):
+    with setting(spark, CLEANUP, "true"):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, by: str, out: str) -> DataFrame:
-    """Numbers rows from 1 in the order of a unique column: ranges of it are counted, then numbered side by side."""
-    cut = stored(df.repartitionByRange(by).withColumn("_range", F.spark_partition_id()), "ranges")
+def _ranges(df: DataFrame, by: str) -> DataFrame:
+    """df dealt out by ranges of a column, stored with each row's range: a driver-sized number of them, whatever their rows."""
+    return stored(df.repartitionByRange(by).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def running(df: DataFrame, by: str, value: str, out: str) -> DataFrame:
+    """The sum of `value` up to each row in the order of a unique column: ranges of it are summed, then added up side by side."""
+    cut = _ranges(df, by)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(by))
-    return cut.withColumn("_place", place).join(starts, "_range").select(*df.columns, (F.col("_start") + F.col("_place")).cast("long").alias(out))
+    starts = cut.groupBy("_range").agg(F.sum(value).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row a range
+    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("_inside", inside).join(starts, "_range").select(*df.columns, (F.col("_start") + F.col("_inside")).alias(out))
+
+
+#: Rows that one task numbers.
+FEW_ROWS = 100_000
+
+
+def numbered(df: DataFrame, by: str, out: str) -> DataFrame:
+    """Numbers rows from 1 in the order of a unique column.  Few rows are left to one task."""
+    known = stored(df, "numbered")
+    if known.count() <= FEW_ROWS:
+        return known.withColumn(out, F.row_number().over(Window.orderBy(by)).cast("long"))
+    return running(known.withColumn("_one", F.lit(1)), by, "_one", out).withColumn(out, F.col(out).cast("long")).drop("_one")
