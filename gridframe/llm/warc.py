@@ -1,7 +1,7 @@
 """WARC archives with revisit records, through Spark's own readers and writers.
 
-A record is a gzip member of its own, and the blank lines after it are another, so that readers can start at any record.
-Tasks gather members into chunks, which Spark's text sink writes: a chunk is a row and the blank lines' member the line
+A record is a gzip member of its own, and the blank lines after it are another, so that readers can start at any record;
+a crawl that is only read to be deduplicated can have a member a chunk.  Tasks gather records into chunks, which Spark's text sink writes: a chunk is a row and the blank lines' member the line
 separator.  So any file system that Spark reaches will do, a lost task's files are never committed, and a file is bounded
 by its bytes, however long or short its records are.  Revisits are resolved on headers alone, shuffled by payload digest;
 payloads are only read file by file, to be written anew.
@@ -25,7 +25,7 @@ from gridframe.llm import common
 
 #: Shorter payloads aren't replaced by revisits.
 LEAST_BYTES = 100
-#: Compressed bytes of a chunk (a longer record is one of its own), chunks of a file, and the compression level.
+#: Bytes of a chunk, compressed if its records are members (a longer record is a chunk of its own), chunks of a file, and the compression level.
 CHUNK_BYTES, FILE_CHUNKS, LEVEL = 1 << 20, 16, 4
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END, _PIECE = b"\r\n\r\n", 1 << 16
@@ -38,17 +38,22 @@ HEADERS = "file string, at long, record_id string, type string, refers_to_id str
 _NAMES = [c.split()[0] for c in HEADERS.split(", ")]
 
 
-def member(fields: list[tuple[str, object]], body: bytes) -> bytes:
-    """A record as a gzip member.  Fields without a value are left out; line breaks in a value become spaces."""
+def record(fields: list[tuple[str, object]], body: bytes) -> bytes:
+    """A record.  Fields without a value are left out; line breaks in a value become spaces."""
     head = "".join(f"{k}: {_BREAKS.sub(' ', str(v))}\r\n" for k, v in fields if v is not None)
+    return f"WARC/1.1\r\n{head}Content-Length: {len(body)}\r\n\r\n".encode("utf-8", "surrogatepass") + body
+
+
+def zipped(data: bytes) -> bytes:
+    """A gzip member."""
     packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-    return packer.compress(f"WARC/1.1\r\n{head}Content-Length: {len(body)}\r\n\r\n".encode("utf-8", "surrogatepass")) + packer.compress(body) + packer.flush()
+    return packer.compress(data) + packer.flush()
 
 
 def response(record_id: str, date: str, uri: str | None, key: str | None, payload: bytes) -> bytes:
     digest = "sha256:" + hashlib.sha256(payload).hexdigest()
     fields = [("WARC-Type", "response"), ("WARC-Record-ID", record_id), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest), ("X-Row-Key", key), ("Content-Type", "application/http; msgtype=response")]
-    return member(fields, _HTTP + payload)
+    return record(fields, _HTTP + payload)
 
 
 def revisit(record_id: str, date: str, uri: str | None, key: str | None, digest: str | None, size: int, original: str | None, original_uri: str | None) -> bytes:
@@ -57,33 +62,39 @@ def revisit(record_id: str, date: str, uri: str | None, key: str | None, digest:
         ("WARC-Type", "revisit"), ("WARC-Record-ID", record_id), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest and (digest if ":" in digest else "sha256:" + digest)), ("X-Payload-Length", size),
         ("WARC-Refers-To", original), ("WARC-Refers-To-Target-URI", original_uri), ("WARC-Profile", PROFILE), ("X-Row-Key", key), ("Content-Type", "application/http; msgtype=response"),
     ]
-    return member(fields, _HTTP)
+    return record(fields, _HTTP)
 
 
-def _chunks(members: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+def _chunks(records: Iterator[bytes], members: bool) -> Iterator[pa.RecordBatch]:
     rows, size = [], 0
-    row = lambda: pa.RecordBatch.from_arrays([pa.array([_SEPARATOR.join(rows)], pa.binary())], ["value"])
-    for m in members:
-        if rows and size + len(m) > CHUNK_BYTES:
-            yield row()
+
+    def chunk() -> pa.RecordBatch:
+        data = _SEPARATOR.join(rows) if members else zipped(_END.join(rows))
+        return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["value"])
+
+    for x in records:
+        x = zipped(x) if members else x
+        if rows and size + len(x) > CHUNK_BYTES:
+            yield chunk()
             rows, size = [], 0
-        rows.append(m)
-        size += len(m) + len(_SEPARATOR)
+        rows.append(x)
+        size += len(x) + len(_SEPARATOR)
     if rows:
-        yield row()
+        yield chunk()
 
 
-def _written(rows: DataFrame, make, path: str) -> None:
-    """Writes the members that make(batches of rows) yields."""
-    flat = rows.mapInArrow(lambda batches: _chunks(make(batches)), "value binary").select(F.col("value").cast("string").alias("value"))
-    flat.write.option("encoding", "ISO-8859-1").option("lineSep", _SEPARATOR.decode("latin-1")).option("maxRecordsPerFile", FILE_CHUNKS).text(path)
+def _written(rows: DataFrame, make, path: str, members: bool = True) -> None:
+    """Writes the records that make(batches of rows) yields, a member each or a member a chunk."""
+    flat = rows.mapInArrow(lambda batches: _chunks(make(batches), members), "value binary").select(F.col("value").cast("string").alias("value"))
+    with common.setting(rows.sparkSession, common.CLEANUP, "true"):
+        flat.write.option("encoding", "ISO-8859-1").option("lineSep", _SEPARATOR.decode("latin-1")).option("maxRecordsPerFile", FILE_CHUNKS).text(path)
 
 
 def now() -> str:
     return time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
 
 
-def write(rows: DataFrame, path: str, date: str | None = None) -> None:
+def write(rows: DataFrame, path: str, date: str | None = None, members: bool = True) -> None:
     """Writes rows(uri, key, payload) as archives below path, a full response for each row; a null payload is empty."""
     run, date = uuid.uuid4().hex, date or now()
 
@@ -97,7 +108,7 @@ def write(rows: DataFrame, path: str, date: str | None = None) -> None:
                 yield response(f"<{own.urn}>", date, uri, key, payload.as_buffer().to_pybytes() if payload.is_valid else b"")
                 n += 1
 
-    _written(rows.select("uri", F.col("key").cast("string"), F.col("payload").cast("binary")), make, path)
+    _written(rows.select("uri", F.col("key").cast("string"), F.col("payload").cast("binary")), make, path, members)
 
 
 def _inflated(data: memoryview) -> Iterator[bytes]:
@@ -182,7 +193,7 @@ def resolved(headers: DataFrame, order: list[Column] | None = None, least: int =
     rank = F.struct(*by, F.col("file").alias("file"), F.col("at").alias("at"), F.col("record_id").alias("record_id"), F.col("uri").alias("uri"), F.col("key").alias("key"), F.col("digest").alias("digest"), F.col("payload_bytes").alias("payload_bytes"))
     own = F.struct(*[F.col("first")[k].alias(k) for k in ("file", "at", "record_id", "uri", "key", "digest", "payload_bytes")])
     asked = F.when(F.col("type") == "revisit", F.col("said_digest")).otherwise(F.col("digest"))
-    known = common.stored(headers.filter("type in ('response', 'revisit')").withColumn("asked", asked), "headers")
+    known = headers.filter("type in ('response', 'revisit')").withColumn("asked", asked)
     groups = known.groupBy("asked").agg(F.min(F.when(F.col("type") == "response", rank)).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and asked is not null and first is not null")
     groups = common.stored(groups.select("asked", own.alias("first"), "n"), "originals")
     met = common.spread(known.filter("asked is not null"), groups, ["asked"], "n", "left").drop("n")
@@ -206,7 +217,9 @@ def deduplicate(spark: SparkSession, source: str, target: str, order: list[Colum
     new identifiers.  Records of other kinds than response and revisit are left out.
     """
     run, date = uuid.uuid4().hex, date or now()
-    told = common.stored(resolved(common.stored(read(spark, source), "raw-headers"), order), "decisions")
+    heads = common.new_path(spark, "raw-headers")
+    told = common.stored(resolved(common.stored(read(spark, source), "raw-headers", heads), order), "decisions")
+    common.drop_path(spark, heads)
     name = lambda file, at: F.md5(F.concat_ws("|", F.lit(run), file, at.cast("string")))
     digest = F.when(F.col("first").isNotNull(), F.col("first.digest")).otherwise(F.when(F.col("type") == "revisit", F.col("said_digest")).otherwise(F.col("digest")))
     each = F.struct(
@@ -242,7 +255,7 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     order = [F.col("key").cast("long")]
     raw, path = common.new_path(spark, "warc-raw"), common.new_path(spark, "warc")
-    write(pages.select(F.col("url").alias("uri"), F.col("page_id").alias("key"), F.col("html").alias("payload")), raw)
+    write(pages.select(F.col("url").alias("uri"), F.col("page_id").alias("key"), F.col("html").alias("payload")), raw, members=False)
     deduplicate(spark, raw, path, order)
     common.drop_path(spark, raw)
     told = resolved(common.stored(read(spark, path), "warc-headers"), order)
