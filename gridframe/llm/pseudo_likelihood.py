@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridframe.llm import common, textkit
@@ -33,7 +33,9 @@ VOCABULARY = CLASSES - RARE
 GROWS, HELD = 1_000_000, 300
 ROUNDS, RATE, BATCH = 4, 0.12, 8192
 #: Words of a span on average: a span ends where a hash of its last two words is a multiple.
-SPAN = 16
+SPAN = 32
+#: Texts that a task works on at once; it holds some hundred bytes for each of their words.
+TEXTS = 2000
 _U = np.uint64
 
 
@@ -98,19 +100,20 @@ def shared(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def classes(h: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The classes of word hashes: of the few known words with a hash's leading 12 bits each is compared with it."""
+    """The classes of word hashes: of the few known words with a hash's leading 16 bits each is compared with it."""
     out = VOCABULARY + (h.view(np.int64) & (RARE - 1))  # RARE is a power of two
     if not words.shape[1]:
         return out
-    if words.shape[1] > 4 * 4096:  # buckets of many words
+    if words.shape[1] > 1 << 17:  # buckets of many words
         at = np.minimum(np.searchsorted(words[0], h), words.shape[1] - 1)
         return np.where(words[0][at] == h, words[1][at].astype(np.int64), out)
-    first = np.searchsorted(words[0] >> np.uint64(52), np.arange(4097, dtype=np.uint64))
+    first = np.searchsorted(words[0] >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64)).astype(np.int32)
     most = int(np.diff(first).max())
     key, code = (np.append(x, np.repeat(x[-1:], most)) for x in (words[0], words[1].astype(np.int64)))
-    at = first[(h >> np.uint64(52)).astype(np.int32)]
+    at = first[h >> np.uint64(48)]
     for k in range(most):
-        out = np.where(key[at + k] == h, code[at + k], out)
+        hit = np.flatnonzero(key[at + k] == h)
+        out[hit] = code[at[hit] + k]
     return out
 
 
@@ -190,6 +193,11 @@ def windows(texts: list[np.ndarray], pad: int, first: int = 0, every: int = 1) -
     return np.stack([line[at + k] for k in range(-WINDOW, WINDOW + 1) if k], axis=1) if len(at) else np.zeros((0, 2 * WINDOW), np.int32), line[at]
 
 
+def _batches(spark: SparkSession):
+    """Python tasks get TEXTS rows at once."""
+    return common.setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS))
+
+
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([v.ravel() for v in p.values()])
 
@@ -202,8 +210,13 @@ def _shaped(flat: np.ndarray, shapes: dict[str, tuple]) -> dict[str, np.ndarray]
     return out
 
 
-def _ids(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), "<u4").astype(np.int32) for x in column]
+def _kind(classes: int) -> str:
+    """How class ids are stored."""
+    return "<u2" if classes <= 1 << 16 else "<u4"
+
+
+def _ids(column: pa.Array, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind).astype(np.int32) for x in column]
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,6 +237,7 @@ def train(coded: DataFrame, start: dict[str, np.ndarray], rounds: int = ROUNDS)
     A task sends its parameters as one row; about a root of so many tasks add them up, and the driver adds their sums.
     """
     flat, shapes, pad = _flat(start), _shapes(len(start["bg"])), len(start["embed"]) - 1
+    kind = _kind(pad)
     adders = max(1, math.isqrt(len(coded.inputFiles())))
     for k in range(rounds):
         begin, rate = flat.copy(), RATE / (1 + k) ** 0.5
@@ -231,7 +245,7 @@ def train(coded: DataFrame, start: dict[str, np.ndarray], rounds: int = ROUNDS)
         def local(batches, begin=begin, rate=rate, k=k):
             p, seen = _shaped(begin, shapes), 0
             for batch in batches:
-                sides, target = windows(_ids(batch.column(0)), pad, k, rounds)
+                sides, target = windows(_ids(batch.column(0), kind), pad, k, rounds)
                 for at in range(0, len(target), BATCH):
                     step(p, sides[at : at + BATCH], target[at : at + BATCH], rate)
                 seen += len(target)
@@ -239,7 +253,8 @@ def train(coded: DataFrame, start: dict[str, np.ndarray], rounds: int = ROUNDS)
                 yield pa.RecordBatch.from_arrays([pa.array([(_flat(p).astype(np.float64) * seen).tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["v", "n"])
 
         sent = coded.select("ids").mapInArrow(local, "v binary, n long").repartition(adders)
-        got = sent.mapInArrow(_added, "v binary, n long").collect()  # a root of the tasks
+        with _batches(coded.sparkSession):
+            got = sent.mapInArrow(_added, "v binary, n long").collect()  # a root of the tasks
         if got:
             flat = sum(np.frombuffer(r["v"], np.float64) for r in got) / sum(r["n"] for r in got)
     return _shaped(flat, shapes)
@@ -254,12 +269,12 @@ def spans(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U)
     wide = np.concatenate([np.array([1, 2], _U), h, np.array([3, 4], _U)])
-    pair = textkit.mix(wide[:-1] * textkit._GOLD + wide[1:])  # of the words i - 2 and i - 1 at place i
-    ends = np.append(np.flatnonzero(pair[2:n] % _U(SPAN) == 0) + 2, n)
+    pair = (wide[:-1] * textkit._GOLD + wide[1:]) * textkit._BASE  # of the words i - 2 and i - 1 at place i
+    ends = np.append(np.flatnonzero(pair[2:n] >> _U(32) & _U(SPAN - 1) == 0) + 2, n)  # SPAN is a power of two
     begins = np.append(0, ends[:-1])
-    beside = textkit.mix(pair[begins] + textkit.mix(pair[ends + 2] ^ textkit._BASE))
-    place = (np.arange(n) - np.repeat(begins, ends - begins)).astype(_U)
-    inside = np.add.reduceat(textkit.mix(h + textkit.mix(place + _U(1))), begins)
+    beside = textkit.mix(textkit.mix(pair[begins]) + pair[ends + 2])
+    place = np.arange(n) - np.repeat(begins, ends - begins)
+    inside = np.add.reduceat(h * textkit._powers(n + 1)[place + 1], begins)
     return ends, beside, textkit.mix(beside ^ textkit.mix(inside + textkit._GOLD))
 
 
@@ -291,7 +306,7 @@ _CODED = "uid long, doc_id long, n_words long, ids binary, ends array<long>, bes
 
 def coded(docs: DataFrame, known: Lexicon) -> DataFrame:
     """Class ids and spans of docs(doc_id, text), stored: ends, neighbours, the span with them, whether it is its first time in the document, held log shares; at and few are the spans and hashes of words whose share is joined."""
-    words, rest, share = known.words, known.rest, known.share
+    words, rest, share, kind = known.words, known.rest, known.share, _kind(len(known.of_class))
 
     def run(batches):
         for batch in batches:
@@ -311,7 +326,7 @@ def coded(docs: DataFrame, known: Lexicon) -> DataFrame:
                 sums = np.add.reduceat(gain[begin:end], np.append(0, ends[:-1])) if len(h) else gain[:0]
                 first = np.zeros(len(ends), bool)
                 first[np.unique(span, return_index=True)[1]] = True
-                row = (len(h), own[begin:end].astype("<u4").tobytes(), ends, beside.view(np.int64), span.view(np.int64), first, sums, np.searchsorted(ends, here - begin, side="right").astype(np.int32), every[here].view(np.int64))
+                row = (len(h), own[begin:end].astype(kind).tobytes(), ends, beside.view(np.int64), span.view(np.int64), first, sums, np.searchsorted(ends, here - begin, side="right").astype(np.int32), every[here].view(np.int64))
                 for to, v in zip(out, row):
                     to.append(v)
                 begin = end
@@ -320,7 +335,8 @@ def coded(docs: DataFrame, known: Lexicon) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, k) for v, k in zip(out, kinds)]], names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
-    return common.stored(rows.mapInArrow(run, _CODED), "coded")
+    with _batches(docs.sparkSession):
+        return common.stored(rows.mapInArrow(run, _CODED), "coded")
 
 
 def seen(texts: DataFrame) -> DataFrame:
@@ -341,10 +357,11 @@ def scored(docs: DataFrame, known: Lexicon | None = None, p: dict[str, np.ndarra
     texts = texts or coded(docs, known)
     p = p or train(texts, initial(known.of_class))
     pad = len(known.of_class)
+    kind = _kind(pad)
 
     def run(batches):
         for batch in batches:
-            lists = _ids(batch.column(3))
+            lists = _ids(batch.column(3), kind)
             sides, target = windows(lists, pad)
             logp = np.concatenate([np.zeros(0, np.float32), *[step(p, sides[at : at + BATCH], target[at : at + BATCH]) for at in range(0, len(target), BATCH)]]).astype(np.float64)
             sums = np.concatenate([[0.0], np.cumsum(logp)])
@@ -354,7 +371,8 @@ def scored(docs: DataFrame, known: Lexicon | None = None, p: dict[str, np.ndarra
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(net, pa.list_(pa.float64())), *(batch.column(i) for i in range(5, 9))], ["uid", "doc_id", "n_words", "net", "span", "share", "at", "few"])
 
     schema = "uid long, doc_id long, n_words long, net array<double>, span array<long>, share array<double>, at array<int>, few array<long>"
-    rows = common.stored(texts.select("uid", "doc_id", "n_words", "ids", "ends", "span", "share", "at", "few").mapInArrow(run, schema), "likelihood")
+    with _batches(docs.sparkSession):
+        rows = common.stored(texts.select("uid", "doc_id", "n_words", "ids", "ends", "span", "share", "at", "few").mapInArrow(run, schema), "likelihood")
     met = rows.select("uid", F.explode(F.arrays_zip("at", "few")).alias("f")).select("uid", F.col("f.at").alias("pos"), F.col("f.few").alias("word")).join(known.joined.select("word", "share"), "word")
     rare = met.groupBy("uid", "pos").agg(F.sum("share").alias("rare"))
     each = rows.select("uid", F.posexplode(F.arrays_zip("net", "span", "share")).alias("pos", "s")).select("uid", "pos", (F.col("s.net") + F.col("s.share")).alias("net"), "s.span")

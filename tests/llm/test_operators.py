@@ -139,7 +139,7 @@ def test_op2_against_every_document_by_hand(spark, monkeypatch, held):
     for i, t in enumerate(texts):
         h = textkit.word_hashes(t)
         mark = [1, 2, *h.tolist(), 3, 4]
-        ends = [k for k in range(2, len(h)) if textkit.mix(np.array([mark[k]], np.uint64) * textkit._GOLD + np.array([mark[k + 1]], np.uint64))[0] % 16 == 0]
+        ends = [k for k in range(2, len(h)) if (int(mark[k]) * int(textkit._GOLD) + int(mark[k + 1])) * int(textkit._BASE) % 2**64 >> 32 & model.SPAN - 1 == 0]
         cut[i] = [(a, b, tuple(mark[a : a + 2]), tuple(h[a:b].tolist()), tuple(mark[b + 2 : b + 4])) for a, b in zip([0, *ends], [*ends, len(h)]) if len(h)]
     n = Counter(x for c in cut.values() for x in {(a, s, b) for _, _, a, s, b in c})
     total, kinds = Counter(), Counter()
@@ -452,6 +452,19 @@ def test_pipeline(spark):
     assert kept.select("doc_id").distinct().count() == before.count() and corpus_pipeline.run(spark, DIR).count() == kept.count()
 
 
+def test_pipeline_takes_nulls_repeats_clashing_columns_and_nothing(spark, docs, empty):
+    import corpus_pipeline
+
+    left = {"toxicity": len(TEXTS), "near_dedup": 8, "mixing": 8}
+    for table, whole in ((docs, True), (empty, False)):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES:
+            kept = common.stored(stage(spark, kept, DIR), name)
+            if name != "packing":
+                assert kept.columns == docs.columns and kept.dtypes == docs.dtypes and kept.count() == (left[name] if whole else 0)
+        assert kept.filter("piece = 0").count() == (8 if whole else 0)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 900])
 def test_classes_of_words_are_those_of_a_lookup(n):
     from gridframe.llm import pseudo_likelihood as model
