@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridframe.core import AGGREGATE_FUNCTIONS
+
 
 def divide(a: Column, b: Column) -> Column:
     """a / b; an infinity of a's sign for b = 0, null for 0 / 0."""
@@ -23,8 +27,11 @@ def modulo(a: Column, b: Column) -> Column:
 BINARY = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": divide, "%%": modulo, "%/%": floor_divide, "^": F.pow, "**": F.pow}
 
 
-def summary(fun: str, v: Column) -> Column:
-    """An aggregate by name.  sum of none is 0, any of none 0, all of none 1; n counts nulls; unique is a single value besides 0, else null."""
+def summary(fun: str | Callable, v: Column) -> Column:
+    """An aggregate by name, or a function of one's own from a Column to an aggregate.  sum of none is 0, any of none 0, all of none 1; n counts nulls; unique is a single value besides 0, else null."""
+    fun = AGGREGATE_FUNCTIONS.get(fun, fun) if isinstance(fun, str) else fun
+    if callable(fun):
+        return fun(v).cast("double")
     other = F.when(v != 0, v)
     known = {
         "max": F.max(v), "min": F.min(v), "sum": F.coalesce(F.sum(v), F.lit(0.0)), "mean": F.avg(v), "median": F.median(v),

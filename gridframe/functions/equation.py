@@ -14,13 +14,14 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gridframe.core import GridFrame, operator
+from gridframe.core import AGGREGATE_FUNCTIONS, FUNCTIONS, GridFrame, operator
 from gridframe.functions.arithmetic import BINARY
 
 _TOKEN = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][-+]?\d+)?)|([A-Za-z][A-Za-z0-9]*(?:\.(?:self|others|all)(?:_[A-Za-z0-9_]+)?)?)|(%%|%/%|<=|>=|==|!=|[-+*/^()<>!&|,\[\]]))")
 _NAME = re.compile(r"^([^._]+)\.(self|others|all)(?:_(.+))?$")
-AGGREGATES = ("sum", "mean", "max", "min", "median", "sd", "var", "length", "any", "all")
+AGGREGATES = ("sum", "mean", "max", "min", "median", "sd", "var", "prod", "length", "any", "all")
 SCALARS = {
     "sqrt": lambda v: F.when(v >= 0, F.sqrt(v)), "log": lambda v: F.when(v > 0, F.log(v)).when(v == 0, float("-inf")),
     "exp": F.exp, "abs": F.abs, "floor": lambda v: F.floor(v).cast("double"), "ceiling": lambda v: F.ceil(v).cast("double"), "round": F.rint,
@@ -110,13 +111,17 @@ def parse(text: str) -> tuple:
     return tree
 
 
+def _reduces(name: str) -> bool:
+    return name in AGGREGATES or name in AGGREGATE_FUNCTIONS
+
+
 def _variables(tree: tuple) -> list[tuple]:
     return [tree] if tree[0] == "var" else [v for x in tree[1:] if isinstance(x, tuple) for v in _variables(x)]
 
 
 def _aggregates(tree: tuple) -> list[tuple]:
     """The outermost calls of aggregates."""
-    if tree[0] == "call" and tree[1] in AGGREGATES:
+    if tree[0] == "call" and _reduces(tree[1]):
         return [tree]
     return [a for x in tree[1:] if isinstance(x, tuple) for a in _aggregates(x)]
 
@@ -132,9 +137,10 @@ def _column(tree: tuple, known: dict[tuple, Column]) -> Column:
     if kind == "not":
         return (_column(tree[1], known) == 0).cast("double")
     if kind == "call":
-        if tree[1] not in SCALARS:
+        known_functions = SCALARS | FUNCTIONS
+        if tree[1] not in known_functions:
             raise ValueError(f"no function {tree[1]!r}")
-        return SCALARS[tree[1]](_column(tree[2], known))
+        return known_functions[tree[1]](_column(tree[2], known))
     if kind == "op":
         a, b = _column(tree[2], known), _column(tree[3], known)
         if tree[1] in BINARY:
@@ -145,8 +151,10 @@ def _column(tree: tuple, known: dict[tuple, Column]) -> Column:
 
 
 def _aggregate(fun: str, v: Column) -> Column:
+    if fun in AGGREGATE_FUNCTIONS:
+        return AGGREGATE_FUNCTIONS[fun](v).cast("double")
     on = (v != 0).cast("double")
-    return {"sum": F.coalesce(F.sum(v), F.lit(0.0)), "mean": F.avg(v), "max": F.max(v), "min": F.min(v), "median": F.median(v), "sd": F.stddev_samp(v), "var": F.var_samp(v), "length": F.count(F.lit(1)).cast("double"), "any": F.max(on), "all": F.min(on)}[fun]
+    return {"sum": F.coalesce(F.sum(v), F.lit(0.0)), "mean": F.avg(v), "max": F.max(v), "min": F.min(v), "median": F.median(v), "sd": F.stddev_samp(v), "var": F.var_samp(v), "prod": F.coalesce(F.product(v), F.lit(1.0)), "length": F.count(F.lit(1)).cast("double"), "any": F.max(on), "all": F.min(on)}[fun]
 
 
 class Compiler:
@@ -237,25 +245,61 @@ class Compiler:
         return self.of_others(fun, value), None
 
     def of_others(self, fun: str, value: DataFrame) -> DataFrame:
-        """An aggregate over the rows of all other classes, from each class's own: a total less its part, or the best of the rest."""
-        own = value.groupBy("own").agg(F.sum("x").alias("s"), F.count("x").cast("double").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        if fun in ("sum", "mean", "length"):
-            s, n = own.agg(F.coalesce(F.sum("s"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
-            rest_s, rest_n = F.lit(s) - F.coalesce("s", F.lit(0.0)), F.lit(n) - F.coalesce("n", F.lit(0.0))
-            x = {"sum": rest_s, "length": rest_n, "mean": F.when(rest_n > 0, rest_s / rest_n)}[fun]
-        elif fun in ("min", "max"):
-            k = "lo" if fun == "min" else "hi"
-            top = [(r["own"], r[k]) for r in own.filter(F.col(k).isNotNull()).orderBy(F.col(k).asc() if fun == "min" else F.col(k).desc()).limit(2).collect()]
+        """An aggregate over the rows of all other classes, from each class's own: a total less its part, the best of the rest, a rank that skips its own."""
+        value = value.filter("x is not null") if fun != "length" else value
+        if fun == "median":
+            return self.median_of_others(value)
+        x = F.col("x")
+        if fun in ("min", "max"):
+            best = F.min(x) if fun == "min" else F.max(x)
+            own = value.groupBy("own").agg(best.alias("best"))
+            top = [(r["own"], r["best"]) for r in own.orderBy(F.col("best").asc() if fun == "min" else F.col("best").desc()).limit(2).collect()]
             first, second = (top + [(None, None), (None, None)])[:2]
-            x = F.when(F.col("gid").eqNullSafe(F.lit(first[0])), F.lit(second[1]).cast("double")).otherwise(F.lit(first[1]).cast("double"))
-        else:
-            raise ValueError(f"{fun} of others isn't supported")
-        return self.ids.join(own.withColumnRenamed("own", "gid"), "gid", "left").select("gid", x.alias("x"))
+            known = self.ids.withColumnRenamed("gid", "own")
+            out = F.when(F.col("own").eqNullSafe(F.lit(first[0])), F.lit(second[1]).cast("double")).otherwise(F.lit(first[1]).cast("double"))
+            return known.select(F.col("own").alias("gid"), out.alias("x"))
+        middle = (value.agg(F.avg("x")).first()[0] or 0.0) if fun in ("sd", "var") else 0.0
+        off, size = x - middle, F.abs(x)
+        parts = {
+            "n": F.count(F.lit(1)).cast("double"), "s": F.coalesce(F.sum(off), F.lit(0.0)), "q": F.coalesce(F.sum(off * off), F.lit(0.0)), "zero": F.count(F.when(x == 0, 1)).cast("double"),
+            "less": F.count(F.when(x < 0, 1)).cast("double"), "log": F.coalesce(F.sum(F.when(x != 0, F.log(size))), F.lit(0.0)),
+        }
+        own = value.groupBy("own").agg(*[v.alias(k) for k, v in parts.items()])
+        total = own.agg(*[F.coalesce(F.sum(k), F.lit(0.0)).alias(k) for k in parts]).first()
+        rest = {k: F.lit(total[k]) - F.coalesce(k, F.lit(0.0)) for k in parts}
+        n = rest["n"]
+        spread = F.when(n > 1, F.greatest(F.lit(0.0), rest["q"] - F.try_divide(rest["s"] * rest["s"], n)) / (n - 1))
+        known = {
+            "sum": rest["s"], "length": n, "mean": F.when(n > 0, F.try_divide(rest["s"], n)), "var": spread, "sd": F.sqrt(spread), "any": F.when(n > 0, (rest["zero"] < n).cast("double")), "all": F.when(n > 0, (rest["zero"] == 0).cast("double")),
+            "prod": F.when(rest["zero"] > 0, 0.0).otherwise(F.exp(rest["log"]) * F.when(rest["less"] % 2 == 1, -1.0).otherwise(1.0)),
+        }
+        if fun not in known:
+            raise ValueError(f"{fun} of others isn't supported: it can't be had from a total and each class's part")
+        return self.ids.join(own.withColumnRenamed("own", "gid"), "gid", "left").select("gid", known[fun].alias("x"))
+
+    def median_of_others(self, value: DataFrame) -> DataFrame:
+        """The median of the rows of all other classes.
+
+        With all rows ranked, the m-th that isn't a class's own has rank m plus the number of its own rows that fewer
+        than m others precede.
+        """
+        from gridframe.plans.storage import numbered, stored
+
+        rows = value.select("own", "x", F.struct("x", "own", "key").alias("at"))
+        every = stored(numbered(rows, "at", "rank"), "ranks")
+        mine = every.filter("own is not null").withColumn("before", F.col("rank") - F.row_number().over(Window.partitionBy("own").orderBy("rank")))
+        total = every.count()
+        sizes = self.ids.join(every.filter("own is not null").groupBy(F.col("own").alias("gid")).agg(F.count(F.lit(1)).alias("k")), "gid", "left").select("gid", (F.lit(total) - F.coalesce("k", F.lit(0))).alias("n")).filter("n > 0")
+        asked = sizes.select("gid", F.explode(F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1))).alias("m"))
+        own = mine.select(F.col("own").alias("gid"), "before")
+        skipped = asked.join(own, "gid", "left").groupBy("gid", "m").agg(F.count(F.when(F.col("before") < F.col("m"), 1)).alias("j"))
+        met = skipped.select("gid", (F.col("m") + F.col("j")).alias("rank")).distinct().join(every.select("rank", "x"), "rank")
+        return self.ids.join(met.groupBy("gid").agg(F.avg("x").alias("x")), "gid", "left")
 
 
 def _outside(tree: tuple) -> list[tuple]:
     """Names outside all aggregates."""
-    if tree[0] == "call" and tree[1] in AGGREGATES:
+    if tree[0] == "call" and _reduces(tree[1]):
         return []
     return [tree] if tree[0] == "var" else [v for x in tree[1:] if isinstance(x, tuple) for v in _outside(x)]
 

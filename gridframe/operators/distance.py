@@ -96,52 +96,118 @@ def distance(g: GridFrame, source: str = "foreground", method: str = "euclidean"
     return g.put_from(add or layer, to_cost(g, seeds, cost) if cost else to_sources(g, seeds, method))
 
 
-def relaxed(cost: np.ndarray, dist: np.ndarray) -> np.ndarray:
-    """Dijkstra on one tile: the cheapest way to each cell, given starting distances (inf: none); nan costs are walls."""
+_AROUND = [(a, b, math.sqrt(2) if a and b else 1.0) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+
+
+def relaxed(cost: np.ndarray, dist: np.ndarray, start: list[tuple[int, int]] | None = None) -> np.ndarray:
+    """Dijkstra on one tile: the cheapest way to each cell, given distances (inf: none) and the cells whose distance is new; nan costs are walls."""
     dist = np.where(np.isnan(cost), np.inf, dist)
-    heap = [(dist[i, j], i, j) for i, j in zip(*np.nonzero(np.isfinite(dist)))]
+    start = list(zip(*np.nonzero(np.isfinite(dist)))) if start is None else start
+    heap = [(dist[i, j], i, j) for i, j in start if dist[i, j] < np.inf]
     heapq.heapify(heap)
-    h, w = cost.shape
+    (h, w), k, d = cost.shape, cost.tolist(), dist.tolist()
     while heap:
-        d, i, j = heapq.heappop(heap)
-        if d > dist[i, j]:
+        here, i, j = heapq.heappop(heap)
+        if here > d[i][j]:
             continue
-        for a in (-1, 0, 1):
-            for b in (-1, 0, 1):
-                y, x = i + a, j + b
-                if (a or b) and 0 <= y < h and 0 <= x < w and not math.isnan(cost[y, x]):
-                    new = d + (cost[i, j] + cost[y, x]) / 2 * (math.sqrt(2) if a and b else 1.0)
+        own = k[i][j]
+        for a, b, length in _AROUND:
+            y, x = i + a, j + b
+            if 0 <= y < h and 0 <= x < w and (other := k[y][x]) == other:
+                new = here + (own + other) / 2 * length
+                if new < d[y][x] - 1e-12:
+                    d[y][x] = new
+                    heapq.heappush(heap, (new, y, x))
+    return np.array(d).reshape(cost.shape)
+
+
+def _edge(x: np.ndarray, a: int, b: int) -> np.ndarray:
+    """A tile's cells along the side towards (a, b): a row, a column or a corner."""
+    return np.atleast_1d(x[0 if a < 0 else -1 if a > 0 else slice(None), 0 if b < 0 else -1 if b > 0 else slice(None)])
+
+
+def _entered(cost: np.ndarray, dist: np.ndarray, news: list[tuple]) -> list[tuple[int, int]]:
+    """Lowers a tile's border cells, in place, by what the neighbours say of theirs: (a, b, distances, costs); the cells that changed."""
+    h, w = cost.shape
+    changed = []
+    for a, b, far, price in news:
+        for n, (f, p) in enumerate(zip(far, price)):
+            if not f < np.inf:
+                continue
+            # the neighbour's cell lies one step beyond this tile
+            y0 = -1 if a < 0 else h if a > 0 else n
+            x0 = -1 if b < 0 else w if b > 0 else n
+            for i, j, length in _AROUND:
+                y, x = y0 + i, x0 + j
+                if 0 <= y < h and 0 <= x < w and cost[y, x] == cost[y, x]:
+                    new = f + (p + cost[y, x]) / 2 * length
                     if new < dist[y, x] - 1e-12:
                         dist[y, x] = new
-                        heapq.heappush(heap, (new, y, x))
-    return dist
+                        changed.append((y, x))
+    return changed
+
+
+_NEWS = "news array<struct<ti:int,tj:int,a:int,b:int,d:array<double>,k:array<double>>>"
 
 
 def to_cost(g: GridFrame, seeds: DataFrame, cost: str) -> DataFrame:
-    """r, c, v: the cheapest cost from seeds(r, c).  Tiles with a rim of one cell relax on their own until none changes."""
-    start = g.values(cost).withColumnRenamed("v", "k").join(seeds.select("r", "c").distinct().withColumn("v", F.lit(0.0)), ["r", "c"], "left")
-    now = stored(start, "cost")
-    tile = [F.floor(F.col(x) / TILE).cast("int") for x in ("r", "c")]
-    over = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o")
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = f["r"].min(), f["c"].min()
-        shape = (f["r"].max() - r0 + 1, f["c"].max() - c0 + 1)
-        i, j = f["r"].to_numpy() - r0, f["c"].to_numpy() - c0
-        k, d = np.full(shape, np.nan), np.full(shape, np.inf)
-        k[i, j], d[i, j] = f["k"].to_numpy(float), f["v"].fillna(np.inf).to_numpy(float)
-        out = relaxed(k, d)[i, j]
-        own = (f["r"] // TILE == f["ti"]) & (f["c"] // TILE == f["tj"])
-        new = f[["r", "c", "k"]].assign(v=np.where(np.isfinite(out), out, np.nan), moved=out < d[i, j] - 1e-9)
-        return new[own.to_numpy()]
+    """r, c, v: the cheapest cost from seeds(r, c).
 
+    A tile is a row, its costs stored once.  In a round the tiles that heard of a neighbour's border go on from the cells
+    that it lowers, and tell their neighbours what changed along their own; the others rest.
+    """
+    cells = g.values(cost).withColumnRenamed("v", "k").join(seeds.select("r", "c").distinct().withColumn("d", F.lit(0.0)), ["r", "c"], "left")
+    side = TILE
+    laid = cells.select(F.floor(F.col("r") / side).cast("int").alias("ti"), F.floor(F.col("c") / side).cast("int").alias("tj"), "r", "c", F.col("k").cast("double"), "d")
+
+    def tile(f: pd.DataFrame) -> pd.DataFrame:
+        r, c = f["r"].to_numpy(), f["c"].to_numpy()
+        h, w = int(r.max() - r.min()) + 1, int(c.max() - c.min()) + 1
+        k, d = np.full((h, w), np.nan), np.full((h, w), np.inf)
+        at = r - r.min(), c - c.min()
+        k[at], d[at] = f["k"].to_numpy(float), f["d"].fillna(np.inf).to_numpy(float)
+        return pd.DataFrame({"ti": f["ti"].iloc[:1], "tj": f["tj"].iloc[:1], "h": h, "w": w, "k": [k.tobytes()], "d": [d.tobytes()], "busy": bool(np.isfinite(d).any())})
+
+    def told(ti: int, tj: int, k: np.ndarray, old: np.ndarray, new: np.ndarray) -> list:
+        out = []
+        for a, b, _ in _AROUND:
+            if (_edge(new, a, b) < _edge(old, a, b)).any():
+                out.append((ti + a, tj + b, -a, -b, _edge(new, a, b).tolist(), _edge(k, a, b).tolist()))
+        return out
+
+    def go(frames):
+        for f in frames:
+            rows = []
+            for ti, tj, h, w, kept, was, news in f.itertuples(index=False):
+                k, old = (np.frombuffer(x).reshape(h, w) for x in (kept, was))
+                if news is None:  # the first round starts from the seeds
+                    new = relaxed(k, old)
+                    old = np.full((h, w), np.inf)
+                else:
+                    new = old.copy()
+                    new = relaxed(k, new, _entered(k, new, [(x["a"], x["b"], x["d"], x["k"]) for x in news]))
+                rows.append((ti, tj, h, w, new.tobytes(), told(ti, tj, k, old, new)))
+            yield pd.DataFrame(rows, columns=["ti", "tj", "h", "w", "d", "news"])
+
+    tiles = stored(laid.groupBy("ti", "tj").applyInPandas(tile, "ti int, tj int, h int, w int, k binary, d binary, busy boolean"), "tiles")
+    prices, state = tiles.select("ti", "tj", "k"), tiles.select("ti", "tj", "h", "w", "d")
+    active = tiles.filter("busy").select("ti", "tj", "h", "w", "k", "d", F.lit(None).cast(_NEWS.split(" ", 1)[1]).alias("news"))
     while True:
-        laid = now.select("r", "c", "k", "v", *[t.alias(n) for t, n in zip(tile, ("ti", "tj"))], over)
-        rim = laid.select("r", "c", "k", "v", F.floor((F.col("r") + F.col("o.i")) / TILE).cast("int").alias("ti"), F.floor((F.col("c") + F.col("o.j")) / TILE).cast("int").alias("tj")).distinct()
-        new = stored(rim.groupBy("ti", "tj").applyInPandas(run, "r int, c int, k double, v double, moved boolean"), "cost")
-        now = new.select("r", "c", "k", F.when(~F.isnan("v"), F.col("v")).alias("v"))
-        if not new.filter("moved").limit(1).count():
-            return now.select("r", "c", "v")
+        gone = stored(active.mapInPandas(go, f"ti int, tj int, h int, w int, d binary, {_NEWS}"), "gone")
+        now = state.join(gone.select("ti", "tj"), ["ti", "tj"], "left_anti").unionByName(gone.select("ti", "tj", "h", "w", "d"))
+        state = stored(now, "state")
+        heard = gone.select(F.explode("news").alias("n")).select("n.ti", "n.tj", F.struct("n.ti", "n.tj", "n.a", "n.b", "n.d", "n.k").alias("n")).groupBy("ti", "tj").agg(F.collect_list("n").alias("news"))  # eight at most
+        active = stored(state.join(heard, ["ti", "tj"]).join(prices, ["ti", "tj"]).select("ti", "tj", "h", "w", "k", "d", "news"), "active")
+        if not active.limit(1).count():
+            break
+
+    def back(frames):
+        for f in frames:
+            for ti, tj, h, w, d in f.itertuples(index=False):
+                v = np.frombuffer(d)
+                yield pd.DataFrame({"r": ti * side + np.repeat(np.arange(h), w), "c": tj * side + np.tile(np.arange(w), h), "v": v})
+
+    return state.mapInPandas(back, "r int, c int, v double").select("r", "c", F.when(F.col("v") < float("inf"), F.col("v")).alias("v"))
 
 
 def border_cells(g: GridFrame, layer: str) -> DataFrame:
@@ -189,12 +255,27 @@ def between(g: GridFrame, layer: str, metric: str) -> DataFrame:
     return gaps.groupBy("r").applyInPandas(row, "a double, b double, d double").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
+def nearest_cells(g: GridFrame, layer: str) -> DataFrame:
+    """a, b, r0, c0, r1, c1: the nearest cells of each two classes a < b, of several pairs the first by rows and columns.
+
+    The distances come from between(); the cells are then met by equality, each border cell of a with the few cells at
+    just that distance.
+    """
+    b = stored(border_cells(g, layer).filter("v <> 0"), "border")
+    apart = between(g, layer, "euclidean").select("a", "b", F.round(F.col("d") * F.col("d")).cast("long").alias("d2"))
+    up = F.floor(F.sqrt(F.col("d2").cast("double"))).cast("int")
+    side = lambda i: F.rint(F.sqrt((F.col("d2") - i * i).cast("double"))).cast("int")
+    both = F.transform(F.sequence(-up, up), lambda i: F.struct(i.alias("i"), side(i).alias("j")))
+    on = F.filter(both, lambda x: x["i"] * x["i"] + x["j"] * x["j"] == F.col("d2"))
+    hops = apart.select("a", "b", F.explode(on).alias("x")).select("a", "b", "x.i", F.explode(F.array_distinct(F.array(F.col("x.j"), -F.col("x.j")))).alias("j"))
+    reach = b.withColumnRenamed("v", "a").join(hops, "a").select("a", "b", F.col("r").alias("r0"), F.col("c").alias("c0"), (F.col("r") + F.col("i")).alias("r1"), (F.col("c") + F.col("j")).alias("c1"))
+    met = reach.join(b.select(F.col("r").alias("r1"), F.col("c").alias("c1"), F.col("v").alias("b")), ["r1", "c1", "b"])
+    return met.groupBy("a", "b").agg(F.min(F.struct("r0", "c0", "r1", "c1")).alias("e")).select("a", "b", "e.*")
+
+
 def along_lines(g: GridFrame, layer: str, cost: str) -> DataFrame:
     """a, b, d: costs summed along the straight line between the nearest cells of each two classes, rounded half to even."""
-    b = border_cells(g, layer).filter("v <> 0")
-    d2 = F.pow(F.col("p.r") - F.col("q.r"), 2) + F.pow(F.col("p.c") - F.col("q.c"), 2)
-    ends = F.struct(d2.alias("d2"), F.col("p.r").alias("r0"), F.col("p.c").alias("c0"), F.col("q.r").alias("r1"), F.col("q.c").alias("c1"))
-    met = b.alias("p").join(b.alias("q"), F.col("p.v") < F.col("q.v")).groupBy(F.col("p.v").alias("a"), F.col("q.v").alias("b")).agg(F.min(ends).alias("e")).select("a", "b", "e.*")
+    met = nearest_cells(g, layer)
     steps = met.withColumn("n", F.greatest(F.abs(F.col("r1") - F.col("r0")), F.abs(F.col("c1") - F.col("c0")))).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n"))))
     at = lambda x, y: F.rint(F.col(x) + (F.col(y) - F.col(x)) * F.col("t") / F.col("n")).cast("int")
     line = steps.select("a", "b", at("r0", "r1").alias("r"), at("c0", "c1").alias("c")).join(g.values(cost), ["r", "c"], "left")

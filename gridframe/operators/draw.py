@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridframe.core import GridFrame, operator
-from gridframe.functions.random import uniform
+from gridframe.functions.random import normal, uniform
 from gridframe.operators.stencil import ROOK, sent
 from gridframe.operators.zonal import nearest, patches
 from gridframe.plans.storage import numbered, stored
@@ -74,13 +73,7 @@ def noise(g: GridFrame, kind: str = "white", frequency: float = 4, name: str = "
 def texture(g: GridFrame, kind: str = "fbm", base: str = "perlin", hurst: float = 0.7, octaves: int = 6, lacunarity: float = 2, frequency: float = 4, start_dev: float = 1, name: str = "texture", seed: int = 1) -> GridFrame:
     """Octaves of noise (fbm; billow of absolute values; ridged of 1 minus those), or midpoint displacement (diamondSquare)."""
     if kind == "diamondSquare":
-        m = displaced(max(g.meta.nrow, g.meta.ncol), hurst, start_dev, seed)
-
-        def take(frames):
-            for f in frames:
-                yield f.assign(v=m[f["r"].to_numpy(), f["c"].to_numpy()])
-
-        return _unit(g.put_from(name, g.cells.select("r", "c").mapInPandas(take, "r int, c int, v double")), name, 0.5)
+        return _unit(g.put_from(name, displaced(g, hurst, start_dev, seed)), name, 0.5)
     total, amp = F.lit(0.0), 1.0
     for k in range(octaves):
         v = _field(base, seed * 1000 + k, g, frequency * lacunarity**k)
@@ -89,27 +82,31 @@ def texture(g: GridFrame, kind: str = "fbm", base: str = "perlin", hurst: float
     return _unit(g.put(name, total), name, 0.5)
 
 
-def displaced(n: int, hurst: float, dev: float, seed: int) -> np.ndarray:
-    """Midpoint displacement on the least square of 2^k + 1 cells that covers n."""
-    side = 1 << max(1, (n - 2).bit_length())
-    rng, m = np.random.default_rng(seed), np.zeros((side + 1, side + 1))
-    m[:: side, :: side] = rng.normal(0, dev, (2, 2))
-    step = side
+def displaced(g: GridFrame, hurst: float, dev: float, seed: int) -> DataFrame:
+    """r, c, v by midpoint displacement: from the corners of a square of 2^k cells that covers the grid, step by step to single cells.
+
+    A point halfway between known ones takes their mean and a random part that shrinks with each step; it depends on
+    seed, step and place alone.  Only points are kept that a cell of the grid goes back to, and each step is one table.
+    """
+    rows, cols = g.meta.nrow, g.meta.ncol
+    step = 1 << max(1, (max(rows, cols) - 2).bit_length())
+    side, spark = step, g.cells.sparkSession
+    corners = spark.createDataFrame([(r, c) for r in (0, side) for c in (0, side)], "r int, c int")
+    known = corners.select("r", "c", (dev * normal(seed, F.lit(0), F.col("r"), F.col("c"))).alias("v"))
+    rounds = 0
     while step > 1:
-        half, s = step // 2, dev
-        mid = (m[:-1:step, :-1:step] + m[step::step, :-1:step] + m[:-1:step, step::step] + m[step::step, step::step]) / 4
-        m[half::step, half::step] = mid + rng.normal(0, s, mid.shape)
-        for r0, c0 in ((0, half), (half, 0)):
-            rr, cc = np.meshgrid(np.arange(r0, side + 1, step), np.arange(c0, side + 1, step), indexing="ij")
-            total, count = np.zeros(rr.shape), np.zeros(rr.shape)
-            for a, b in ((-half, 0), (half, 0), (0, -half), (0, half)):
-                y, x = rr + a, cc + b
-                ok = (y >= 0) & (y <= side) & (x >= 0) & (x <= side)
-                total[ok] += m[y[ok], x[ok]]
-                count[ok] += 1
-            m[rr, cc] = total / count + rng.normal(0, s, rr.shape)
+        half, rounds = step // 2, rounds + 1
+        for k, ways in enumerate(([(-half, -half), (-half, half), (half, -half), (half, half)], [(-half, 0), (half, 0), (0, -half), (0, half)])):
+            hops = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ways])).alias("k")
+            sent_ = known.select("r", "c", "v", hops).select((F.col("r") + F.col("k.i")).alias("r"), (F.col("c") + F.col("k.j")).alias("c"), "v")
+            inside = F.col("r").between(0, min(side, rows - 1 + step)) & F.col("c").between(0, min(side, cols - 1 + step))
+            between = (F.col("r") % step != 0) & (F.col("c") % step != 0) if k == 0 else (F.col("r") % step != 0) != (F.col("c") % step != 0)
+            mean = sent_.filter(inside & between).groupBy("r", "c").agg(F.avg("v").alias("v"))
+            new = mean.select("r", "c", (F.col("v") + dev * normal(seed, F.lit(2 * rounds + k), F.col("r"), F.col("c"))).alias("v"))
+            known = known.unionByName(new)
+        known = stored(known, "displaced")
         step, dev = half, dev * 0.5**hurst
-    return m
+    return known.filter((F.col("r") < rows) & (F.col("c") < cols))
 
 
 @operator
@@ -200,26 +197,37 @@ def cluster(g: GridFrame, kind: str = "percolation", p: float = 0.5, n: int = 3,
     return on.put_from(name, known)
 
 
+def dropped(g: GridFrame, size: tuple, seed: int) -> DataFrame:
+    """r, c, k: the last of the rectangles that lie on a cell, dropped one after the other until all cells are covered.
+
+    A rectangle's sides and place depend on seed and number alone, so that any number of them can be looked at at once:
+    enough for each cell to be covered.  The last one needed is the largest of the cells' first ones.
+    """
+    m = g.meta
+    low, high = (int(x) for x in size)
+    number, bucket = F.col("id"), 4 * high
+    pick = lambda salt, n: F.floor(uniform(seed, F.lit(salt), number) * n).cast("int")
+    many = math.ceil((m.nrow + high) * (m.ncol + high) / ((low + high) / 2) ** 2 * (math.log(m.ncells + 1) + 3))
+    while True:
+        sides = g.cells.sparkSession.range(many).select("id", (low + pick(1, high - low + 1)).alias("h"), (low + pick(2, high - low + 1)).alias("w"))
+        rects = sides.select("id", "h", "w", (1 - F.col("h") + pick(3, m.nrow - 1 + F.col("h"))).alias("y"), (1 - F.col("w") + pick(4, m.ncol - 1 + F.col("w"))).alias("x"))
+        over = lambda at, length: F.explode(F.sequence(F.floor(F.col(at) / bucket), F.floor((F.col(at) + F.col(length) - 1) / bucket)))
+        placed = rects.withColumn("bi", over("y", "h")).withColumn("bj", over("x", "w"))
+        cells = g.cells.select("r", "c", F.floor(F.col("r") / bucket).alias("bi"), F.floor(F.col("c") / bucket).alias("bj"))
+        on = F.col("r").between(F.col("y"), F.col("y") + F.col("h") - 1) & F.col("c").between(F.col("x"), F.col("x") + F.col("w") - 1)
+        met = stored(cells.join(placed, ["bi", "bj"]).filter(on).select("r", "c", "id"), "drops")
+        first = met.groupBy("r", "c").agg(F.min("id").alias("first")).agg(F.count(F.lit(1)), F.max("first")).first()
+        if first[0] == m.ncells:
+            return stored(met.filter(F.col("id") <= first[1]).groupBy("r", "c").agg(F.max("id").alias("k")), "tiles")
+        many *= 2
+
+
 @operator
 def tessellation(g: GridFrame, kind: str = "voronoi", n: int = 20, interaction: float = 0.1, size: tuple = (5, 20), name: str = "tiles", seed: int = 1) -> GridFrame:
     """voronoi: nearest of n random seeds.  gibbs: seeds keep their distance (share of the longer side).  rectangle: rectangles dropped until all is covered."""
     m, rng = g.meta, np.random.default_rng(seed)
     if kind == "rectangle":
-        drops, open_ = [], np.ones((m.nrow, m.ncol), bool)
-        while open_.any():
-            h, w = rng.integers(size[0], size[1] + 1, 2)
-            r, c = int(rng.integers(-h + 1, m.nrow)), int(rng.integers(-w + 1, m.ncol))
-            drops.append((r, c, int(h), int(w)))
-            open_[max(r, 0) : r + h, max(c, 0) : c + w] = False
-
-        def covered(frames):
-            for f in frames:
-                r, c, v = f["r"].to_numpy(), f["c"].to_numpy(), np.zeros(len(f), np.int64)
-                for k, (y, x, h, w) in enumerate(drops):
-                    v[(r >= y) & (r < y + h) & (c >= x) & (c < x + w)] = k
-                yield pd.DataFrame({"r": r, "c": c, "k": v})
-
-        cells = stored(g.cells.select("r", "c").mapInPandas(covered, "r int, c int, k long"), "drops")
+        cells = dropped(g, size, seed)
         ids = numbered(cells.groupBy("k").agg(F.min(F.col("r").cast("long") * m.ncol + F.col("c")).alias("first")), "first", "v")
         return g.put_from(name, cells.join(ids, "k").select("r", "c", F.col("v").cast("double").alias("v")))
     seeds = []

@@ -69,6 +69,30 @@ def spaghetti(rows: DataFrame) -> DataFrame:
     return parts.select("id", "part", F.posexplode("ring").alias("seq", "p")).select("id", "part", "seq", "p.x", "p.y")
 
 
+_KINDS = {"POINT": "point", "MULTIPOINT": "point", "LINESTRING": "line", "MULTILINESTRING": "line", "POLYGON": "polygon", "MULTIPOLYGON": "polygon"}
+
+
+def from_wkt(rows: DataFrame) -> tuple[DataFrame, str]:
+    """geometry(id, part, seq, x, y) and its kind, from rows(id, wkt): well-known text of points, lines or polygons, single or multiple, all of one kind.
+
+    Rings and lines are parts; a ring's last vertex, which repeats the first, goes.  Further ordinates are left out.
+    """
+    text = F.upper(F.trim("wkt"))
+    named = rows.select("id", F.regexp_extract(text, "^(?:SRID=\\d+;)?\\s*([A-Z]+)", 1).alias("name"), text.alias("wkt"))
+    names = [r["name"] for r in named.select("name").distinct().limit(20).collect()]
+    kinds = {_KINDS.get(n) for n in names}
+    if None in kinds:
+        raise ValueError(f"can't read {sorted(n for n in names if n not in _KINDS)}")
+    if len(kinds) != 1:
+        raise ValueError(f"geometries of different kinds: {', '.join(sorted(kinds))}")
+    kind = kinds.pop()
+    # the innermost brackets hold the vertices; points in brackets of their own are one part each
+    rings = named.select("id", F.posexplode(F.regexp_extract_all("wkt", F.lit("\\(([^()]+)\\)"), F.lit(1))).alias("part", "ring"))
+    vertices = rings.select("id", "part", F.posexplode(F.split(F.trim("ring"), "\\s*,\\s*")).alias("seq", "p"), F.size(F.split("ring", ",")).alias("n"))
+    at = vertices.select("id", "part", "seq", "n", F.split("p", "\\s+").alias("p")).select("id", "part", "seq", "n", F.col("p")[0].cast("double").alias("x"), F.col("p")[1].cast("double").alias("y"))
+    return (at.filter("seq < n - 1") if kind == "polygon" else at).select("id", "part", "seq", "x", "y"), kind
+
+
 @operator
 def hillshade(g: GridFrame, azimuth: tuple = (315,), altitude: float = 45, exaggeration: float = 1, layer: str | None = None, add: str = "shade") -> GridFrame:
     """Light on a surface from 3x3 differences (weights 1, 2, 1; edges repeat), averaged over the azimuths, not below 0."""

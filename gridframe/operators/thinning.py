@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridframe.core import GridFrame, operator
-from gridframe.operators.stencil import eight
+from gridframe.operators.stencil import all_of, eight
 from gridframe.plans.storage import stored
 
 
@@ -20,15 +20,50 @@ def _simple(n: list[Column]) -> Column:
     return sum(out[k] - out[k] * out[(k + 1) % 8] * out[(k + 2) % 8] for k in (0, 2, 4, 6)) == 1
 
 
+#: Of each neighbour (clockwise from the north) the cells beside the way to it: on either side of an edge neighbour the cell's own and
+#: the corner, of a corner neighbour the two edge neighbours.
+_BESIDE = {0: ((6, 7), (2, 1)), 2: ((0, 1), (4, 3)), 4: ((2, 3), (6, 5)), 6: ((4, 5), (0, 7)), 1: (0, 2), 3: (2, 4), 5: (4, 6), 7: (6, 0)}
+#: The order in which neighbours are looked at: west, east, north, south, then the corners north-west, south-west, north-east, south-east.
+_ORDER = (6, 2, 0, 4, 7, 5, 1, 3)
+
+
+def _independent(on: list[Column], simple: list[Column], count: list[Column]) -> Column:
+    """Whether a simple cell can go together with all its simple neighbours: on, simple and count (cells set around it) of each neighbour.
+
+    It may with an edge neighbour if cells are set on one side of the pair alone, with a corner neighbour if one of the
+    two cells beside the pair is.  Two or three simple neighbours can still form a triple or a square with the cell
+    that mustn't go at once: then each of them has as many neighbours as there are of them, and the cells beside the
+    last pair are those of such a group.
+    """
+    set_ = lambda k: on[k]
+    fine, two, three = [], F.lit(False), F.lit(False)
+    for k in _ORDER:
+        if k % 2:
+            a, b = map(set_, _BESIDE[k])
+            pair, alone, both = a | b, a != b, a & b
+        else:
+            (a, b), (c, d) = (tuple(map(set_, side)) for side in _BESIDE[k])
+            pair = (a | b) != (c | d)
+            n = sum(x.cast("int") for x in (a, b, c, d))
+            alone, both = n == 1, (n == 2) & ((a & b) | (c & d))
+        fine.append(~simple[k] | pair)
+        # of the last simple neighbour in this order
+        two, three = F.when(simple[k], alone).otherwise(two), F.when(simple[k], both).otherwise(three)
+    many = sum(x.cast("int") for x in simple)
+    alike = all_of([~simple[k] | (count[k] == many) for k in range(8)])
+    return all_of(fine) & ~(((many == 2) & two | (many == 3) & three) & alike)
+
+
 @operator
 def skeletonise(g: GridFrame, background: float | None = None, anchor: str | None = None, method: str = "zhangSuen", layer: str | None = None, add: str | None = None) -> GridFrame:
-    """Thins a binary layer to lines.  Cells where the anchor layer is 1 stay.
+    """Thins a binary layer to lines.  Cells where the anchor layer isn't 0 or null stay.
 
-    zhangSuen: two alternating sub-passes.  homotopic: simple border cells with two neighbours or more go, in four
-    interleaved sub-grids in turn, which keeps the number of parts and holes.  Zeros and nulls become background.
+    zhangSuen: two alternating sub-passes.  homotopic: in each round all cells go that are simple (their removal keeps
+    the number of parts and holes) and independent of their simple neighbours, whatever the order.  Zeros and nulls
+    become background.
     """
     layer = g.pick(layer)
-    keep = F.coalesce(F.col(anchor) == 1, F.lit(False)) if anchor else F.lit(False)
+    keep = F.coalesce(F.col(anchor) != 0, F.lit(False)) if anchor else F.lit(False)
     now = stored(g.cells.select("r", "c", F.coalesce(F.col(layer), F.lit(0.0)).alias("v"), keep.alias("keep")), "thin")
     if now.filter("v not in (0, 1)").limit(1).count():
         raise ValueError("a skeleton needs a layer of 0 and 1")
@@ -37,17 +72,24 @@ def skeletonise(g: GridFrame, background: float | None = None, anchor: str | Non
     if method == "zhangSuen":
         base = (F.col("v") == 1) & ~F.col("keep") & around.between(2, 6) & (_turns(n) == 1)
         passes = [base & (n[0] * n[2] * n[4] == 0) & (n[2] * n[4] * n[6] == 0), base & (n[0] * n[2] * n[6] == 0) & (n[0] * n[4] * n[6] == 0)]
-    elif method == "homotopic":
-        part = [(F.col("r") % 2 == a) & (F.col("c") % 2 == b) for a in (0, 1) for b in (0, 1)]
-        passes = [(F.col("v") == 1) & ~F.col("keep") & _simple(n) & (around >= 2) & p for p in part]
-    else:
+    elif method != "homotopic":
         raise ValueError(f"no method {method!r}")
     while True:
         gone = 0
-        for test in passes:
-            tested = stored(eight(g, now).select("r", "c", "v", "keep", test.alias("go")), "thin")
-            gone += tested.filter("go").count()
+        if method == "homotopic":
+            # a first look at the neighbours codes each cell: set, simple and free to go, and the cells set around it
+            code = F.when(F.col("v") == 1, 1 + 2 * (_simple(n) & ~F.col("keep")).cast("int") + 4 * around).otherwise(0.0)
+            coded = stored(eight(g, now).select("r", "c", "keep", code.cast("double").alias("v")), "thin")
+            on, free, count = [x > 0 for x in n], [F.floor(x / 2) % 2 == 1 for x in n], [F.floor(x / 4) for x in n]
+            go = (F.floor(F.col("v") / 2) % 2 == 1) & _independent(on, free, count)
+            tested = stored(eight(g, coded).select("r", "c", "keep", (F.col("v") > 0).cast("double").alias("v"), go.alias("go")), "thin")
+            gone = tested.filter("go").count()
             now = tested.select("r", "c", F.when(F.col("go"), 0.0).otherwise(F.col("v")).alias("v"), "keep")
+        else:
+            for test in passes:
+                tested = stored(eight(g, now).select("r", "c", "v", "keep", test.alias("go")), "thin")
+                gone += tested.filter("go").count()
+                now = tested.select("r", "c", F.when(F.col("go"), 0.0).otherwise(F.col("v")).alias("v"), "keep")
         now = stored(now, "thin")
         if not gone:
             break

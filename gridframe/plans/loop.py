@@ -4,28 +4,42 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gridframe.core import GridFrame, Recipe, operator, replay
 from gridframe.plans.storage import stored
 
 
+def _holds(g: GridFrame, until: str) -> bool:
+    """Whether a condition over whole layers, such as "sum(core) = 0", is true."""
+    try:
+        return g.cells.agg(F.expr(until).cast("boolean")).first()[0] is True
+    except AnalysisException as e:
+        raise ValueError(f"{until!r} isn't a single true or false over the layers") from e
+
+
 @operator
 def loop(g: GridFrame, recipe: Recipe, times: float = float("inf"), until: str | None = None, stable: bool = False, layer: str | None = None) -> GridFrame:
-    """Runs a recipe again and again: so many times, until a predicate holds in every cell, or until the layer stays.
+    """Runs a recipe again and again: so many times, until a condition over whole layers holds, or until the layer stays.
 
-    The cells are stored after each round, so that a plan never holds more than one.
+    until reduces the layers to one value, as in "sum(core) = 0" or "min(mask) = 1"; null counts as not true.  times caps
+    the rounds of both conditions.  Values that differ by less than 1.5e-8 of their size are the same.  The cells are
+    stored after each round, so that a plan never holds more than one; the history says how many there were.
     """
     if times == float("inf") and until is None and not stable:
         raise ValueError("a loop without end needs a condition")
+    if times < 1:
+        raise ValueError("a loop runs once at least")
     name, done = g.pick(layer), 0
     while done < times:
         before = g.values(name).withColumnRenamed("v", "w")
         new = replay(g, recipe)
-        new = replace(new, cells=stored(new.cells, "loop"))
+        new = replace(new, cells=stored(new.cells, "loop"), scans=1)
         done += 1
-        same = not new.values(name).join(before, ["r", "c"]).filter(~F.col("v").eqNullSafe(F.col("w"))).limit(1).count() if stable else False
+        near = F.coalesce(F.abs(F.col("v") - F.col("w")) <= 1.5e-8 * F.greatest(F.lit(1.0), F.abs("w")), F.col("v").eqNullSafe(F.col("w")))
+        same = stable and not new.values(name).join(before, ["r", "c"]).filter(~near).limit(1).count()
         g = replace(new, history=g.history)
-        if same or (until is not None and not g.cells.filter(~F.coalesce(F.expr(until), F.lit(False))).limit(1).count()):
+        if same or (until is not None and _holds(g, until)):
             break
-    return g
+    return replace(g, activity={"iterations": done})

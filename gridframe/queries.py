@@ -88,23 +88,31 @@ _layer("blend_max", lambda g: o.blend(g, ["qty", "n"], "max", add="out"), sql("S
 _layer("blend_distinct", lambda g: o.blend(g, ["n", "mask"], "n_distinct", add="out"), sql("SELECT r, c, ((n <> 0)::INT + (mask <> 0 AND mask <> n)::INT)::DOUBLE AS v FROM cells"))
 
 
+def drawn_kernel(text: str) -> list[tuple[int, int, float]]:
+    """Offsets from rows of digits parted by "/", "." for outside: the SQL's kernels, written out."""
+    rows = text.split("/")
+    return [(i - len(rows) // 2, j - len(rows[0]) // 2, float(x)) for i, row in enumerate(rows) for j, x in enumerate(row) if x != "."]
+
+
 def _stencil(name: str, run, offsets: list, value: str, select: str = "SELECT cells.r, cells.c, m.v FROM cells LEFT JOIN m ON cells.r = m.r AND cells.c = m.c", layer: str = "qty", places: int | None = None) -> None:
     merged = f", m AS (SELECT x.r - k.i AS r, x.c - k.j AS c, {value} AS v FROM cells x, k GROUP BY 1, 2)".replace("@", f"x.{layer}")
     _layer(name, run, sql(select, kernel(offsets) + merged), places)
 
 
 _disc, _diamond = structure("disc", 5), structure("diamond", 3)
-_stencil("dilate", lambda g: o.dilate(g, layer="mask", add="out"), _diamond, "max(@)", "SELECT cells.r, cells.c, CASE WHEN cells.mask = 0 THEN m.v ELSE cells.mask END AS v FROM cells JOIN m ON cells.r = m.r AND cells.c = m.c", "mask")
-_stencil("erode", lambda g: o.erode(g, layer="mask", add="out"), _diamond, "min(@)", "SELECT cells.r, cells.c, CASE WHEN cells.mask = 1 THEN m.v ELSE cells.mask END AS v FROM cells JOIN m ON cells.r = m.r AND cells.c = m.c", "mask")
+_DISC, _DIAMOND = drawn_kernel(".111./11111/11111/11111/.111."), drawn_kernel(".1./111/.1.")
+_stencil("dilate", lambda g: o.dilate(g, layer="mask", add="out"), _DIAMOND, "max(@)", "SELECT cells.r, cells.c, CASE WHEN cells.mask = 0 THEN m.v ELSE cells.mask END AS v FROM cells JOIN m ON cells.r = m.r AND cells.c = m.c", "mask")
+_stencil("erode", lambda g: o.erode(g, layer="mask", add="out"), _DIAMOND, "min(@)", "SELECT cells.r, cells.c, CASE WHEN cells.mask = 1 THEN m.v ELSE cells.mask END AS v FROM cells JOIN m ON cells.r = m.r AND cells.c = m.c", "mask")
 _own = "SELECT cells.r, cells.c, CASE WHEN cells.qty IS NOT NULL THEN m.v END AS v FROM cells LEFT JOIN m ON cells.r = m.r AND cells.c = m.c"
 _weights = structure(custom=[[1, 2, 1], [2, 4, 2], [1, 2, 1]])
+_WEIGHTS = drawn_kernel("121/242/121")
 for _merge, _value in (("min", "min(@)"), ("max", "max(@)"), ("sum", "sum(@)"), ("mean", "round(avg(@), 6)"), ("median", "round(median(@), 6)"), ("sd", "round(stddev_samp(@), 6)"), ("any", "max((@ <> 0)::INT)::DOUBLE")):
-    _stencil(f"morph_{_merge}", lambda g, m=_merge: o.morph(g, _disc, "identity", m, layer="qty", add="out"), _disc, _value, _own, places=6)
+    _stencil(f"morph_{_merge}", lambda g, m=_merge: o.morph(g, _disc, "identity", m, layer="qty", add="out"), _DISC, _value, _own, places=6)
 for _blend, _value in (("plus", "max(@ + k.w)"), ("minus", "max(@ - k.w)"), ("product", "max(@ * k.w)"), ("lower", "max(CASE WHEN @ > k.w THEN 0 ELSE @ END)"), ("greater", "max(CASE WHEN @ < k.w THEN 0 ELSE @ END)")):
-    _stencil(f"morph_{_blend}", lambda g, b=_blend: o.morph(g, _weights, b, "max", layer="qty", add="out"), _weights, _value, _own, places=6)
-_stencil("interpolate", lambda g: o.interpolate(g, _weights, layer="qty", add="out"), _weights, "round(sum(@ * k.w) / count(@), 6)", places=6)
+    _stencil(f"morph_{_blend}", lambda g, b=_blend: o.morph(g, _weights, b, "max", layer="qty", add="out"), _WEIGHTS, _value, _own, places=6)
+_stencil("interpolate", lambda g: o.interpolate(g, _weights, layer="qty", add="out"), _WEIGHTS, "round(sum(@ * k.w) / count(@), 6)", places=6)
 _pattern = structure(custom=[[0, 0, 0], [0, 1, 0], [0, 0, 0]])
-_stencil("match", lambda g: o.match(g, _pattern, rotate=False, background=0, layer="mask", add="out"), _pattern, "CASE WHEN count(*) = 9 AND min((@ = k.w)::INT) = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", layer="mask")
+_stencil("match", lambda g: o.match(g, _pattern, rotate=False, background=0, layer="mask", add="out"), drawn_kernel("000/010/000"), "CASE WHEN count(*) = 9 AND min((@ = k.w)::INT) = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", layer="mask")
 
 _FLOOD = {
     k: f""", on_ AS (SELECT r, c, CAST(r * {NCOL} + c AS BIGINT) AS id FROM cells WHERE mask = 1),
@@ -138,12 +146,36 @@ _layer(
     "recipe_replay", lambda g: replay(g, o.erode(o.dilate(Recipe(), layer="mask", add="out"), layer="out", add="out")),
     sql(
         "SELECT d.r, d.c, CASE WHEN d.v = 1 THEN m.v ELSE d.v END AS v FROM d JOIN m ON d.r = m.r AND d.c = m.c",
-        kernel(_diamond) + ", w AS (SELECT x.r - k.i AS r, x.c - k.j AS c, max(x.mask) AS v FROM cells x, k GROUP BY 1, 2)"
+        kernel(_DIAMOND) + ", w AS (SELECT x.r - k.i AS r, x.c - k.j AS c, max(x.mask) AS v FROM cells x, k GROUP BY 1, 2)"
         ", d AS (SELECT cells.r, cells.c, CASE WHEN cells.mask = 0 THEN w.v ELSE cells.mask END AS v FROM cells JOIN w ON cells.r = w.r AND cells.c = w.c)"
         ", m AS (SELECT x.r - k.i AS r, x.c - k.j AS c, min(x.v) AS v FROM d x, k GROUP BY 1, 2)",
     ),
 )
-_layer("loop_until_stable", lambda g: loop(o.mask_filter(g, "qty >= 280", add="out"), o.dilate(layer="out", add="out"), 3, layer="out"), None)
+_FAR = "(SELECT r, c FROM cells WHERE qty >= 280)"
+_AWAY = f", m AS (SELECT x.r, x.c, min(abs(x.r - y.r) + abs(x.c - y.c)) AS d FROM cells x, {_FAR} y GROUP BY 1, 2)"
+_grown = lambda g: o.mask_filter(g, "qty >= 280", add="out")
+_layer("loop_three_times", lambda g: loop(_grown(g), o.dilate(layer="out", add="out"), 3, layer="out"), sql("SELECT r, c, (d <= 3)::INT::DOUBLE AS v FROM m", _AWAY))
+_layer(
+    "loop_until_half", lambda g: loop(_grown(g), o.dilate(layer="out", add="out"), until="avg(out) >= 0.5", layer="out"),
+    sql("SELECT r, c, (d <= t.t)::INT::DOUBLE AS v FROM m, t", _AWAY + ", t AS (SELECT min(u) AS t FROM (SELECT unnest(range(1, 1000)) AS u) WHERE (SELECT avg((d <= u)::INT) FROM m) >= 0.5)"),
+)
+_layer(
+    "loop_until_stable", lambda g: loop(_grown(g), o.mask_filter(o.dilate(struct=structure("square", 3), layer="out", add="out"), "out = 1 AND mask = 1", add="out"), stable=True, layer="out"),
+    sql(
+        "SELECT cells.r, cells.c, (f.id IS NOT NULL)::INT::DOUBLE AS v FROM cells LEFT JOIN f ON f.id = cells.r * 100 + cells.c",
+        f", on_ AS (SELECT r, c, CAST(r * 100 + c AS BIGINT) AS id FROM cells WHERE mask = 1), h AS (SELECT * FROM (VALUES {_HOPS[8]}) AS t(i, j)), f(id) AS (SELECT CAST(r * 100 + c AS BIGINT) FROM {_FAR} UNION SELECT y.id FROM f JOIN on_ x ON x.id = f.id, h, on_ y WHERE y.r = x.r + h.i AND y.c = x.c + h.j)", True,
+    ),
+)
+
+
+def _eight_times(g: GridFrame) -> GridFrame:
+    g = _grown(g)
+    for _ in range(8):
+        g = o.dilate(g, layer="out", add="out")
+    return g
+
+
+_layer("dilate_eight_times", _eight_times, sql("SELECT r, c, (d <= 8)::INT::DOUBLE AS v FROM m", _AWAY))
 _layer("gradient_planar", lambda g: o.gradient(g, "planar", 30, name="out"), sql("SELECT r, c, round((z - lo) / (hi - lo), 6) + 0.0 AS v FROM z, (SELECT min(z) AS lo, max(z) AS hi FROM z)", ", z AS (SELECT r, c, c * cos(radians(30)) + ((SELECT k FROM s) - 1 - r) * sin(radians(30)) AS z FROM cells)"), 6)
 _layer("gradient_point", lambda g: o.gradient(g, "point", position=(10, 20), name="out"), sql("SELECT r, c, round((z - lo) / (hi - lo), 6) + 0.0 AS v FROM z, (SELECT min(z) AS lo, max(z) AS hi FROM z)", ", z AS (SELECT r, c, sqrt(pow(c - 10, 2) + pow((SELECT k FROM s) - 1 - r - 20, 2)) AS z FROM cells)"), 6)
 _layer("pattern_checkerboard", lambda g: o.pattern(g, "checkerboard", 4, name="out"), sql(f"SELECT r, c, ((floor(c / {NCOL}.0 * 4) + floor(CAST(r AS DOUBLE) / (SELECT k FROM s) * 4)) % 2 + 1)::DOUBLE AS v FROM cells"))
@@ -212,12 +244,6 @@ def patch_table(spark, sf_dir):
     return metric(g, "complete.self", "whole", layer="patch").table("patch").select("gid", "area", "whole")
 
 
-@query("class_distance_straight", sql("SELECT x.n AS a, y.n AS b, round(CASE WHEN x.n = y.n THEN 'Infinity'::DOUBLE ELSE min(sqrt((x.r - y.r) * (x.r - y.r) + (x.c - y.c) * (x.c - y.c))) END, 6) AS value FROM few x, few y GROUP BY 1, 2", ", few AS (SELECT * FROM cells WHERE n >= 12 OR n = 1)"))
-def class_distance_straight(spark, sf_dir):
-    g = o.mask_filter(supply(spark, sf_dir), "n >= 12 OR n = 1", value=True, layer="n", add="few")
-    return o.class_distance(g, "straight", layer="few").pairs[("few", "distance")].select("a", "b", F.round("value", 6).alias("value"))
-
-
 @query("rasterise_points", sql("SELECT cells.r, cells.c, CAST(p.id AS DOUBLE) AS v FROM cells LEFT JOIN (SELECT CAST(s_suppkey AS INTEGER) AS r, CAST((s_nationkey * 3) % 100 AS INTEGER) AS c, max(s_suppkey) AS id FROM supplier GROUP BY 1, 2) p ON p.r = cells.r AND p.c = cells.c"))
 def rasterise_points(spark, sf_dir):
     g = supply(spark, sf_dir)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from gridframe import operators as o
 from gridframe import sources
-from gridframe.core import GridFrame, Recipe, replay
+from gridframe.core import GridFrame, Recipe, register, replay
 from gridframe.functions.equation import metric
 from gridframe.operators.raster import spaghetti
 from gridframe.operators.stencil import structure, turned
 from gridframe.plans.loop import loop
+from gridframe.plans.patterns import pattern_classes
 from gridframe.plans.storage import new_path
-from gridframe.queries import _HOPS, NCOL, SQL, _layer, _stencil, kernel, query, sql, supply
+from gridframe.queries import _AWAY, _HOPS, NCOL, SQL, _layer, _stencil, drawn_kernel, kernel, query, sql, supply
 
 
 def _value(name: str, run, value: str, places: int | None = None, more: str = "") -> None:
@@ -44,19 +47,20 @@ _layer("perturb", lambda g: o.perturb(g, 2.0, layer="n", add="out"), None, 6)
 
 # neighbourhoods
 _disc, _diamond, _cross = structure("disc", 3), structure("diamond", 3), structure("cross", 5)
+_SQUARE, _DIAMOND, _WEIGHTED = drawn_kernel("111/111/111"), drawn_kernel(".1./111/.1."), drawn_kernel(".1./121/.1.")
 _all = "SELECT cells.r, cells.c, m.v FROM cells LEFT JOIN m ON cells.r = m.r AND cells.c = m.c"
 for _name, _merge, _v in (("all", "all", "min((@ <> 0)::INT)::DOUBLE"), ("not_all", "!all", "1 - min((@ <> 0)::INT)::DOUBLE"), ("not_any", "!any", "1 - max((@ <> 0)::INT)::DOUBLE"), ("cv", "cv", "round(stddev_samp(@) / nullif(avg(@), 0), 6)"), ("sum_or_null", "sumNa", "nullif(sum(@), 0)")):
-    _stencil(f"morph_{_name}", lambda g, m=_merge: o.morph(g, _cross, "identity", m, layer="n", add="out"), _cross, _v, _all, "n", 6)
-_stencil("morph_strict", lambda g: o.morph(g, _disc, "identity", "sum", strict=True, layer="n", add="out"), _disc, f"CASE WHEN count(*) = {len(_disc)} THEN sum(@) END", _all, "n")
+    _stencil(f"morph_{_name}", lambda g, m=_merge: o.morph(g, _cross, "identity", m, layer="n", add="out"), drawn_kernel("..1../..1../11111/..1../..1.."), _v, _all, "n", 6)
+_stencil("morph_strict", lambda g: o.morph(g, _disc, "identity", "sum", strict=True, layer="n", add="out"), _SQUARE, "CASE WHEN count(*) = 9 THEN sum(@) END", _all, "n")
 _ones = structure(custom=[[1, 1, 1], [1, 1, 1], [1, 1, 1]])
-_stencil("morph_equal", lambda g: o.morph(g, _ones, "equal", "max", layer="mask", add="out"), _ones, "min((@ = k.w)::INT)::DOUBLE", _all, "mask")
-_stencil("morph_background", lambda g: o.morph(g, _disc, "identity", "max", background=-1, layer="qty", add="out"), _disc, "max(@)", "SELECT cells.r, cells.c, CASE WHEN cells.qty IS NULL THEN -1 ELSE coalesce(m.v, -1) END AS v FROM cells LEFT JOIN m ON cells.r = m.r AND cells.c = m.c")
+_stencil("morph_equal", lambda g: o.morph(g, _ones, "equal", "max", layer="mask", add="out"), _SQUARE, "min((@ = k.w)::INT)::DOUBLE", _all, "mask")
+_stencil("morph_background", lambda g: o.morph(g, _disc, "identity", "max", background=-1, layer="qty", add="out"), _SQUARE, "max(@)", "SELECT cells.r, cells.c, CASE WHEN cells.qty IS NULL THEN -1 ELSE coalesce(m.v, -1) END AS v FROM cells LEFT JOIN m ON cells.r = m.r AND cells.c = m.c")
 _grown = "SELECT cells.r, cells.c, CASE WHEN cells.n <> 0 THEN m.v ELSE cells.n END AS v FROM cells JOIN m ON cells.r = m.r AND cells.c = m.c"
 _weighted = structure(custom=[[None, 1, None], [1, 2, 1], [None, 1, None]])
-_stencil("dilate_classes", lambda g: o.dilate(g, layer="n", add="out"), _diamond, "max(@)", _grown, "n")
-_stencil("erode_classes", lambda g: o.erode(g, layer="n", add="out"), _diamond, "min(@)", _grown, "n")
-_stencil("dilate_weighted", lambda g: o.dilate(g, _weighted, layer="n", add="out"), _weighted, "max(@ + k.w)", _grown, "n")
-_stencil("erode_weighted", lambda g: o.erode(g, _weighted, layer="n", add="out"), _weighted, "min(@ - k.w)", _grown, "n")
+_stencil("dilate_classes", lambda g: o.dilate(g, layer="n", add="out"), _DIAMOND, "max(@)", _grown, "n")
+_stencil("erode_classes", lambda g: o.erode(g, layer="n", add="out"), _DIAMOND, "min(@)", _grown, "n")
+_stencil("dilate_weighted", lambda g: o.dilate(g, _weighted, layer="n", add="out"), _WEIGHTED, "max(@ + k.w)", _grown, "n")
+_stencil("erode_weighted", lambda g: o.erode(g, _weighted, layer="n", add="out"), _WEIGHTED, "min(@ - k.w)", _grown, "n")
 _corner = structure(custom=[[0, 0, None], [0, 1, None], [None, None, None]])
 _turns = [_corner, turned(_corner), turned(turned(_corner)), turned(turned(turned(_corner)))]
 _layer(
@@ -96,13 +100,34 @@ def _thinned(rounds: int, passes: list[str]) -> str:
 
 
 SQL["skeleton_zhang_suen"] = _thinned(60, ["#count BETWEEN 2 AND 6 AND #turns = 1 AND #0 * #2 * #4 = 0 AND #2 * #4 * #6 = 0", "#count BETWEEN 2 AND 6 AND #turns = 1 AND #0 * #2 * #6 = 0 AND #0 * #4 * #6 = 0"])
-SQL["skeleton_homotopic"] = _thinned(120, [f"#simple = 1 AND #count >= 2 AND r % 2 = {a} AND c % 2 = {b}" for a in (0, 1) for b in (0, 1)])
+# a cell's code: 1 set, plus 2 simple, plus 4 for each cell set around it; even rounds make codes, odd rounds take cells away
+_on, _free, _cnt = ({x: f % f"coalesce(v_{x}, 0)" for x in _RING} for f in ("(%s > 0)", "(floor(%s / 2) %% 2 = 1)", "floor(%s / 4)"))
+_PAIRS = {"w": "n nw s sw", "e": "n ne s se", "n": "w nw e ne", "s": "w sw e se", "nw": "w n", "sw": "s w", "ne": "n e", "se": "e s"}
+_fine, _alone, _both = [], "false", "false"
+for _k, _beside in _PAIRS.items():  # the last of the simple neighbours in this order decides
+    _p = [_on[x] for x in _beside.split()]
+    if len(_p) == 4:
+        _n = " + ".join(f"{x}::INT" for x in _p)
+        _ok, _one, _two = f"(({_p[0]} OR {_p[1]}) <> ({_p[2]} OR {_p[3]}))", f"({_n} = 1)", f"({_n} = 2 AND ({_p[0]} = {_p[1]}))"
+    else:
+        _ok, _one, _two = f"({_p[0]} OR {_p[1]})", f"({_p[0]} <> {_p[1]})", f"({_p[0]} AND {_p[1]})"
+    _fine.append(f"(NOT {_free[_k]} OR {_ok})")
+    _alone, _both = f"CASE WHEN {_free[_k]} THEN {_one} ELSE {_alone} END", f"CASE WHEN {_free[_k]} THEN {_two} ELSE {_both} END"
+_many = "(" + " + ".join(f"{_free[x]}::INT" for x in _PAIRS) + ")"
+_alike = " AND ".join(f"(NOT {_free[x]} OR {_cnt[x]} = {_many})" for x in _PAIRS)
+_go = f"floor(v / 2) % 2 = 1 AND {' AND '.join(_fine)} AND NOT ((({_many} = 2 AND ({_alone})) OR ({_many} = 3 AND ({_both}))) AND {_alike})"
+_set = [f"coalesce(v_{x}, 0)" for x in _RING]
+_simple = " + ".join(f"((1 - {_set[k]}) - (1 - {_set[k]}) * (1 - {_set[(k + 1) % 8]}) * (1 - {_set[(k + 2) % 8]}))" for k in (0, 2, 4, 6))
+SQL["skeleton_homotopic"] = sql(
+    "SELECT r, c, v FROM t WHERE i = 120",
+    f", t(i, r, c, v) AS (SELECT 0, r, c, mask FROM cells UNION ALL SELECT i + 1, r, c, CASE WHEN v = 0 THEN 0.0::DOUBLE WHEN i % 2 = 0 THEN (1 + 2 * ({_simple} = 1)::INT + 4 * ({' + '.join(_set)}))::DOUBLE"
+    f" WHEN {_go} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END FROM ({around('t', ['v'], 'i')}) WHERE i < 120)", True,
+)
 _steps = ", ".join(f"d_{x} + (k + k_{x}) / 2 * {'sqrt(2)' if len(x) == 2 else '1.0'}" for x in _RING)
 SQL["cost_distance"] = sql(
     "SELECT r, c, round(d, 6) AS v FROM t WHERE i = 120",
     f", t(i, r, c, k, d) AS (SELECT 0, r, c, n + 1, CASE WHEN qty >= 280 THEN 0.0::DOUBLE END FROM cells UNION ALL SELECT i + 1, r, c, k, least(d, {_steps}) FROM ({around('t', ['k', 'd'], 'i')}) WHERE i < 120)", True,
 )
-SQL["loop_until_stable"] = sql("SELECT x.r, x.c, max((abs(x.r - y.r) + abs(x.c - y.c) <= 3)::INT)::DOUBLE AS v FROM cells x, (SELECT r, c FROM cells WHERE qty >= 280) y GROUP BY 1, 2")
 _sides = {x: f"coalesce(v_{x}, {y})" for x, y in (("n", "v"), ("s", "v"), ("w", "v"), ("e", "v"), ("nw", "coalesce(v_n, v_w, v)"), ("ne", "coalesce(v_n, v_e, v)"), ("sw", "coalesce(v_s, v_w, v)"), ("se", "coalesce(v_s, v_e, v)"))}
 SQL["hillshade"] = sql(
     "SELECT r, c, round(greatest(0.0, sin(radians(45)) * cos(slope) + cos(radians(45)) * sin(slope) * cos(radians(315) - aspect)), 6) + 0.0 AS v FROM lit",
@@ -132,7 +157,11 @@ _layer(
     sql("SELECT cells.r, cells.c, CASE WHEN cells.n <> 0 THEN z.s ELSE 0 END AS v FROM cells LEFT JOIN z ON z.n = cells.n", f", h AS (SELECT * FROM (VALUES {_HOPS[4]}) AS t(i, j)), z AS (SELECT x.n, count(*)::DOUBLE AS s FROM cells x, h, cells y WHERE y.n <> x.n AND y.r = x.r + h.i AND y.c = x.c + h.j GROUP BY 1)"),
 )
 _CENTRES = ", z AS (SELECT n AS id, avg(r) AS y, avg(c) AS x FROM cells WHERE n <> 0 GROUP BY n), p AS (SELECT round_even(y, 0)::INT AS r, round_even(x, 0)::INT AS c, max(id) AS id FROM z GROUP BY 1, 2)"
-_layer("centroid", lambda g: o.centroid(g, layer="n", add="out"), sql("SELECT cells.r, cells.c, p.id AS v FROM cells LEFT JOIN p USING (r, c)", _CENTRES))
+_layer("centroid", lambda g: o.centroid(g, layer="n", add="out"), sql("SELECT cells.r, cells.c, p.id AS v FROM cells LEFT JOIN p USING (r, c)", _CENTRES.replace("WHERE n <> 0 ", "")))
+_layer(
+    "centroid_shifted", lambda g: o.centroid(replace(g, meta=replace(g.meta, xmin=1.25, xmax=NCOL + 1.25, ymin=-0.5, ymax=g.meta.nrow - 0.5)), layer="n", add="out"),
+    sql("SELECT cells.r, cells.c, p.id AS v FROM cells LEFT JOIN p USING (r, c)", _CENTRES.replace("WHERE n <> 0 ", "").replace("round_even(y, 0)", "least((SELECT k FROM s) - 1, greatest(0, ceil(round_even(y - 0.5, 0) + 0.5 - 0.5)))").replace("round_even(x, 0)", f"least({NCOL} - 1, greatest(0, ceil(round_even(x + 1.25, 0) - 1.25 - 0.5)))")),
+)
 _layer("nearest_class", lambda g: o.nearest_class(g, layer="n", add="out"), sql("SELECT r, c, first(id ORDER BY round((r - y) * (r - y) + (c - x) * (c - x), 9), id) AS v FROM cells, z GROUP BY 1, 2", _CENTRES))
 _layer(
     "distance_to_own_target", lambda g: o.distance(o.centroid(g, layer="n", add="mid"), "mid", layer="n", add="out"),
@@ -247,42 +276,135 @@ def perimeter_cells(spark, sf_dir):
     return o.perimeter(supply(spark, sf_dir), unit="cells", layer="n").table("n").select("gid", "perimeter")
 
 
-_FEW = ", few AS (SELECT * FROM cells WHERE n >= 12 OR n = 1)"
+_ALL = ", few AS (SELECT * FROM cells WHERE n <> 0)"
+_LENGTHS = {"straight": "sqrt((x.r - y.r) * (x.r - y.r) + (x.c - y.c) * (x.c - y.c))", "cheapest": "greatest(abs(x.r - y.r), abs(x.c - y.c)) + (sqrt(2) - 1) * least(abs(x.r - y.r), abs(x.c - y.c))"}
 
 
-def _few(spark, sf_dir) -> GridFrame:
-    return o.mask_filter(supply(spark, sf_dir), "n >= 12 OR n = 1", value=True, layer="n", add="few")
+def _class_distance(routing: str) -> None:
+    oracle = sql(f"SELECT x.n AS a, y.n AS b, round(CASE WHEN x.n = y.n THEN 'Infinity'::DOUBLE ELSE min({_LENGTHS[routing]}) END, 6) AS value FROM few x, few y GROUP BY 1, 2", _ALL)
+    query(f"class_distance_{routing}", oracle)(lambda spark, sf_dir: o.class_distance(supply(spark, sf_dir), routing, layer="n").pairs[("n", "distance")].select("a", "b", F.round("value", 6).alias("value")))
 
 
-@query("class_distance_cheapest", sql("SELECT x.n AS a, y.n AS b, round(CASE WHEN x.n = y.n THEN 'Infinity'::DOUBLE ELSE min(greatest(abs(x.r - y.r), abs(x.c - y.c)) + (sqrt(2) - 1) * least(abs(x.r - y.r), abs(x.c - y.c))) END, 6) AS value FROM few x, few y GROUP BY 1, 2", _FEW))
-def class_distance_cheapest(spark, sf_dir):
-    return o.class_distance(_few(spark, sf_dir), layer="few").pairs[("few", "distance")].select("a", "b", F.round("value", 6).alias("value"))
+_class_distance("straight")
+_class_distance("cheapest")
 
 
-@query("nearest_other_class", sql("SELECT CAST(x.n AS INTEGER) AS gid, round(min(sqrt((x.r - y.r) * (x.r - y.r) + (x.c - y.c) * (x.c - y.c))), 6) AS enn FROM few x LEFT JOIN few y ON x.n <> y.n GROUP BY 1", _FEW))
+@query("nearest_other_class", sql(f"SELECT CAST(x.n AS INTEGER) AS gid, round(min({_LENGTHS['straight']}), 6) AS enn FROM few x LEFT JOIN few y ON x.n <> y.n GROUP BY 1", _ALL))
 def nearest_other_class(spark, sf_dir):
-    g = metric(o.class_distance(_few(spark, sf_dir), "straight", layer="few"), "min(distance.others)", "enn", layer="few")
-    return g.table("few").select("gid", F.round("enn", 6).alias("enn"))
+    g = metric(o.class_distance(supply(spark, sf_dir), "straight", layer="n"), "min(distance.others)", "enn", layer="n")
+    return g.table("n").filter("gid <> 0").select("gid", F.round("enn", 6).alias("enn"))
 
 
-# the same over all classes of the layer
-_ALL = ", few AS (SELECT * FROM cells WHERE n <> 0)"
+_ENDS_OF = ", e AS (SELECT x.n AS a, y.n AS b, min((pow(x.r - y.r, 2) + pow(x.c - y.c, 2), x.r, x.c, y.r, y.c)) AS e FROM few x, few y WHERE x.n < y.n GROUP BY 1, 2), ends AS (SELECT a, b, e[2] AS r0, e[3] AS c0, e[4] AS r1, e[5] AS c1 FROM e)"
+_LINE = (
+    ", t AS (SELECT a, b, r0, c0, r1, c1, greatest(abs(r1 - r0), abs(c1 - c0)) AS m, unnest(range(0, greatest(abs(r1 - r0), abs(c1 - c0))::BIGINT + 1)) AS i FROM ends)"
+    ", d AS (SELECT t.a, t.b, sum(k.n + 1) AS v FROM t JOIN cells k ON k.r = round_even(r0 + (r1 - r0) * i::DOUBLE / m, 0) AND k.c = round_even(c0 + (c1 - c0) * i::DOUBLE / m, 0) GROUP BY 1, 2)"
+)
 
 
-@query("class_distance_straight_all", sql("SELECT x.n AS a, y.n AS b, round(CASE WHEN x.n = y.n THEN 'Infinity'::DOUBLE ELSE min(sqrt((x.r - y.r) * (x.r - y.r) + (x.c - y.c) * (x.c - y.c))) END, 6) AS value FROM few x, few y GROUP BY 1, 2", _ALL))
-def class_distance_straight_all(spark, sf_dir):
-    return o.class_distance(supply(spark, sf_dir), "straight", layer="n").pairs[("n", "distance")].select("a", "b", F.round("value", 6).alias("value"))
+@query(
+    "class_distance_along_lines",
+    sql("SELECT a, b, v::DOUBLE AS value FROM d UNION ALL SELECT b, a, v::DOUBLE FROM d UNION ALL SELECT DISTINCT n, n, 'Infinity'::DOUBLE FROM few", _ALL + _ENDS_OF + _LINE),
+)
+def class_distance_along_lines(spark, sf_dir):
+    g = o.offset(supply(spark, sf_dir), "+", 1, layer="n", add="k")
+    return o.class_distance(g, "straight", cost="k", layer="n").pairs[("n", "distance")]
 
 
-@query("class_distance_cheapest_all", sql("SELECT x.n AS a, y.n AS b, round(CASE WHEN x.n = y.n THEN 'Infinity'::DOUBLE ELSE min(greatest(abs(x.r - y.r), abs(x.c - y.c)) + (sqrt(2) - 1) * least(abs(x.r - y.r), abs(x.c - y.c))) END, 6) AS value FROM few x, few y GROUP BY 1, 2", _ALL))
-def class_distance_cheapest_all(spark, sf_dir):
-    return o.class_distance(supply(spark, sf_dir), layer="n").pairs[("n", "distance")].select("a", "b", F.round("value", 6).alias("value"))
+# what is known of whole layers, histories and tables
+@query("categorise_labels", sql("SELECT CASE WHEN qty < 50 THEN 1 WHEN qty < 100 THEN 2 WHEN qty < 200.5 THEN 3 ELSE 4 END AS gid, CASE WHEN qty < 50 THEN concat(lo, '-50') WHEN qty < 100 THEN '50-100' WHEN qty < 200.5 THEN '100-200.5' ELSE concat('200.5-', hi) END AS val FROM cells, (SELECT min(qty)::BIGINT AS lo, max(qty)::BIGINT AS hi FROM cells) WHERE qty IS NOT NULL GROUP BY 1, 2"))
+def categorise_labels(spark, sf_dir):
+    return o.categorise(supply(spark, sf_dir), breaks=[50, 100, 200.5], layer="qty", add="out").table("out").select("gid", "val")
 
 
-@query("nearest_other_class_all", sql("SELECT CAST(x.n AS INTEGER) AS gid, round(min(sqrt((x.r - y.r) * (x.r - y.r) + (x.c - y.c) * (x.c - y.c))), 6) AS enn FROM few x LEFT JOIN few y ON x.n <> y.n GROUP BY 1", _ALL))
-def nearest_other_class_all(spark, sf_dir):
-    g = metric(o.class_distance(supply(spark, sf_dir), "straight", layer="n"), "min(distance.others)", "enn", layer="n")
-    return g.table("n").filter("gid <> 0").select("gid", F.round("enn", 6).alias("enn"))
+_OTHERS = {
+    "median": "median(y.qty)", "sd": "stddev_samp(y.qty)", "var": "var_samp(y.qty)", "any": "max((y.qty <> 0)::INT)::DOUBLE", "all": "min((y.qty <> 0)::INT)::DOUBLE", "sum": "sum(y.qty)", "min": "min(y.qty)", "max": "max(y.qty)", "length": "count(y.qty)::DOUBLE",
+}
+for _fun, _v in _OTHERS.items():
+    _counted = _v if _fun != "length" else "count(*)::DOUBLE"
+
+    @query(f"others_{_fun}", sql(f"SELECT CAST(x.n AS INTEGER) AS gid, round((SELECT {_counted} FROM cells y WHERE y.n <> x.n), 4) AS v FROM (SELECT DISTINCT n FROM cells) x"))
+    def _others(spark, sf_dir, fun=_fun):
+        return metric(supply(spark, sf_dir), f"{fun}(qty.others)", "out", layer="n").table("n").select("gid", F.round("out", 4).alias("v"))
+
+
+@query("history_of_a_loop", sql("SELECT * FROM (VALUES (1, 'mask_filter', 'out', NULL), (2, 'dilate', 'grown', NULL), (3, 'loop', '', (SELECT greatest(1, max(d)) + (max(d) > 0)::INT FROM m))) AS t(step, fn, made, iterations)", _AWAY))
+def history_of_a_loop(spark, sf_dir):
+    g = o.dilate(o.mask_filter(supply(spark, sf_dir), "qty >= 280", add="out"), layer="out", add="grown")
+    path = new_path(spark, "grid")
+    sources.write(loop(g, o.dilate(layer="out", add="out"), stable=True, layer="out"), path)
+    rows = [(h["step"], h["fn"], ",".join(h["made"]), h.get("activity", {}).get("iterations")) for h in sources.read(spark, path).provenance]
+    return spark.createDataFrame(rows, "step int, fn string, made string, iterations int")
+
+
+@query("pairs_written_and_read", SQL["adjacency4"])
+def pairs_written_and_read(spark, sf_dir):
+    path = new_path(spark, "grid")
+    sources.write(o.adjacency(supply(spark, sf_dir), 4, layer="n"), path)
+    return sources.read(spark, path).pairs[("n", "adjacency")]
+
+
+@query("overall", sql("SELECT round(max(k) * 1.0::DOUBLE, 6) AS largest, round(avg(k), 6) AS average FROM (SELECT count(*) AS k FROM cells GROUP BY n)"))
+def overall(spark, sf_dir):
+    g = metric(o.area(supply(spark, sf_dir), layer="n"), "max(area.all)", "largest", layer="n")
+    t = metric(g, "mean(area.all)", "average", layer="n").table("n", overall=True)
+    return t.select(F.round("largest", 6).alias("largest"), F.round("average", 6).alias("average"))
+
+
+# functions of one's own
+register("halved", lambda v: v / 2)
+register("apart", lambda a, b: F.abs(a - b))
+register("extent", lambda v: F.max(v) - F.min(v), aggregate=True)
+_value("blend_own_function", lambda g: o.blend(g, ["qty", "n"], "apart", add="out"), "abs(qty - n)", 6)
+_layer("summarise_own_function", lambda g: o.summarise(_zoned(g), "z", "extent", layer="qty", add="out"), sql("SELECT r, c, CASE WHEN n <> 0 THEN max(qty) OVER (PARTITION BY n) - min(qty) OVER (PARTITION BY n) END AS v FROM cells"), 6)
+
+
+@query("equation_own_function", sql("SELECT CAST(n AS INTEGER) AS gid, round((max(qty) - min(qty)) / 2, 6) AS v FROM cells GROUP BY n"))
+def equation_own_function(spark, sf_dir):
+    return metric(supply(spark, sf_dir), "halved(extent(qty.self))", "out", layer="n").table("n").select("gid", F.round("out", 6).alias("v"))
+
+
+# shapes of structuring elements, and chains of operators
+_wide = structure("diamond", 7, 3)
+_stencil("morph_wide_diamond", lambda g: o.morph(g, _wide, "identity", "sum", layer="n", add="out"), drawn_kernel("..111../1111111/..111.."), "sum(@)", _all, "n")
+_flat = structure("disc", 5, 3)
+_stencil("morph_wide_disc", lambda g: o.morph(g, _flat, "identity", "sum", layer="n", add="out"), drawn_kernel(".111./11111/.111."), "sum(@)", _all, "n")
+
+
+
+def _islets(g: GridFrame) -> GridFrame:
+    g = o.mask_filter(o.distance(g, "background", layer="mask", add="depth"), "mask = 1 AND depth > sqrt(2)", add="core")
+    g = o.componentise(g, 8, background=0, layer="mask", add="part")
+    g = o.summarise(g, "part", "any", background=0, layer="core", add="cored")
+    return o.mask_filter(g, "mask = 1 AND cored = 0", add="out")
+
+
+_layer(
+    "islets", _islets,
+    sql(
+        "SELECT cells.r, cells.c, (mask = 1 AND f.id IS NULL)::INT::DOUBLE AS v FROM cells LEFT JOIN f ON f.id = cells.r * 100 + cells.c",
+        f", on_ AS (SELECT r, c, CAST(r * 100 + c AS BIGINT) AS id FROM cells WHERE mask = 1), h AS (SELECT * FROM (VALUES {_HOPS[8]}) AS t(i, j))"
+        ", rim AS (SELECT DISTINCT x.r, x.c FROM cells x, h, cells y WHERE x.mask = 1 AND y.mask = 0 AND y.r = x.r + h.i AND y.c = x.c + h.j)"
+        ", f(id) AS (SELECT id FROM on_ WHERE (r, c) NOT IN (SELECT (r, c) FROM rim) UNION SELECT y.id FROM f JOIN on_ x ON x.id = f.id, h, on_ y WHERE y.r = x.r + h.i AND y.c = x.c + h.j)", True,
+    ),
+)
+_layer("pattern_classes", lambda g: pattern_classes(g, layer="mask", add="out"), None)
+
+# random fields by what they have to hold: every cell, their range, and the same again from the same seed
+_FIELDS = {
+    "noise_white": (lambda g, s: o.noise(g, "white", name="out", seed=s), 0, 1), "noise_perlin": (lambda g, s: o.noise(g, "perlin", name="out", seed=s), 0, 1), "noise_simplex": (lambda g, s: o.noise(g, "simplex", name="out", seed=s), 0, 1),
+    "texture_fbm": (lambda g, s: o.texture(g, "fbm", name="out", seed=s), 0, 1), "texture_billow": (lambda g, s: o.texture(g, "billow", name="out", seed=s), 0, 1), "texture_ridged": (lambda g, s: o.texture(g, "ridged", "simplex", name="out", seed=s), 0, 1),
+    "texture_diamond_square": (lambda g, s: o.texture(g, "diamondSquare", name="out", seed=s), 0, 1), "cluster_percolation": (lambda g, s: o.cluster(g, p=0.3, name="out", seed=s), 0, 1), "cluster_random": (lambda g, s: o.cluster(g, "randomCluster", n=3, name="out", seed=s), 1, 3),
+    "tessellation_rectangle": (lambda g, s: o.tessellation(g, "rectangle", name="out", seed=s), 1, 10**9), "tessellation_gibbs": (lambda g, s: o.tessellation(g, "gibbs", name="out", seed=s), 1, 20), "perturb": (lambda g, s: o.perturb(g.put("out", F.lit(0.0)), 1.0, s, layer="out"), -7, 7),
+}
+for _name, (_run, _low, _high) in _FIELDS.items():
+
+    @query(f"{_name}_holds", sql("SELECT count(*) AS cells, count(*) AS inside, count(*) AS repeated, true AS seeded FROM cells"))
+    def _holds(spark, sf_dir, run=_run, low=_low, high=_high):
+        g = supply(spark, sf_dir)
+        one, same, other = (run(g, s).values("out").withColumnRenamed("v", k) for k, s in (("a", 1), ("b", 1), ("d", 2)))
+        met = one.join(same, ["r", "c"]).join(other, ["r", "c"])
+        return met.agg(F.count(F.lit(1)).alias("cells"), F.count(F.when(F.col("a").between(low, high), 1)).alias("inside"), F.count(F.when(F.col("a") == F.col("b"), 1)).alias("repeated"), (F.count(F.when(F.col("a") != F.col("d"), 1)) > 0).alias("seeded"))
 
 
 @query("gyrate", sql("SELECT CAST(n AS INTEGER) AS gid, round(avg(sqrt(pow(c - mx, 2) + pow(r - my, 2))), 6) AS gyrate FROM (SELECT n, r, c, avg(c) OVER (PARTITION BY n) AS mx, avg(r) OVER (PARTITION BY n) AS my FROM cells) GROUP BY n"))

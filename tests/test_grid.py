@@ -65,9 +65,44 @@ def test_match_fails_on_nulls_and_borders(spark):
     assert not any(o.match(drawn(spark, "10000/00000/00100/000.0/00000"), k).pull())
 
 
-@pytest.mark.parametrize(("kind", "size", "cells"), [("disc", 3, 9), ("disc", 5, 21), ("disc", 7, 37), ("diamond", 3, 5), ("diamond", 5, 13), ("square", 5, 25), ("cross", 5, 9)])
-def test_structures(kind, size, cells):
-    assert len(o.structure(kind, size)) == cells
+SHAPES = {
+    ("disc", 3, 3): "111/111/111", ("disc", 5, 5): "01110/11111/11111/11111/01110", ("disc", 7, 7): "0011100/0111110/1111111/1111111/1111111/0111110/0011100", ("disc", 5, 3): "01110/11111/01110",
+    ("diamond", 3, 3): "010/111/010", ("diamond", 5, 5): "00100/01110/11111/01110/00100", ("square", 5, 5): "11111/11111/11111/11111/11111", ("rectangle", 5, 3): "11111/11111/11111",
+    ("cross", 5, 5): "00100/00100/11111/00100/00100", ("diamond", 7, 3): "0011100/1111111/0011100", ("diamond", 3, 7): "010/010/111/111/111/010/010",
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_structures(shape):
+    kind, width, height = shape
+    got = {(i + height // 2, j + width // 2) for i, j, _ in o.structure(kind, width, height)}
+    assert "/".join("".join("01"[(i, j) in got] for j in range(width)) for i in range(height)) == SHAPES[shape]
+
+
+@pytest.mark.parametrize("kind", ["disc", "diamond", "box"])
+def test_structures_cover_half_of_their_cells(kind):
+    norm = {"disc": math.hypot, "diamond": lambda a, b: a + b, "box": max}[kind]
+    for width in range(1, 14, 2):
+        for height in range(1, 14, 2):
+            most, want = max(width, height), set()
+            for i in range(-(height // 2), height // 2 + 1):
+                for j in range(-(width // 2), width // 2 + 1):
+                    near, far = (norm(*(most / n * abs(d + s * 0.5 * ((d > 0) - (d < 0))) for d, n in ((j, width), (i, height)))) for s in (-1, 1))
+                    share = 1 if near == far else (most / 2 - near) / (far - near)
+                    if near < most / 2 and share >= 0.5:
+                        want.add((i, j))
+            assert {(i, j) for i, j, _ in o.structure(kind, width, height)} == want
+    for bad in ((4, 3), (3, 4), (0, 1)):
+        with pytest.raises(ValueError):
+            o.structure(kind, *bad)
+
+
+def test_structures_say_how_they_are_used(spark):
+    g = drawn(spark, "0000/0100/0000")
+    corner = o.structure(custom=[[0, None, None], [None, 1, None], [None, None, None]], rotate=True, background=0)
+    assert o.match(g, corner).pull() == o.match(g, list(corner), rotate=True, background=0).pull()
+    k = o.structure("square", 3, background=-1)
+    assert o.morph(drawn(spark, "1.2"), k, merge="max").pull() == [1, -1, 2]
 
 
 @pytest.mark.parametrize("method", ["euclidean", "manhattan", "chessboard"])
@@ -105,6 +140,206 @@ def test_recipes_and_loops(spark):
         loop(g, o.dilate())
 
 
+def test_plans_stay_small(spark):
+    g = drawn(spark, "00000/00100/00000")
+    for _ in range(8):
+        g = o.dilate(g)
+    plan = g.cells._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    assert g.pull() == [1] * 15
+    h, sizes = drawn(spark, "100.200/0300.11"), []
+    for _ in range(8):
+        h = o.blend(o.interpolate(o.fill(o.mask_filter(o.permute(h, "revert"), "values > 1", add="m"), layer="m"), layer="values", add="s"), ["values", "s"], "max")
+        h = o.morph(h, o.structure("disc", 3), merge="mean")
+        sizes.append(h.cells._jdf.queryExecution().optimizedPlan().toString().count("Relation"))
+    assert max(sizes) <= 16 and sizes[-1] <= max(sizes[:4])
+
+
+def test_loops_end(spark):
+    g = drawn(spark, "100000/000000")
+    one = loop(g, o.dilate(), until="sum(values) >= 6")
+    assert sum(one.pull()) == 7 and one.provenance[-1]["activity"] == {"iterations": 3}
+    assert loop(g, o.dilate(), until="sum(values) >= 6", times=2).provenance[-1]["activity"] == {"iterations": 2}
+    still = loop(g, o.dilate(), stable=True)
+    assert sum(still.pull()) == 12 and still.provenance[-1]["activity"]["iterations"] == 7 and "iterations: 7" in repr(still)
+    for bad in ({"until": "values > 1"}, {"times": 0}, {}):
+        with pytest.raises(ValueError):
+            loop(g, o.dilate(), **bad)
+
+
+def test_layers_may_have_any_name(spark):
+    for name in ("v", "w", "b", "t", "_v", "_in", "_own0", "_merged", "k", "a b", "gid"):
+        g = grid(spark, (0, 3, 0, 2), 1, {name: [[0, 1, 0], [0, 0, 0]], "other": [[5, 6, 7], [8, 9, None]]})
+        out = o.erode(o.dilate(g, layer=name), layer=name) if name != "a b" else o.morph(g, o.structure("cross", 3), layer="other")
+        assert out.pull("other")[:5] == [5, 6, 7, 8, 9] if name != "a b" else out.pull("other")[0] == 8
+        assert sum(out.pull(name)) in (1, 2, 4)
+
+
+def cheapest(cost, seeds):
+    import heapq
+
+    best, heap = {}, [(0.0, s) for s in seeds]
+    while heap:
+        d, (i, j) = heapq.heappop(heap)
+        if (i, j) in best:
+            continue
+        best[i, j] = d
+        for a in (-1, 0, 1):
+            for b in (-1, 0, 1):
+                y, x = i + a, j + b
+                if (a or b) and 0 <= y < len(cost) and 0 <= x < len(cost[0]) and cost[y][x] is not None and (y, x) not in best:
+                    heapq.heappush(heap, (d + (cost[i][j] + cost[y][x]) / 2 * (math.sqrt(2) if a and b else 1), (y, x)))
+    return best
+
+
+@pytest.mark.parametrize("side", [4, 7, 256])
+def test_cost_distances_over_tiles(spark, monkeypatch, side):
+    import importlib
+
+    module = importlib.import_module("gridframe.operators.distance")
+    monkeypatch.setattr(module, "TILE", side)
+    rnd = random.Random(side)
+    cost = [[None if rnd.random() < 0.2 else float(rnd.choice([1, 1, 2, 9])) for _ in range(23)] for _ in range(17)]
+    cost[0][0] = cost[16][22] = 1.0
+    seeds = [[float((r, c) in ((0, 0), (16, 22))) for c in range(23)] for r in range(17)]
+    got = o.distance(grid(spark, (0, 23, 0, 17), 1, {"seed": seeds, "k": cost}), cost="k", layer="seed", add="d").pull("d")
+    want = cheapest(cost, [(0, 0), (16, 22)])
+    assert any(want.get((r, c)) is None and cost[r][c] for r in range(17) for c in range(23)) or side
+    for r in range(17):
+        for c in range(23):
+            assert got[r * 23 + c] == (pytest.approx(want[r, c]) if (r, c) in want else None)
+
+
+@pytest.mark.parametrize(("side", "few"), [(4, 100_000), (4, 0), (5, 3), (256, 0)])
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_patches_over_tiles(spark, monkeypatch, side, few, connectivity):
+    from gridframe.operators import zonal
+
+    monkeypatch.setattr(zonal, "TILE", side)
+    monkeypatch.setattr(zonal, "FEW_EDGES", few)
+    rnd = random.Random(side)
+    text = "/".join("".join(rnd.choice("0112.") for _ in range(19)) for _ in range(13))
+    m = [[None if x in "0." else x for x in row] for row in text.split("/")]
+    want, n = {}, 0
+    for r in range(13):
+        for c in range(19):
+            if m[r][c] and (r, c) not in want:
+                n += 1
+                todo = [(r, c)]
+                while todo:
+                    at = todo.pop()
+                    if at in want:
+                        continue
+                    want[at] = n
+                    todo += [(at[0] + i, at[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (connectivity == 8 or not (i and j)) and 0 <= at[0] + i < 13 and 0 <= at[1] + j < 19 and m[at[0] + i][at[1] + j] == m[r][c]]
+    assert o.componentise(drawn(spark, text), connectivity).pull() == [want.get((r, c)) for r in range(13) for c in range(19)]
+
+
+def test_nearest_of_many_centres(spark):
+    from gridframe.core import blank
+    from gridframe.operators import zonal
+
+    rnd = random.Random(9)
+    centres = [(float(i), rnd.random() * 6, rnd.random() * 40) for i in range(1, 60)] + [(60.0, 38.5, 39.25), (61.0, 38.5, 39.25)]
+    g = grid(spark, (0, 41, 0, 43), 1)
+    table = spark.createDataFrame(centres, "id double, y double, x double")
+    got = zonal.nearest_of_many(blank(spark, g.meta), table, g.meta)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, zonal.nearest(blank(spark, g.meta), centres).collect())) and got.count() == 41 * 43
+
+
+def test_homotopic_skeletons_keep_parts_and_holes(spark):
+    # a thick ring and a bar: between the anchors a path is left, the ring keeps its hole, a part without anchors a cell
+    text = "000000000000/011111000000/011111011111/011011011111/011111011111/011111000000/000000000000"
+    g = drawn(spark, text)
+    thin = o.skeletonise(g, background=0, method="homotopic")
+    assert o.componentise(thin, 8).cells.agg(F.max("values")).first()[0] == 2 and o.fill(thin).pull()[3 * 12 + 3] == 1
+    again = o.skeletonise(o.rotate(g, 180), background=0, method="homotopic")
+    assert o.rotate(again, 180).pull() == thin.pull()  # whatever the order
+    ends = drawn(spark, "/".join("000000010001" if i == 3 else "0" * 12 for i in range(7)))
+    kept = o.skeletonise(o.add_layers(g, ends, rename={"values": "ends"}), background=0, anchor="ends", method="homotopic")
+    assert kept.pull("values")[3 * 12 + 7 : 3 * 12 + 12] == [1] * 5 and sum(kept.pull("values")) == sum(thin.pull()) + 4
+
+
+def test_pattern_classes_of_drawn_shapes(spark):
+    from gridframe.plans.patterns import pattern_classes
+
+    rows = [[0] * 24 for _ in range(13)]
+    fill = lambda r0, r1, c0, c1, v=1: [rows[r].__setitem__(c, v) for r in range(r0, r1 + 1) for c in range(c0, c1 + 1)]
+    fill(2, 8, 2, 8), fill(5, 5, 5, 5, 0), fill(2, 8, 14, 20), fill(5, 5, 9, 13), fill(10, 11, 2, 3), fill(3, 3, 21, 22)
+    got = pattern_classes(drawn(spark, "/".join("".join(map(str, r)) for r in rows))).pull("pattern")
+    at = lambda r, c: got[r * 24 + c]
+    core = {(r, c) for r in range(3, 8) for c in range(3, 8) if max(abs(r - 5), abs(c - 5)) == 2} | {(r, c) for r in range(3, 8) for c in range(15, 20)}
+    assert {(r, c) for r in range(13) for c in range(24) if at(r, c) == 1} == core
+    assert {(r, c) for r in range(13) for c in range(24) if at(r, c) == 4} == {(10, 2), (10, 3), (11, 2), (11, 3)}
+    assert all(at(r, c) == 3 for r in (4, 5, 6) for c in (4, 5, 6) if (r, c) != (5, 5)) and at(5, 5) == 0
+    assert all(at(5, c) == 5 for c in range(9, 14)) and at(3, 22) == 7 and at(2, 2) == at(8, 20) == 6
+    assert all((x == 0) == (rows[k // 24][k % 24] == 0) for k, x in enumerate(got))
+
+
+def test_class_tables_and_histories(spark):
+    g = o.categorise(drawn(spark, "0123/4567"), breaks=[2, 4.5], add="cls")
+    assert sorted(map(tuple, g.table("cls").select("gid", "val").collect())) == [(1, "0-2"), (2, "2-4.5"), (3, "4.5-7")]
+    assert sorted(map(tuple, o.categorise(g, shares=[0.25, 0.75], add="s").table("s").collect())) == [(1, "0-1"), (2, "2-7")]
+    g = metric(o.area(g, layer="cls"), "max(area.all)", "most", layer="cls")
+    assert g.table("cls", overall=True).first()["most"] == 3 and "most: 3" in g.show("cls") and "4.5-7" in g.show("cls") and ".. and 2 more" in g.show("cls", n=1)
+    assert [h["fn"] for h in g.provenance] == ["categorise", "area", "metric"] and g.provenance[0]["made"] == ["cls"]
+    long = o.replace_values(g, list(range(1, 4001)), [0.0], layer="values")
+    assert long.pull("values") == [0] * 8 and any("sha256" in str(a) for a in long.provenance[-1]["args"])
+    with pytest.raises(ValueError):
+        g.table("values", overall=True)
+    with pytest.raises(ValueError, match="another name"):
+        o.categorise(g, n=2, layer="values", add="c")
+
+
+def test_functions_of_ones_own(spark):
+    from gridframe.core import register
+
+    g = drawn(spark, "0123/4567")
+    register("double", lambda v: 2 * v)
+    register("spread", lambda v: F.max(v) - F.min(v), aggregate=True)
+    g = o.mask_filter(g, "values > 3", add="z")
+    assert o.blend(g, ["values", "z"], lambda a, b: a * 10 + b, add="out").pull("out")[4] == 41
+    assert o.summarise(g, "z", lambda v: F.count_distinct(v), layer="values", add="out").pull("out")[4:] == [4, 4, 4, 4]
+    t = metric(metric(g, "double(spread(values.self))", "a", layer="z"), "prod(values.others)", "b", layer="z").table("z")
+    assert sorted((r["gid"], r["a"], round(r["b"])) for r in t.collect()) == [(0, 6, 840), (1, 6, 0)]
+    with pytest.raises(ValueError):
+        metric(g, "spread(values.others)", "c", layer="z")
+
+
+def test_well_known_text(spark):
+    from gridframe.operators.raster import from_wkt
+
+    known = lambda *texts: from_wkt(spark.createDataFrame(list(enumerate(texts, 1)), "id int, wkt string"))
+    shapes, kind = known("POLYGON((1 1, 5 1, 5 5, 1 5, 1 1),(2 2, 4 2, 4 4, 2 4, 2 2))", "MultiPolygon (((0 0, 1 0, 1 1, 0 1, 0 0)), ((5 5, 6 5, 6 6, 5 6, 5 5)))")
+    assert kind == "polygon" and shapes.count() == 16
+    out = o.rasterise(grid(spark, (0, 6, 0, 6), 1), shapes, kind).pull()
+    assert out.count(1) == 12 and out.count(2) == 2
+    points, kind = known("POINT(1.5 2.5)", "MULTIPOINT((3.5 2.5), (4.5 0.5))", "SRID=4326;POINT Z (0.5 0.5 9)")
+    assert kind == "point" and sorted(map(tuple, points.select("id", "x", "y").collect())) == [(1, 1.5, 2.5), (2, 3.5, 2.5), (2, 4.5, 0.5), (3, 0.5, 0.5)]
+    lines, kind = known("LINESTRING(0.5 0.5, 5.5 0.5)", "MULTILINESTRING((0 1, 2 1), (3 3, 4 4, 5 5))")
+    assert kind == "line" and [r["n"] for r in lines.groupBy("id", "part").agg(F.count("x").alias("n")).orderBy("id", "part").collect()] == [2, 2, 3]
+    for bad in (("POINT(0 0)", "LINESTRING(0 0, 1 1)"), ("CIRCLE(1)",)):
+        with pytest.raises(ValueError):
+            known(*bad)
+
+
+def test_ascii_grids(spark, tmp_path):
+    text = "ncols 3\nnrows 2\nxllcorner 10\nyllcorner 20\ncellsize 5\nNODATA_value -9\n1 2 -9\n 4 5 6 \n"
+    (tmp_path / "a.asc").write_text(text)
+    g = sources.read_ascii(spark, f"file://{tmp_path}/a.asc", group=True)
+    assert g.pull() == [1, 2, None, 4, 5, 6] and (g.meta.xmin, g.meta.xmax, g.meta.ymin, g.meta.ymax) == (10, 25, 20, 30)
+    assert sorted(r["val"] for r in g.table().collect()) == ["1", "2", "4", "5", "6"]
+    (tmp_path / "b.asc").write_bytes(text.replace("NODATA_value -9\n", "").replace("\n", "\r\n").encode())
+    assert sources.read_ascii(spark, f"file://{tmp_path}/b.asc").pull() == [1, 2, -9, 4, 5, 6]
+
+
+def test_measures_of_an_older_grid_are_warned_of(spark):
+    g = o.area(drawn(spark, "11/22"))
+    for change in (lambda: o.crop(g, (0, 1, 0, 1)), lambda: o.pad(g, 1), lambda: o.resize(g, 2)):
+        with pytest.warns(UserWarning, match="measures"):
+            change()
+
+
 def test_recoding(spark):
     g = drawn(spark, "0123")
     assert o.categorise(g, breaks=[1, 2, 3, 8]).pull() == [1, 2, 3, 4]
@@ -160,6 +395,13 @@ def test_round_trip(spark, tmp_path):
     sources.write(g, f"file://{tmp_path}/g")
     back = sources.read(spark, f"file://{tmp_path}/g")
     assert back.pull() == g.pull() and back.meta == g.meta and back.table().count() == 3
+    both = o.adjacency(o.mask_filter(g, "values = 1", add="one"), layer="values")
+    sources.write(both, f"file://{tmp_path}/h")
+    back = sources.read(spark, f"file://{tmp_path}/h")
+    assert back.pull("one") == [1, 1, 0, 0, 0, 1] and back.pairs[("values", "adjacency")].count() == 9 and back.binary == {"one"}
+    assert [h["fn"] for h in back.provenance] == ["area", "mask_filter", "adjacency"] and "2. mask_filter" in repr(back)
+    with pytest.raises(ValueError):
+        replay(g, back)
 
 
 @pytest.mark.parametrize("routing", ["straight", "cheapest"])
@@ -175,7 +417,7 @@ def test_class_distances_of_all_classes_against_brute_force(spark, routing):
             d = math.hypot(i, j) if routing == "straight" else max(i, j) + (math.sqrt(2) - 1) * min(i, j)
             if n != m and d < want.get((n, m), math.inf):
                 want[(n, m)] = d
-    got = {(x["a"], x["b"]): x["value"] for x in QUERIES[f"class_distance_{routing}_all"](spark, "/root/testdata/sf0.001").collect()}
+    got = {(x["a"], x["b"]): x["value"] for x in QUERIES[f"class_distance_{routing}"](spark, "/root/testdata/sf0.001").collect()}
     assert len(want) > 9 and got == pytest.approx(want, abs=1e-6)
 
 
