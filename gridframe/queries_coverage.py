@@ -11,7 +11,7 @@ from gridframe import operators as o
 from gridframe import sources
 from gridframe.core import GridFrame, Recipe, register, replay
 from gridframe.functions.equation import metric
-from gridframe.operators.raster import spaghetti
+from gridframe.operators.raster import from_wkt, spaghetti
 from gridframe.operators.stencil import structure, turned
 from gridframe.plans.loop import loop
 from gridframe.plans.patterns import pattern_classes
@@ -265,6 +265,31 @@ def rasterise_polygons(spark, sf_dir):
     return o.rasterise(g, shapes, "polygon", "v").cells.select("r", "c", "v")
 
 
+@query("rasterise_well_known_text", SQL["rasterise_polygons"])
+def rasterise_well_known_text(spark, sf_dir):
+    g = supply(spark, sf_dir)
+    k, n = g.meta.nrow, F.col("n_nationkey")
+    at = [(n * 3 + 0.13, F.lit(1.17)), (n * 3 + 19.29, F.lit(k - 1.31)), (n * 2 + 1.71, F.lit(k * 0.61)), (n * 3 + 0.13, F.lit(1.17))]
+    vertices = F.concat_ws(", ", *[F.concat_ws(" ", x.cast("string"), y.cast("string")) for x, y in at])
+    texts = spark.read.parquet(f"{sf_dir}/nation.parquet").select(n.alias("id"), F.concat(F.lit("POLYGON(("), vertices, F.lit("))")).alias("wkt"))
+    return o.rasterise(g, *from_wkt(texts), "v").cells.select("r", "c", "v")
+
+
+@query("ascii_written_and_read", sql("SELECT r, c, qty AS v FROM cells"))
+def ascii_written_and_read(spark, sf_dir):
+    g, path = supply(spark, sf_dir), new_path(spark, "ascii")
+    rows = g.cells.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("c", F.coalesce("qty", F.lit(-9999.0)).alias("v")))).alias("cells"))
+    head = [f"ncols {NCOL}", f"nrows {g.meta.nrow}", "xllcorner 0", "yllcorner 0", "cellsize 1", "NODATA_value -9999"]
+    lines = spark.createDataFrame([(k - len(head), x) for k, x in enumerate(head)], "r int, value string").unionByName(rows.select("r", F.array_join(F.transform("cells", lambda x: x["v"].cast("string")), " ").alias("value")))
+    lines.orderBy("r").coalesce(1).select("value").write.text(path)
+    return sources.read_ascii(spark, path, "v").cells.select("r", "c", "v")
+
+
+@query("grouped_values", sql("SELECT CAST(n AS INTEGER) AS gid, CAST(CAST(n AS BIGINT) AS VARCHAR) AS val FROM cells GROUP BY n"))
+def grouped_values(spark, sf_dir):
+    return sources.grouped(supply(spark, sf_dir), "n").table("n").select("gid", "val")
+
+
 # measures and equations
 @query("label", sql("SELECT CAST(mask AS INTEGER) AS gid, CASE mask WHEN 1 THEN 'stocked' ELSE '0' END AS val FROM cells GROUP BY mask"))
 def label(spark, sf_dir):

@@ -13,7 +13,7 @@ def test_sql(compare, name):
     compare(QUERIES[name], SQL[name], DIR)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in SQL and f"{n}_holds" not in SQL))
 def test_rows(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
 
