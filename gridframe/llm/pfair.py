@@ -123,10 +123,12 @@ def scheduled(rows: DataFrame, source: str, key: str, weights: dict | None = Non
     known = timetables(spark, {s: -(-n // block_rows) for s, n in counts.items()}, weights)
     h = F.xxhash64(key)
     chunk = F.shiftrightunsigned(h, 64 - (common.CHUNKS - 1).bit_length())
-    numbered = common.ranked(rows, [source], chunk, [h, F.col(key)], "_rank").withColumn("_block", F.floor(F.col("_rank") / block_rows))
-    joined = numbered.drop(*[c for c in rows.columns if c in RESULTS]).alias("l").join(known.alias("k"), F.col(f"l.{source}").eqNullSafe(F.col("k._s")) & (F.col("l._block") == F.col("k._block")))
-    position = (F.col("slot") * block_rows + F.pmod("_rank", F.lit(block_rows))).cast("long").alias("position")
-    return joined.select(*[f"l.{c}" for c in rows.columns if c not in RESULTS], "target", F.col("k._block").alias("block"), "release", "deadline", "slot", position)
+    rank, block = (common.field_name(rows, x) for x in ("_rank", "_block"))
+    numbered = common.ranked(rows, [source], chunk, [h, F.col(key)], rank).withColumn(block, F.floor(F.col(rank) / block_rows))
+    own = [c for c in rows.columns if c.lower() not in RESULTS]
+    joined = numbered.alias("l").join(known.alias("k"), F.col(f"l.`{source}`").eqNullSafe(F.col("k._s")) & (F.col(f"l.`{block}`") == F.col("k._block")))
+    position = (F.col("k.slot") * block_rows + F.pmod(F.col(f"l.`{rank}`"), F.lit(block_rows))).cast("long").alias("position")
+    return joined.select(*[F.col(f"l.`{c}`") for c in own], "k.target", F.col("k._block").alias("block"), "k.release", "k.deadline", "k.slot", position)
 
 
 def mixed(docs: DataFrame, source: str = "source", weights: dict | None = None, block_rows: int | None = None) -> DataFrame:

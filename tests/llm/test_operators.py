@@ -422,6 +422,42 @@ def test_op9_against_all_pairs(spark, docs, empty):
     assert bagminhash.classes(empty).count() == 0
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_op9_against_all_pairs_that_share_a_shingle(spark, monkeypatch, small):
+    table = common.table(spark, "/root/testdata/sf0.01", "documents")
+    if small:  # tiny groups, blocks and hot keys give the same
+        monkeypatch.setattr(bagminhash, "BLOCK", 4)
+        monkeypatch.setattr(bagminhash, "GROUP", 2)
+        monkeypatch.setattr(common, "LEAST_HOT", 3)
+    rows = table.select("doc_id", "text").collect()
+    bags, low, holders = [textkit.bag(r["text"]) for r in rows], list(range(len(rows))), {}
+    find = lambda i: i if low[i] == i else find(low[i])
+    for i, (shingles, _) in enumerate(bags):
+        shared = Counter(j for x in shingles.tolist() for j in holders.get(x, ()))
+        for j in shared:
+            if textkit.overlap(bags[i], bags[j]) >= bagminhash.SIMILARITY:
+                a, b = find(i), find(j)
+                low[max(a, b)] = min(a, b)
+        for x in shingles.tolist():
+            holders.setdefault(x, []).append(i)
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(find(i), []).append(r["doc_id"])
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(table).collect()}
+    assert got == {d: min(g) for g in groups.values() for d in g} and max(map(len, groups.values())) > 2
+
+
+def test_numbers_and_schedules_give_way_to_columns_of_their_names(spark):
+    from pyspark.sql import functions as F
+
+    names = ["_chunk", "_place", "_n", "_start", "_rank", "_block", "_s", "slot"]
+    rows = common.stored(spark.createDataFrame([(i, "ab"[i % 2], *[i] * 8) for i in range(200)], "uid long, source string, " + ", ".join(f"`{x}` int" for x in names)), "clash")
+    got = common.ranked(rows, ["source"], F.col("uid") % 3, [F.col("uid")], "rank")
+    assert got.columns == [*rows.columns, "rank"] and sorted(r["rank"] for r in got.filter("source = 'a'").collect()) == list(range(100))
+    out = pfair.scheduled(rows, "source", "uid", None, 4)
+    assert set(names) <= set(out.columns) and out.columns.count("slot") == 1 and sorted(r["_rank"] for r in out.collect()) == list(range(200))
+
+
 def test_op10_stays_within_a_block(spark, docs, empty):
     weights = {"a": 0.5, "b": 0.3, "c": 0.17, "d": 0.03}
     quota, seen = pfair.quotas(weights, 512), dict.fromkeys(weights, 0)
