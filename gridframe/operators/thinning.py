@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridframe.core import GridFrame, operator
-from gridframe.operators.stencil import all_of, eight
+from gridframe.operators.stencil import eight
 from gridframe.plans.storage import stored
 
 
@@ -27,31 +28,39 @@ _BESIDE = {0: ((6, 7), (2, 1)), 2: ((0, 1), (4, 3)), 4: ((2, 3), (6, 5)), 6: ((4
 _ORDER = (6, 2, 0, 4, 7, 5, 1, 3)
 
 
-def _independent(on: list[Column], simple: list[Column], count: list[Column]) -> Column:
-    """Whether a simple cell can go together with all its simple neighbours: on, simple and count (cells set around it) of each neighbour.
+def independent(code: np.ndarray) -> np.ndarray:
+    """Whether simple cells can go together with all their simple neighbours, from the neighbours' codes (eight columns): 1 set, plus 2 simple, plus 4 for each cell set around it.
 
-    It may with an edge neighbour if cells are set on one side of the pair alone, with a corner neighbour if one of the
-    two cells beside the pair is.  Two or three simple neighbours can still form a triple or a square with the cell
+    A cell may with an edge neighbour if cells are set on one side of the pair alone, with a corner neighbour if one of
+    the two cells beside the pair is.  Two or three simple neighbours can still form a triple or a square with the cell
     that mustn't go at once: then each of them has as many neighbours as there are of them, and the cells beside the
     last pair are those of such a group.
     """
-    set_ = lambda k: on[k]
-    fine, two, three = [], F.lit(False), F.lit(False)
+    on, simple, count = code > 0, code // 2 % 2 == 1, code // 4
+    fine, two, three = np.ones(len(code), bool), np.zeros(len(code), bool), np.zeros(len(code), bool)
     for k in _ORDER:
         if k % 2:
-            a, b = map(set_, _BESIDE[k])
+            a, b = (on[:, x] for x in _BESIDE[k])
             pair, alone, both = a | b, a != b, a & b
         else:
-            (a, b), (c, d) = (tuple(map(set_, side)) for side in _BESIDE[k])
+            (a, b), (c, d) = ([on[:, x] for x in side] for side in _BESIDE[k])
             pair = (a | b) != (c | d)
-            n = sum(x.cast("int") for x in (a, b, c, d))
+            n = a.astype(int) + b + c + d
             alone, both = n == 1, (n == 2) & ((a & b) | (c & d))
-        fine.append(~simple[k] | pair)
+        fine &= ~simple[:, k] | pair
         # of the last simple neighbour in this order
-        two, three = F.when(simple[k], alone).otherwise(two), F.when(simple[k], both).otherwise(three)
-    many = sum(x.cast("int") for x in simple)
-    alike = all_of([~simple[k] | (count[k] == many) for k in range(8)])
-    return all_of(fine) & ~(((many == 2) & two | (many == 3) & three) & alike)
+        two, three = np.where(simple[:, k], alone, two), np.where(simple[:, k], both, three)
+    many = simple.sum(axis=1)
+    alike = (~simple | (count == many[:, None])).all(axis=1)
+    return fine & ~((((many == 2) & two) | ((many == 3) & three)) & alike)
+
+
+def _tested(frames):
+    """Cells with their code and their neighbours' -> r, c, keep, v and whether they go."""
+    for f in frames:
+        own = f["v"].to_numpy().astype(int)
+        go = (own // 2 % 2 == 1) & independent(f[[f"n{k}" for k in range(8)]].to_numpy().astype(int))
+        yield f[["r", "c", "keep"]].assign(v=(own > 0).astype(float), go=go)
 
 
 @operator
@@ -80,9 +89,7 @@ def skeletonise(g: GridFrame, background: float | None = None, anchor: str | Non
             # a first look at the neighbours codes each cell: set, simple and free to go, and the cells set around it
             code = F.when(F.col("v") == 1, 1 + 2 * (_simple(n) & ~F.col("keep")).cast("int") + 4 * around).otherwise(0.0)
             coded = stored(eight(g, now).select("r", "c", "keep", code.cast("double").alias("v")), "thin")
-            on, free, count = [x > 0 for x in n], [F.floor(x / 2) % 2 == 1 for x in n], [F.floor(x / 4) for x in n]
-            go = (F.floor(F.col("v") / 2) % 2 == 1) & _independent(on, free, count)
-            tested = stored(eight(g, coded).select("r", "c", "keep", (F.col("v") > 0).cast("double").alias("v"), go.alias("go")), "thin")
+            tested = stored(eight(g, coded).mapInPandas(_tested, "r int, c int, keep boolean, v double, go boolean"), "thin")
             gone = tested.filter("go").count()
             now = tested.select("r", "c", F.when(F.col("go"), 0.0).otherwise(F.col("v")).alias("v"), "keep")
         else:
@@ -90,7 +97,6 @@ def skeletonise(g: GridFrame, background: float | None = None, anchor: str | Non
                 tested = stored(eight(g, now).select("r", "c", "v", "keep", test.alias("go")), "thin")
                 gone += tested.filter("go").count()
                 now = tested.select("r", "c", F.when(F.col("go"), 0.0).otherwise(F.col("v")).alias("v"), "keep")
-        now = stored(now, "thin")
         if not gone:
             break
     return g.put_from(add or layer, now.select("r", "c", F.when(F.col("v") == 1, 1.0).otherwise(F.lit(background).cast("double")).alias("v")))

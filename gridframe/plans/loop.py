@@ -11,6 +11,10 @@ from gridframe.core import GridFrame, Recipe, operator, replay
 from gridframe.plans.storage import stored
 
 
+#: Steps after which cells are in other places, or layers gone.
+_MOVES = {"crop", "pad", "rotate", "transpose", "resize", "select", "remove", "loop"}
+
+
 def _holds(g: GridFrame, until: str) -> bool:
     """Whether a condition over whole layers, such as "sum(core) = 0", is true."""
     try:
@@ -32,13 +36,20 @@ def loop(g: GridFrame, recipe: Recipe, times: float = float("inf"), until: str |
     if times < 1:
         raise ValueError("a loop runs once at least")
     name, done = g.pick(layer), 0
+    was = next(x for x in (f"_was{i}" for i in range(len(g.names) + 1)) if x not in g.names)
+    beside = stable and not _MOVES & {s.fn for s in recipe.steps}
     while done < times:
-        before = g.values(name).withColumnRenamed("v", "w")
-        new = replay(g, recipe)
+        # the layer as it was goes along as a layer of its own, where cells stay in their places
+        new = replay(g.put(was, F.col(name)) if beside else g, recipe)
         new = replace(new, cells=stored(new.cells, "loop"), scans=1)
         done += 1
-        near = F.coalesce(F.abs(F.col("v") - F.col("w")) <= 1.5e-8 * F.greatest(F.lit(1.0), F.abs("w")), F.col("v").eqNullSafe(F.col("w")))
-        same = stable and not new.values(name).join(before, ["r", "c"]).filter(~near).limit(1).count()
+        same = False
+        if stable:
+            both = new.cells.select(F.col(name).alias("v"), F.col(was).alias("w")) if beside else new.values(name).join(g.values(name).withColumnRenamed("v", "w"), ["r", "c"])
+            near = F.coalesce(F.abs(F.col("v") - F.col("w")) <= 1.5e-8 * F.greatest(F.lit(1.0), F.abs("w")), F.col("v").eqNullSafe(F.col("w")))
+            same = not both.filter(~near).limit(1).count()
+        if beside:
+            new = replace(new, cells=new.cells.drop(was))
         g = replace(new, history=g.history)
         if same or (until is not None and _holds(g, until)):
             break
