@@ -31,7 +31,7 @@ CLASSES, RARE = GROUPS * GROUPS, 64
 VOCABULARY = CLASSES - RARE
 #: Words of a corpus from which the classes grow, and the root of the corpus by which words are held in memory.
 GROWS, HELD = 1_000_000, 300
-ROUNDS, RATE, BATCH = 4, 0.12, 8192
+ROUNDS, RATE, BATCH = 4, 0.04, 8192
 #: Words of a span on average: a span ends where a hash of its last two words is a multiple.
 SPAN = 32
 #: Texts that a task works on at once; it holds some hundred bytes for each of their words.

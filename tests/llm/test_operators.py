@@ -99,6 +99,12 @@ def test_op2_beats_word_frequencies(spark, docs, empty):
         c = pseudo_likelihood.classes(textkit.word_hashes(r[0]), words)
         total, n = total + share[c].sum(), n + len(c)
     assert got["n_words"].sum() == n and got["network_log_likelihood"].sum() / n > total / n and got["log_likelihood"].sum() > got["network_log_likelihood"].sum()
+    # one long task: many steps from one start
+    larger = common.table(spark, "/root/testdata/sf0.01", "documents")
+    known = pseudo_likelihood.lexicon(larger)
+    many = pseudo_likelihood.scored(larger, known).toPandas()
+    c = known.counts.toPandas()["n"].to_numpy(float)
+    assert many["network_log_likelihood"].sum() > (c * np.log(c / c.sum())).sum() and many["n_words"].sum() == c.sum()
     # the two-level softmax is normalised
     p = pseudo_likelihood.initial(np.ones(pseudo_likelihood.CLASSES))
     sides = np.full((pseudo_likelihood.CLASSES, 4), 5)
