@@ -431,3 +431,16 @@ def test_class_distances_of_scattered_classes(spark, routing):
     ids = sorted({v for _, _, v in cells})
     want = {(a, b): math.inf if a == b else min(far(abs(r - y), abs(c - x)) for r, c, v in cells if v == a for y, x, w in cells if w == b) for a in ids for b in ids}
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_distances_look_down_long_columns_once(spark):
+    """A frame that ends with the column costs the square of its length: none may be in the plan, and a long column has to come out right."""
+    from gridframe.core import GridFrame, GridMeta, blank
+    from gridframe.operators.distance import to_sources
+
+    meta = GridMeta(0, 2, 0, 60_000, 2, 60_000)
+    g = GridFrame(meta, blank(spark, meta))
+    d = to_sources(g, spark.createDataFrame([(10, 0), (59_000, 1)], "r int, c int"), "manhattan")
+    assert "unboundedfollowing" not in d._jdf.queryExecution().optimizedPlan().toString().lower()
+    want = sum(min(abs(r - 10) + c, abs(r - 59_000) + 1 - c) for r in range(60_000) for c in range(2))
+    assert d.agg(F.sum("v")).first()[0] == want
