@@ -444,3 +444,38 @@ def test_distances_look_down_long_columns_once(spark):
     assert "unboundedfollowing" not in d._jdf.queryExecution().optimizedPlan().toString().lower()
     want = sum(min(abs(r - 10) + c, abs(r - 59_000) + 1 - c) for r in range(60_000) for c in range(2))
     assert d.agg(F.sum("v")).first()[0] == want
+
+
+def test_midpoint_displacement_is_the_same_however_rows_come(spark):
+    """Sums of floats depend on their order: the field has to be the same bit by bit under other partitions."""
+    from gridframe.core import GridFrame, GridMeta, blank
+    from gridframe.plans.storage import setting
+
+    meta, fields = GridMeta(0, 90, 0, 90, 90, 90), []
+    for n in ("1", "7", "13"):
+        with setting(spark, "spark.sql.shuffle.partitions", n), setting(spark, "spark.sql.adaptive.enabled", "false"):
+            fields.append(o.texture(GridFrame(meta, blank(spark, meta)), "diamondSquare", name="t").pull("t"))
+    assert fields[0] == fields[1] == fields[2]
+
+
+@pytest.mark.parametrize("routing", ["straight", "cheapest"])
+def test_class_distances_near_and_far_over_tiles(spark, monkeypatch, routing):
+    """Mixed classes and classes far apart, over small tiles: distances, and of equal pairs of cells the first, are brute force's."""
+    import importlib
+
+    module = importlib.import_module("gridframe.operators.distance")
+    rng = random.Random(5)
+    m = [[0] * 30 for _ in range(70)]
+    for _ in range(150):
+        m[rng.randrange(70)][rng.randrange(14)] = rng.randint(1, 4)
+    for k, (r, c) in enumerate([(0, 29), (69, 29), (35, 25), (35, 27), (2, 2)]):
+        m[r][c] = 5 + k
+    at = {}
+    for r in range(70):
+        for c in range(30):
+            at.setdefault(m[r][c], []).append((r, c))
+    cost = lambda y, x: math.hypot(y, x) if routing == "straight" else max(y, x) + (math.sqrt(2) - 1) * min(y, x)
+    want = {(a, b): min((round(cost(abs(r - y), abs(c - x)), 9), r, c, y, x) for r, c in at[a] for y, x in at[b]) for a in at for b in at if 0 < a < b}
+    monkeypatch.setattr(module, "TILE", 16)
+    got = module.nearest_cells(grid(spark, (0, 30, 0, 70), 1, m), "values", "euclidean" if routing == "straight" else "octile").collect()
+    assert {(x["a"], x["b"]): (round(x["d"], 9), x["r0"], x["c0"], x["r1"], x["c1"]) for x in got} == want
