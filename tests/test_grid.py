@@ -479,3 +479,19 @@ def test_class_distances_near_and_far_over_tiles(spark, monkeypatch, routing):
     monkeypatch.setattr(module, "TILE", 16)
     got = module.nearest_cells(grid(spark, (0, 30, 0, 70), 1, m), "values", "euclidean" if routing == "straight" else "octile").collect()
     assert {(x["a"], x["b"]): (round(x["d"], 9), x["r0"], x["c0"], x["r1"], x["c1"]) for x in got} == want
+
+
+@pytest.mark.parametrize("method", ["zhangSuen", "homotopic"])
+def test_skeletons_over_tiles(spark, monkeypatch, method):
+    """Small tiles that hear of each other every round or every few give the skeleton that one tile gives, with few stored tables."""
+    from gridframe.operators import thinning
+
+    rng = random.Random(3)
+    m = [[int(rng.random() < 0.8 or 8 < r < 24) for c in range(37)] for r in range(43)]
+    keep = [[int(rng.random() < 0.03) for c in range(37)] for r in range(43)]
+    found = []
+    for side, halo in ((64, 16), (8, 2), (9, 8)):
+        monkeypatch.setattr(thinning, "TILE", side)
+        monkeypatch.setattr(thinning, "HALO", halo)
+        found.append(o.skeletonise(grid(spark, (0, 37, 0, 43), 1, {"m": m, "keep": keep}), 0, "keep", method, "m", "s").pull("s"))
+    assert 0 < sum(found[0]) < sum(map(sum, m)) and found[0] == found[1] == found[2]
