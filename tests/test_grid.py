@@ -495,3 +495,23 @@ def test_skeletons_over_tiles(spark, monkeypatch, method):
         monkeypatch.setattr(thinning, "HALO", halo)
         found.append(o.skeletonise(grid(spark, (0, 37, 0, 43), 1, {"m": m, "keep": keep}), 0, "keep", method, "m", "s").pull("s"))
     assert 0 < sum(found[0]) < sum(map(sum, m)) and found[0] == found[1] == found[2]
+
+
+def test_lines_over_tiles(spark, monkeypatch):
+    """Small tiles give the cells of samples every tenth of a cell, the largest id on each; samples are never rows of a table."""
+    from gridframe.operators import raster
+
+    rng = random.Random(8)
+    ends = [(k, *(round(rng.uniform(-3, 43), 2) for _ in range(4))) for k in range(60)] + [(60, 5.5, 3.0, 5.5, 38.0), (61, 2.0, 7.5, 39.0, 7.5)]
+    want = {}
+    for k, x, y, x2, y2 in ends:
+        n = max(2, math.ceil(math.sqrt((x2 - x) ** 2 + (y2 - y) ** 2) / 0.1) + 1)
+        for i in range(n):
+            u, v = x + i / (n - 1) * (x2 - x), y + i / (n - 1) * (y2 - y)
+            if 0 <= u <= 40 and 0 <= v <= 40:
+                want[(39 if v == 0 else math.floor(40 - v), 39 if u == 40 else math.floor(u))] = float(k)
+    monkeypatch.setattr(raster, "TILE", 8)
+    monkeypatch.setattr(raster, "SAMPLES", 50)
+    rows = spark.createDataFrame([p for k, x, y, x2, y2 in ends for p in ((k, 0, 0, x, y), (k, 0, 1, x2, y2))], "id int, part int, seq int, x double, y double")
+    g = o.rasterise(grid(spark, (0, 40, 0, 40), 1, [[0] * 40] * 40), rows, "line", "v")
+    assert {(x["r"], x["c"]): x["v"] for x in g.cells.filter("v is not null").collect()} == want
