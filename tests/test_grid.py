@@ -515,3 +515,39 @@ def test_lines_over_tiles(spark, monkeypatch):
     rows = spark.createDataFrame([p for k, x, y, x2, y2 in ends for p in ((k, 0, 0, x, y), (k, 0, 1, x2, y2))], "id int, part int, seq int, x double, y double")
     g = o.rasterise(grid(spark, (0, 40, 0, 40), 1, [[0] * 40] * 40), rows, "line", "v")
     assert {(x["r"], x["c"]): x["v"] for x in g.cells.filter("v is not null").collect()} == want
+
+
+def test_random_cluster_fills_by_rounds(spark, monkeypatch):
+    """The rule in plain Python; no round sends the cells to the driver, however small their files are."""
+    from gridframe.functions.random import uniform
+    from gridframe.operators import draw
+
+    plans = []
+
+    def noted(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return draw_stored(df, tag)
+
+    draw_stored = draw.stored
+    monkeypatch.setattr(draw, "stored", noted)
+    g = grid(spark, (0, 12, 0, 10), 1, [[0] * 12] * 10)
+    out = o.cluster(g, "randomCluster", p=0.05, n=3, name="out", seed=4)
+    assert len(plans) > 3
+    assert not any("Broadcast" in p for p in [*plans[1:], out.cells._jdf.queryExecution().executedPlan().toString()])
+
+    on = o.cluster(g, p=0.05, name="on", seed=4)
+    labels = o.componentise(on, 4, layer="on", add="patch").cells.filter("patch is not null")
+    first = labels.groupBy("patch").agg(F.min(F.col("r").cast("long") * 12 + F.col("c")).alias("root"))
+    start = labels.join(first, "patch").select("r", "c", (F.floor(uniform(5, F.col("root")) * 3) + 1).cast("double").alias("v"))
+    keys = spark.range(12 * 10 * 3 * 40).select((F.col("id") % 12).cast("int").alias("c"), (F.col("id") / 12 % 10).cast("int").alias("r"), (F.floor(F.col("id") / 120) % 3 + 1).cast("double").alias("v"), (F.floor(F.col("id") / 360) + 1).cast("int").alias("k"))
+    luck = {(x["k"], x["r"], x["c"], x["v"]): x["u"] for x in keys.select("*", uniform(6, F.col("k"), F.col("r"), F.col("c"), F.col("v")).alias("u")).collect()}
+    known, k = {(x["r"], x["c"]): x["v"] for x in start.collect()}, 0
+    while len(known) < 120:
+        k, new = k + 1, {}
+        for r in range(10):
+            for c in range(12):
+                near = [known[a] for a in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)) if a in known]
+                if (r, c) not in known and near:
+                    new[r, c] = min(near, key=lambda v: luck[k, r, c, v])
+        known |= new
+    assert k > 2 and out.pull("out") == [known[r, c] for r in range(10) for c in range(12)]
