@@ -551,3 +551,32 @@ def test_random_cluster_fills_by_rounds(spark, monkeypatch):
                     new[r, c] = min(near, key=lambda v: luck[k, r, c, v])
         known |= new
     assert k > 2 and out.pull("out") == [known[r, c] for r in range(10) for c in range(12)]
+
+
+def test_loops_over_tiles(spark, monkeypatch):
+    """Rounds in small tiles give what rounds over whole layers give; many rounds need few stored tables."""
+    import gridframe.plans.loop as loops
+    from gridframe.plans import rounds, storage
+
+    rng, made, tiled, new_path = random.Random(3), [], rounds.tiled, storage.new_path
+    some = lambda kinds: "/".join("".join(rng.choice(kinds) for _ in range(11)) for _ in range(13))
+    g = o.mask_filter(drawn(spark, some("0111")), "values = 1", add="mask").put_from("out", drawn(spark, some("0001.")).values())
+    monkeypatch.setattr(storage, "new_path", lambda spark, tag: made.append(tag) or new_path(spark, tag))
+    snake = drawn(spark, "1111111111/0000000001/1111111111/1000000000/1111111111".replace("1", "2").replace("2", "0", 1))
+    snake = o.mask_filter(o.mask_filter(snake, "values = 2 OR (r = 0 AND c = 0)", add="mask"), "r = 0 AND c = 0", add="out")
+    way = loop(snake, o.mask_filter(o.dilate(layer="out"), "out = 1 AND mask = 1", add="out"), stable=True, layer="out")
+    assert sum(way.pull("out")) == 32 and way.provenance[-1]["activity"] == {"iterations": 32} and len(made) <= 8
+    monkeypatch.setattr(rounds, "TILE", 5)
+    monkeypatch.setattr(rounds, "HALO", 4)
+    for recipe, until, runs in (
+        (o.mask_filter(o.dilate(struct=o.structure("square", 3), layer="out", add="out"), "out = 1 AND mask = 1", add="out"), {"stable": True}, True),
+        (o.dilate(o.erode(struct=o.structure("cross", 5), layer="out", add="out"), layer="out", struct=[(0, 2, 1.0), (1, -1, 3.0)]), {"stable": True, "times": 6}, True),
+        (o.mask_filter(o.dilate(layer="out"), "NOT (out = 1 AND c > 3) OR out IS NULL", add="out"), {"times": 5}, True),
+        (o.mask_filter(o.dilate(layer="out"), "abs(out) = 1", add="out"), {"times": 2}, False),
+    ):
+        assert (tiled(g, recipe, "out", until.get("times", math.inf), "stable" in until) is not None) == runs
+        monkeypatch.setattr(loops, "tiled", tiled)
+        a = loop(g, recipe, layer="out", **until)
+        monkeypatch.setattr(loops, "tiled", lambda *_: None)
+        b = loop(g, recipe, layer="out", **until)
+        assert (a.pull("out"), a.names, a.provenance[-1]["activity"]) == (b.pull("out"), b.names, b.provenance[-1]["activity"])
