@@ -2,6 +2,7 @@
 
 import math
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -580,3 +581,45 @@ def test_loops_over_tiles(spark, monkeypatch):
         monkeypatch.setattr(loops, "tiled", lambda *_: None)
         b = loop(g, recipe, layer="out", **until)
         assert (a.pull("out"), a.names, a.provenance[-1]["activity"]) == (b.pull("out"), b.names, b.provenance[-1]["activity"])
+
+
+def test_rounds_are_dealt_to_tasks(spark, monkeypatch):
+    """Tiles of few bytes run in several tasks, not all in one; the layer is as cell by cell."""
+    from gridframe.plans import rounds
+
+    tables, put = [], rounds.stored
+    monkeypatch.setattr(rounds, "TILE", 4)
+    monkeypatch.setattr(rounds, "stored", lambda df, tag: tables.append((tag, put(df, tag))) or tables[-1][1])
+    on = {(3, 5), (60, 30), (61, 2)}
+    m = [[float((r, c) in on) for c in range(40)] for r in range(64)]
+    out = loop(grid(spark, (0, 40, 0, 64), 1, m), o.dilate(), times=3)
+    assert out.pull() == [float(any(abs(r - i) + abs(c - j) <= 3 for i, j in on)) for r in range(64) for c in range(40)]
+    files = [len(t.inputFiles()) for tag, t in tables[2:] if tag == "rounds"]
+    assert files and min(files) > 4
+
+
+def test_dilating_few_cells_sends_few_rows(spark):
+    """Cells that can't change a neighbour of a binary layer send nothing; null cells stay, and so do zeros among nulls."""
+
+    def shuffled(plan) -> list:
+        """Rows that each exchange of a plan that ran wrote, the last exchange first."""
+        name, below = plan.nodeName(), plan.children()
+        inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else [below.apply(i) for i in range(below.size())]
+        own = [plan.metrics().apply("shuffleRecordsWritten").value()] if name == "Exchange" else []
+        return own + [n for p in inner for n in shuffled(p)]
+
+    rng, n, ring = random.Random(8), 60, [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)]
+    m = [[rng.choice([0.0] * 40 + [1.0, None, None]) for _ in range(n)] for _ in range(n)]
+    m[0][:3], m[1][:3] = [0.0, None, 0.0], [None, None, 0.0]
+    for op, merged, gate in ((o.dilate, max, 0.0), (o.erode, min, 1.0)):
+        k = [[v if v is None else abs(v - gate) for v in row] for row in m]
+        g = o.offset(grid(spark, (0, n, 0, n), 1, k), "+", 0)
+        g = replace(g, cells=g.cells.repartition(8, "r", "c"))
+        out = op(g).cells
+        got = {(x["r"], x["c"]): x["values"] for x in out.collect()}
+        near = lambda r, c: [k[r + i][c + j] for i, j in ring if 0 <= r + i < n and 0 <= c + j < n and k[r + i][c + j] is not None]
+        assert got == {(r, c): merged(near(r, c)) if k[r][c] == gate else k[r][c] for r in range(n) for c in range(n)}
+        assert shuffled(out._jdf.queryExecution().executedPlan())[0] < 1.5 * n * n
+    lone = drawn(spark, "0./.1")
+    for kernel, v in (([(0, 1, 1.0), (1, 0, 1.0)], None), ([(0, 0, 1.0), (0, 1, 1.0)], 0.0)):
+        assert o.dilate(lone, kernel).pull() == [v, None, None, 1.0]
